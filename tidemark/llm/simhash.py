@@ -33,7 +33,7 @@ LEAF = 512
 #: Fewest sampled fingerprints that a leaf is cut at.
 LEAF_SAMPLE = 8
 #: Rows compared at once inside a shard.
-TILE = 2_048
+TILE = 512
 
 _U = np.uint64
 
