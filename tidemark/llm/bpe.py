@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker keeps.
 KEEP_PIECES = 600_000
+#: Token pairs whose rank a worker keeps.
+KEEP_PAIRS = 2_000_000
 #: Characters of text whose new pieces are replayed together.
 CHUNK_CHARS = 1 << 21
 #: Tokens decoded at once.
@@ -51,8 +53,9 @@ class Encoder:
         found = self.pairs.get(pair)
         if found is None:
             found = self.ranks.get(self.tokens[pair[0]] + self.tokens[pair[1]], -1)
-            if len(self.pairs) < 2_000_000:
-                self.pairs[pair] = found
+            if len(self.pairs) >= KEEP_PAIRS:
+                self.pairs.clear()
+            self.pairs[pair] = found
         return found
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -110,7 +113,7 @@ class Encoder:
             rank = heapq.heappop(heap)
             for i in sorted(index.pop(rank)):
                 j = after[i]
-                if j < 0 or token[i] < 0 or pair_rank((token[i], token[j])) != rank:
+                if j < 0 or token[i] < 0 or rank_of((token[i], token[j])) != rank:
                     continue
                 token[i], token[j] = rank, -1
                 after[i] = right = after[j]

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, simhash, substrings
+from tidemark.llm import bpe, quality, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
     "op3_substrings": substrings.query,
     "op8_bpe": bpe.query,
+    "op10_quality": quality.query,
 }
 
 SQL: dict[str, str] = {}
