@@ -33,9 +33,9 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     """
     from tidemark.llm.session import materialize
 
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = materialize(placed.withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND((1 << 33) - 1)}))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mono", F.monotonically_increasing_id())
+    placed = materialize(placed.withColumns({"_part": F.shiftright("_mono", 33), "_in": F.col("_mono").bitwiseAND((1 << 33) - 1)}))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     shifts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(shifts), "_part").withColumn("_pos", F.col("_before") + F.col("_in")).drop("_part", "_id", "_in", "_before")
+    return placed.join(F.broadcast(shifts), "_part").withColumn("_pos", F.col("_before") + F.col("_in")).drop("_part", "_mono", "_in", "_before")
