@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, hilbert, quality, simhash, substrings
+from tidemark.llm import bpe, hilbert, packing, quality, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.query,
     "op3_substrings": substrings.query,
+    "op6_packing": packing.query,
     "op8_bpe": bpe.query,
     "op9_hilbert": hilbert.query,
     "op10_quality": quality.query,
