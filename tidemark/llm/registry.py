@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, hilbert, packing, quality, simhash, substrings
+from tidemark.llm import bpe, hilbert, packing, quality, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": secrets.query,
     "op2_simhash": simhash.query,
     "op3_substrings": substrings.query,
     "op6_packing": packing.query,
