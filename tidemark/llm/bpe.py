@@ -7,8 +7,8 @@ listed position still holding a pair of that rank is merged, and only its two ne
 may create a pair of lower rank than the one at hand; its word then takes such pairs first, so that each word sees
 exactly the merges, in exactly the order, of a loop over that word alone.
 
-A piece ends before a single space that stands between two characters which are not white space: the pattern always
-starts a match at such a space, and no earlier match looks past it. Results for pieces are kept in the Python worker, up
+A piece ends before a single space or newline that stands between two characters which are not white space: the pattern
+always starts a match there, and no earlier match looks past it. Results for pieces are kept in the Python worker, up
 to a bound, and dropped all at once beyond it, so memory does not grow with the corpus.
 
 Defined results: a null text is the empty text, which has no tokens; rows are independent, so repeated rows, ids that
@@ -21,19 +21,24 @@ import base64
 import gc
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker keeps.
-KEEP_PIECES = 600_000
+KEEP_PIECES = 1_000_000
 #: Token pairs whose rank a worker keeps.
 KEEP_PAIRS = 2_000_000
 #: Characters of text whose new pieces are replayed together.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 24
+#: Places of one rank that are merged together, not one by one.
+BULK = 48
 #: Tokens decoded at once.
 BLOCK = 1 << 16
 
@@ -47,6 +52,8 @@ class Encoder:
         self.pairs: dict[tuple[int, int], int] = {}  # rank of two adjacent tokens' concatenation, -1 if it is no token
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.digits = {rank: str(rank) for rank in self.tokens}
 
     def rank(self, pair: tuple[int, int]) -> int:
         """Rank of the pair's merge, -1 if there is none."""
@@ -58,29 +65,53 @@ class Encoder:
             self.pairs[pair] = found
         return found
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by merging all words together in rank order."""
-        joined = b"".join(words)
-        token = [self.bytes[b] for b in joined]
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        bounds, at = [], 0
-        for w in words:
-            bounds.append(at)
-            if w:
-                before[at] = -1
-                at += len(w)
-                after[at - 1] = -1
-        index: dict[int, list[int]] = {}  # rank of a pair: where it may stand
-        pair_rank, rank_of = self.pairs.get, self.rank
-
-        def note(i: int, pair: tuple[int, int]) -> None:
-            r = rank_of(pair)
+    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each word (none empty), by merging all words together in rank order."""
+        n = sum(map(len, words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        bounds = np.concatenate(([0], np.cumsum(lengths)))
+        # one buffer each, for single places (as an array) and for many at once (as numpy)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        token = array("i", np.array(self.bytes, np.int32)[text].tobytes())
+        after = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
+        before = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        pair_at = array("i", bytes(4 * n))  # rank of the pair that starts at a place, -1 if none
+        tokens, afters, befores, pairs_at = (np.frombuffer(x, np.int32) for x in (token, after, before, pair_at))
+        afters[bounds[1:] - 1], befores[bounds[:-1]] = -1, -1
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        few: dict[int, list[int]] = {}  # the inverted index: rank of a pair, and places where it stood, singly
+        many: dict[int, list[np.ndarray]] = {}  # and in bulk
+        heap: list[int] = []
+        rank_of, pair_rank = self.rank, self.pairs.get
+
+        def note(i: int, r: int) -> None:
+            pair_at[i] = r
             if r >= 0:
-                if r in index:
-                    index[r].append(i)
+                if r in few:
+                    few[r].append(i)
                 else:
-                    index[r] = [i]
+                    few[r] = [i]
+                    heapq.heappush(heap, r)
+
+        def note_all(places: np.ndarray, ranks: np.ndarray) -> None:
+            pairs_at[places] = ranks
+            kept = ranks >= 0
+            places, ranks = places[kept], ranks[kept]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            starts = [0, *cuts.tolist()]
+            for r, s, e in zip(ranks[starts].tolist() if len(ranks) else (), starts, [*starts[1:], len(ranks)], strict=False):
+                if e - s < BULK // 4:
+                    if r in few:
+                        few[r].extend(places[s:e].tolist())
+                    else:
+                        few[r] = places[s:e].tolist()
+                        heapq.heappush(heap, r)
+                elif r in many:
+                    many[r].append(places[s:e])
+                else:
+                    many[r] = [places[s:e]]
                     heapq.heappush(heap, r)
 
         def settle(i: int, below: int) -> None:
@@ -89,103 +120,147 @@ class Encoder:
                 i = before[i]
             while True:
                 best, at, k = below, -1, i
-                while after[k] >= 0:
-                    r = rank_of((token[k], token[after[k]]))
-                    if 0 <= r < best:
-                        best, at = r, k
+                while k >= 0:
+                    if 0 <= pair_at[k] < best:
+                        best, at = pair_at[k], k
                     k = after[k]
                 if at < 0:
                     return
-                j = after[at]
-                token[at], token[j] = best, -1
-                after[at] = right = after[j]
-                if right >= 0:
-                    before[right] = at
-                    note(at, (best, token[right]))
-                if before[at] >= 0:
-                    note(before[at], (token[before[at]], best))
-
-        heap: list[int] = []
-        for i, j in enumerate(after):
-            if j >= 0:
-                note(i, (token[i], token[j]))
+                merge(at, best)
+
+        def merge(i: int, rank: int) -> bool:
+            """Merges the pair at i; whether a pair of lower rank came of it."""
+            j = after[i]
+            token[i], token[j], pair_at[j] = rank, -1, -1
+            after[i] = right = after[j]
+            left, lower = before[i], False
+            if right >= 0:
+                before[right] = i
+                pair = (rank, token[right])
+                r = pair_rank(pair)
+                if r is None:
+                    r = rank_of(pair)
+                pair_at[i] = r
+                if r >= 0:
+                    lower = r < rank
+                    if r in few:
+                        few[r].append(i)
+                    else:
+                        few[r] = [i]
+                        heapq.heappush(heap, r)
+            else:
+                pair_at[i] = -1
+            if left >= 0:
+                pair = (token[left], rank)
+                r = pair_rank(pair)
+                if r is None:
+                    r = rank_of(pair)
+                pair_at[left] = r
+                if r >= 0:
+                    lower = lower or r < rank
+                    if r in few:
+                        few[r].append(left)
+                    else:
+                        few[r] = [left]
+                        heapq.heappush(heap, r)
+            return lower
+
+        def neighbours(beside: np.ndarray, rank: int, first: bool) -> np.ndarray:
+            """Ranks of the pairs that places' new token makes with the tokens at ``beside`` (-1: no token there)."""
+            out = np.full(len(beside), -1, np.int32)
+            there = np.flatnonzero(beside >= 0)
+            if len(there):
+                kinds, which = np.unique(tokens[beside[there]], return_inverse=True)
+                ranks = np.array([rank_of((rank, t) if first else (t, rank)) for t in kinds.tolist()], np.int32)
+                out[there] = ranks[which]
+            return out
+
+        def merge_all(i: np.ndarray, rank: int) -> list[int]:
+            """Merges the pair at each place that stands clear of the others; returns the places left for one-by-one merging."""
+            j = afters[i]
+            right, left = afters[j], befores[i]
+            make_right, make_left = neighbours(right, rank, True), neighbours(left, rank, False)
+            # words in which merges touch, or bring a lower rank, go one by one
+            odd = ((make_right >= 0) & (make_right < rank)) | ((make_left >= 0) & (make_left < rank))
+            odd[:-1] |= (j[:-1] == i[1:]) | (right[:-1] == i[1:])
+            rest: list[int] = []
+            if odd.any():
+                words_odd = np.isin(word_of[i], word_of[i[odd]])
+                rest = i[words_odd].tolist()
+                clear = ~words_odd
+                i, j, right, left, make_right, make_left = (x[clear] for x in (i, j, right, left, make_right, make_left))
+            tokens[i], tokens[j], pairs_at[j], afters[i] = rank, -1, -1, right
+            befores[right[right >= 0]] = i[right >= 0]
+            note_all(i, make_right)
+            note_all(left[left >= 0], make_left[left >= 0])
+            return rest
+
+        if n:
+            table = np.full((256, 256), -1, np.int32)
+            firsts, seconds = text[:-1].astype(np.int32), text[1:]
+            seen = np.zeros((256, 256), bool)
+            seen[firsts, seconds] = True
+            for x, y in np.argwhere(seen).tolist():
+                table[x, y] = rank_of((self.bytes[x], self.bytes[y]))
+            ranks = np.full(n, -1, np.int32)
+            ranks[:-1] = table[firsts, seconds]
+            ranks[bounds[1:] - 1] = -1
+            note_all(np.arange(n, dtype=np.int32), ranks)
         while heap:
             rank = heapq.heappop(heap)
-            for i in sorted(index.pop(rank)):
-                j = after[i]
-                if j < 0 or token[i] < 0 or rank_of((token[i], token[j])) != rank:
-                    continue
-                token[i], token[j] = rank, -1
-                after[i] = right = after[j]
-                left, lower = before[i], False
-                if right >= 0:
-                    before[right] = i
-                    pair = (rank, token[right])
-                    r = pair_rank(pair)
-                    if r is None:
-                        r = rank_of(pair)
-                    if r >= 0:
-                        lower = r < rank
-                        if r in index:
-                            index[r].append(i)
-                        else:
-                            index[r] = [i]
-                            heapq.heappush(heap, r)
-                if left >= 0:
-                    pair = (token[left], rank)
-                    r = pair_rank(pair)
-                    if r is None:
-                        r = rank_of(pair)
-                    if r >= 0:
-                        lower = lower or r < rank
-                        if r in index:
-                            index[r].append(left)
-                        else:
-                            index[r] = [left]
-                            heapq.heappush(heap, r)
-                if lower:
+            places, bulk = few.pop(rank, []), many.pop(rank, [])
+            if len(places) + sum(map(len, bulk)) >= BULK:
+                every = np.unique(np.concatenate([np.array(places, np.int32), *bulk]))
+                places = merge_all(every[pairs_at[every] == rank], rank)
+            else:
+                for part in bulk:
+                    places += part.tolist()
+                places.sort()
+            for i in places:
+                if pair_at[i] == rank and merge(i, rank):
                     settle(i, rank)
-        out, ends = [], [*bounds[1:], n]
-        for s, e in zip(bounds, ends, strict=True):
-            out.append([t for t in token[s:e] if t >= 0])
+        left = tokens >= 0
+        ids, counts = tokens[left].tolist(), np.add.reduceat(left, bounds[:-1]).tolist() if n else []
+        out, at = [], 0
+        for count in counts:
+            out.append(tuple(ids[at : at + count]))
+            at += count
         return out
 
     def learn(self, new: Iterable[str]) -> None:
-        """Replays the distinct pattern matches of pieces not met before."""
-        split = {piece: self.find(piece) for piece in new}
+        """Replays the distinct pattern matches, of pieces not met before, that are not known either."""
+        split = [(piece, self.find(piece)) for piece in new]
         if len(self.pieces) + len(split) > KEEP_PIECES:
             self.pieces.clear()
-        words = list({w for found in split.values() for w in found})
+            self.words.clear()
+        known = self.words
+        words = list({w for _, found in split for w in found if w not in known})
         gc.disable()  # the index is many small lists and no cycles
         try:
-            ids = dict(zip(words, self.replay([w.encode() for w in words]), strict=True))
+            known.update(zip(words, self.replay([w.encode() for w in words]), strict=True))
+            for piece, found in split:
+                self.pieces[piece] = known[found[0]] if len(found) == 1 else tuple(t for w in found for t in known[w])
         finally:
             gc.enable()
-        for piece, found in split.items():
-            self.pieces[piece] = tuple(t for w in found for t in ids[w])
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Token ids of each text, in order."""
         low = 0
         while low < len(texts):
-            high, size = low, 0
+            high, size, needed = low, 0, set()
             while high < len(texts) and (high == low or size + len(texts[high]) <= CHUNK_CHARS):
                 size += len(texts[high])
+                needed.update(pieces(texts[high]))
                 high += 1
-            split = [pieces(t) for t in texts[low:high]]
-            known, needed = self.pieces, set()
-            for parts in split:
-                needed.update(parts)
-            new = needed.difference(known)
-            if len(known) + len(new) > KEEP_PIECES:
-                known.clear()
+            new = needed.difference(self.pieces)
+            if len(self.pieces) + len(new) > KEEP_PIECES:
+                self.pieces.clear()
+                self.words.clear()
                 new = needed
             self.learn(new)
-            for parts in split:
-                ids: list[int] = []
-                for part in map(known.__getitem__, parts):
-                    ids += part
-                yield ids
+            ids_of = self.pieces.__getitem__
+            for text in texts[low:high]:
+                yield list(chain.from_iterable(map(ids_of, pieces(text))))
             low = high
 
     def decode(self, ids: list[int]) -> bytes:
@@ -193,16 +268,18 @@ class Encoder:
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each space that has no white space on either side."""
-    parts = text.split(" ")
-    out = [parts[0]]
-    whole = out[0] != "" and not out[0][-1].isspace()
-    for part in parts[1:]:
-        if part and whole and not part[0].isspace():
-            out.append(" " + part)
-        else:
-            out[-1] += " " + part
-        whole = part != "" and not part[-1].isspace()
+    """The text cut before each single space or newline that has no white space on either side."""
+    out, whole, sep = [""], False, ""
+    for line in text.split("\n"):
+        for part in line.split(" "):
+            if part and whole and not part[0].isspace():
+                out.append(sep + part)
+                whole = not part[-1].isspace()
+            else:
+                out[-1] += sep + part
+                whole = part != "" and not part[-1].isspace()
+            sep = " "
+        sep = "\n"
     return out if out != [""] else []
 
 
@@ -221,7 +298,7 @@ def digest(tool: Encoder, ids: list[int]) -> tuple[str, str]:
     listed, decoded = hashlib.sha256(), hashlib.sha256()
     for k in range(0, len(ids), BLOCK):
         block = ids[k : k + BLOCK]
-        listed.update((("," if k else "") + ",".join(map(str, block))).encode())
+        listed.update((("," if k else "") + ",".join(map(tool.digits.__getitem__, block))).encode())
         decoded.update(tool.decode(block))
     return listed.hexdigest(), decoded.hexdigest()
 
