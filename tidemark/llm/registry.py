@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, hilbert, packing, quality, secrets, simhash, substrings
+from tidemark.llm import bpe, chat, hilbert, packing, quality, quantised, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
     "op2_simhash": simhash.query,
     "op3_substrings": substrings.query,
     "op4_chat": chat.query,
+    "op5_quantised": quantised.query,
     "op6_packing": packing.query,
     "op8_bpe": bpe.query,
     "op9_hilbert": hilbert.query,
