@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, hilbert, packing, quality, quantised, secrets, simhash, substrings
+from tidemark.llm import bpe, chat, hilbert, licences, packing, quality, quantised, secrets, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": chat.query,
     "op5_quantised": quantised.query,
     "op6_packing": packing.query,
+    "op7_licences": licences.query,
     "op8_bpe": bpe.query,
     "op9_hilbert": hilbert.query,
     "op10_quality": quality.query,

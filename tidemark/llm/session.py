@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 64
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and returns what reads it back.
-
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only where that is unset (tests).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share; one of our own only where none is set (tests)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and returns what reads it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -54,6 +57,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return live.select(F.col("a").alias("node"), F.col("a").alias("root"))
     return labels
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

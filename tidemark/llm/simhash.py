@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ LEAF = 512
 LEAF_SAMPLE = 8
 #: Rows compared at once inside a shard.
 TILE = 512
+#: Stands for a null doc_id where ids are ordered.
+NULL_ID = (1 << 63) - 1
 
 _U = np.uint64
 
@@ -214,14 +217,28 @@ def near_edges(distinct: DataFrame, radius: int = 3, blocks: int = 2, sample: in
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, fp long, component_id long): component_id is the least doc_id reachable by links of ``radius`` bits or fewer."""
+    """(doc_id, fp long, root long, component_id long): root names the component, component_id is its least doc_id."""
     prints = materialize(fingerprints(docs, shingle))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_edges(classes, radius, blocks, sample, leaf))
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    members = placed.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+    return prints.join(members, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """One row of docs for each component, whole: the one of least doc_id (null last), of several with that id any one."""
+
+    @F.pandas_udf("long")
+    def print_of(text: pd.Series) -> pd.Series:
+        return pd.Series(fingerprint_texts(pa.array(text, pa.string(), from_pandas=True), shingle))
+
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    found = near_duplicates(docs, shingle, radius)
+    kept = found.groupBy("root").agg(F.min(F.struct(key.alias("_key"), F.col("fp").alias("_fp"))).alias("k")).select("k._key", "k._fp")
+    tagged = docs.withColumns({"_key": key, "_fp": print_of(F.col("text").cast("string"))})
+    return tagged.join(kept, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

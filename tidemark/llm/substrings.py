@@ -17,7 +17,7 @@ document, and remove nothing from each other; a null doc_id counts as the larges
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -138,10 +138,10 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def covered(docs: DataFrame, window: int = WINDOW, start: int = START) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple[int, words.Chunk, np.ndarray]]]]:
-    """(rows, reader). rows has _key, _text and level results of every row; reader yields (row, words of a chunk, removed words) of its batches."""
+def covered(docs: DataFrame, window: int = WINDOW, start: int = START, carried: Sequence[str] = ()) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple[int, words.Chunk, np.ndarray]]]]:
+    """(rows, reader). rows has _key, _text, _rest (the carried columns) and level results of every row; reader yields (row, words of a chunk, removed words) of its batches."""
     key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    slim = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    slim = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in carried) or (F.lit(0),)).alias("_rest"))
     levels = (window // start).bit_length()
     dealt = slim.repartition("_key")
     rows = slim
@@ -150,7 +150,7 @@ def covered(docs: DataFrame, window: int = WINDOW, start: int = START) -> tuple[
         for low, high, part in words.chunks(b.column(1)):
             found = Levels(part, window, start)
             for k in range(upto):
-                found.close(k, Known(b.column(2 + k), low, high))
+                found.close(k, Known(b.column(3 + k), low, high))
             yield low, high, part, found
 
     def offers(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -189,7 +189,7 @@ def covered(docs: DataFrame, window: int = WINDOW, start: int = START) -> tuple[
             if len(place):
                 hashes = words.windows(found.words, window)[place]
                 first, of = _firsts(text, hashes)
-                gone = place[(of != np.arange(len(of))) | ~Known(b.column(1 + levels), low, low + len(part.counts))(text, hashes)]
+                gone = place[(of != np.arange(len(of))) | ~Known(b.column(2 + levels), low, low + len(part.counts))(text, hashes)]
                 np.add.at(removed, gone, 1)
                 np.add.at(removed, gone + window, -1)
             yield low, part, np.cumsum(removed)[:-1] > 0
@@ -197,12 +197,14 @@ def covered(docs: DataFrame, window: int = WINDOW, start: int = START) -> tuple[
     return rows, reader
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, text) per row; text is what is left, with its own white space between words that stay.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, carried: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, text, rest) per row; text is what is left, with its own white space between words that stay.
 
-    White space before a removed word goes with it. A row that loses nothing keeps its text as it is.
+    White space before a removed word goes with it. A row that loses nothing keeps its text as it is. rest is a struct of
+    the carried columns.
     """
-    rows, reader = covered(docs, window, start)
+    rows, reader = covered(docs, window, start, carried)
+    kind = rows.schema["_rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,18 +217,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START) ->
                     digests.append(hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(starts, ends, strict=True)])).hexdigest())
                     removed.append(e - s - len(kept))
                     if removed[-1]:
-                        # runs of kept words, each with the white space before it
+                        # each kept word with the white space before it
                         before = np.where(kept > s, part.ends[kept - 1], part.offsets[k]) if len(kept) else kept
                         texts.append(b"".join([raw[x:y] for x, y in zip(before.tolist(), ends, strict=True)]).decode().lstrip(" \t\n\x0b\x0c\r"))
                     else:
                         texts.append(raw[part.offsets[k] : part.offsets[k + 1]].decode())
-                ids = b.column(0).slice(low, len(part.counts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(part.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+                n = len(part.counts)
+                columns = [b.column(0).slice(low, n), pa.array(part.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string()), b.column(2).slice(low, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "rest"])
 
-    out = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    out = rows.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, text string, rest {kind}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
+def deduplicate(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
+    """docs with repeats cut out of their texts; rows that had words and lose all of them go. n_chars, if there, follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = remove_repeats(docs, window, start, others).where("n_words = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    rest = {c: F.col(f"rest.`{c}`") for c in others}
+    if "n_chars" in rest:
+        rest["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(rest["n_chars"])
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), **rest}
+    return found.select(*(made[c].alias(c) for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: words removed from each of all documents, and the digest of the rest."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
