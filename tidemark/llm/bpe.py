@@ -22,7 +22,7 @@ import gc
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -51,7 +51,8 @@ class Encoder:
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}  # rank of two adjacent tokens' concatenation, -1 if it is no token
         self.find = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.whole: dict[str, tuple[int, ...]] = {}  # ids of pieces given whole
+        self.spaced: dict[str, tuple[int, ...]] = {}  # and of those given without their space
         self.words: dict[str, tuple[int, ...]] = {}
         self.digits = {rank: str(rank) for rank in self.tokens}
 
@@ -227,48 +228,63 @@ class Encoder:
             at += count
         return out
 
-    def learn(self, new: Iterable[str]) -> None:
-        """Replays the distinct pattern matches, of pieces not met before, that are not known either."""
-        split = [(piece, self.find(piece)) for piece in new]
-        if len(self.pieces) + len(split) > KEEP_PIECES:
-            self.pieces.clear()
-            self.words.clear()
-        known = self.words
-        words = list({w for _, found in split for w in found if w not in known})
+    def learn(self, new: list[tuple[dict[str, tuple[int, ...]], str, str]]) -> None:
+        """Replays the distinct pattern matches, of (where it is kept, key, piece) not met before, that are not known either."""
+        known, find = self.words, self.find
+        split = [(kept, key, find(piece)) for kept, key, piece in new]
+        words = list({w for _, _, found in split for w in found if w not in known})
         gc.disable()  # the index is many small lists and no cycles
         try:
             known.update(zip(words, self.replay([w.encode() for w in words]), strict=True))
-            for piece, found in split:
-                self.pieces[piece] = known[found[0]] if len(found) == 1 else tuple(t for w in found for t in known[w])
+            for kept, key, found in split:
+                kept[key] = known[found[0]] if len(found) == 1 else tuple(t for w in found for t in known[w])
         finally:
             gc.enable()
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Token ids of each text, in order."""
-        low = 0
+        low, whole, spaced = 0, self.whole, self.spaced
         while low < len(texts):
-            high, size, needed = low, 0, set()
+            high, size, needed, needed_spaced = low, 0, set(), set()
             while high < len(texts) and (high == low or size + len(texts[high]) <= CHUNK_CHARS):
                 size += len(texts[high])
-                needed.update(pieces(texts[high]))
+                first, rest = pieces(texts[high])
+                needed.update(first)
+                needed_spaced.update(rest)
                 high += 1
-            new = needed.difference(self.pieces)
-            if len(self.pieces) + len(new) > KEEP_PIECES:
-                self.pieces.clear()
-                self.words.clear()
-                new = needed
+            if len(whole) + len(spaced) + len(needed - whole.keys()) + len(needed_spaced - spaced.keys()) > KEEP_PIECES:
+                whole.clear(), spaced.clear(), self.words.clear()
+            new = [(whole, x, x) for x in needed - whole.keys()]
+            new += [(spaced, x, x if x[0] == "\n" else " " + x) for x in needed_spaced - spaced.keys()]
             self.learn(new)
-            ids_of = self.pieces.__getitem__
             for text in texts[low:high]:
-                yield list(chain.from_iterable(map(ids_of, pieces(text))))
+                first, rest = pieces(text)
+                ids = list(chain.from_iterable(map(whole.__getitem__, first)))
+                ids.extend(chain.from_iterable(map(spaced.__getitem__, rest)))
+                yield ids
             low = high
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut before each single space or newline that has no white space on either side."""
+def pieces(text: str) -> tuple[list[str], list[str]]:
+    """(pieces given whole, pieces given without their leading space) of the text, in order: it is cut before each single
+    space or newline that has no white space on either side; a piece that begins with a newline is given whole either way."""
+    if not text:
+        return [], []
+    if text[0] in SPACES or text[-1] in SPACES or any(x in text for x in _RAGGED):
+        return _ragged_pieces(text), []
+    parts = text.replace("\n", " \n").split(" ")
+    return parts[:1], parts[1:]
+
+
+#: Every character that Python or Unicode counts as white space, and what keeps the plain cut from being right.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RAGGED = ("  ", "\n\n", " \n", "\n ", *(c for c in SPACES if c not in " \n"))
+
+
+def _ragged_pieces(text: str) -> list[str]:
     out, whole, sep = [""], False, ""
     for line in text.split("\n"):
         for part in line.split(" "):
@@ -280,7 +296,7 @@ def pieces(text: str) -> list[str]:
                 whole = part != "" and not part[-1].isspace()
             sep = " "
         sep = "\n"
-    return out if out != [""] else []
+    return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
