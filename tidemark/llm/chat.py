@@ -60,10 +60,14 @@ class Template:
         self.tool, self.base = tool, max(tool.tokens) + 1
         self.start, self.sep, self.end = (self.base + k for k in range(3))
 
-    def assemble(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, loss mask) of (role, text) turns."""
-        parts = [x for role, text in turns for x in (escape(role, _role_controls), escape(text))]
-        segments = [np.array(ids, np.int32) for ids in self.tool.encode(parts)]
+    def assemble_all(self, chats: list[list[tuple[str, str]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, loss mask) of each chat's (role, text) turns; segments of all chats are encoded together, each on its own."""
+        encoded = self.tool.encode([x for turns in chats for role, text in turns for x in (escape(role, _role_controls), escape(text))])
+        for turns in chats:
+            yield self.assemble(turns, [np.array(next(encoded), np.int32) for _ in range(2 * len(turns))])
+
+    def assemble(self, turns: list[tuple[str, str]], segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, loss mask) of (role, text) turns, given the ids of each role and text."""
         marks = [np.array([m], np.int32) for m in (self.start, self.sep, self.end)]
         pieces = [p for k in range(len(turns)) for p in (marks[0], segments[2 * k], marks[1], segments[2 * k + 1], marks[2])]
         offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64))).astype(np.int64)
@@ -108,8 +112,7 @@ def format_chats(conversations: DataFrame, path: str, pattern: str) -> DataFrame
         template = Template(bpe.encoder(path, pattern))
         for b in batches:
             ids, masks = [], []
-            for turns in _turns(b):
-                one, mask = template.assemble(turns)
+            for one, mask in template.assemble_all(list(_turns(b))):
                 ids.append(one), masks.append(mask)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array([template.decode(x) for x in ids], pa.string())], names=["conv_id", "ids", "loss_mask", "text"])
 
@@ -123,8 +126,7 @@ def digest_chats(conversations: DataFrame, path: str, pattern: str) -> DataFrame
         template = Template(bpe.encoder(path, pattern))
         for b in batches:
             rows = []
-            for given in _turns(b):
-                ids, mask = template.assemble(given)
+            for ids, mask in template.assemble_all(list(_turns(b))):
                 turns, learned = template.read(ids, mask)
                 told, loss = hashlib.sha256(), hashlib.sha256()
                 for role, text in turns:
