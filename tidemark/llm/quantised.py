@@ -30,9 +30,9 @@ from tidemark.llm.session import connected_components, materialize
 from tidemark.llm.simhash import forest
 
 #: Vectors that the index is fitted on; all vectors are indexed.
-SAMPLE = 16_384
+SAMPLE = 8_192
 #: Wanted vectors per list, and most lists.
-LIST, LISTS = 256, 4_096
+LIST, LISTS = 256, 2_048
 SUBSPACES, CODES = 8, 256
 #: Share of sampled partners at the least cosine whose list the probes must reach.
 PROBED = 0.9995
@@ -40,8 +40,11 @@ TILE, BLOCK = 2_048, 8_192
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarray:
-    d = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-    return d.argmin(1)[:, None] if count == 1 else np.argsort(d, axis=1, kind="stable")[:, :count]
+    out, own = np.empty((len(x), count), np.int64), (centres * centres).sum(1)[None, :]
+    for k in range(0, len(x), 1_024):
+        d = own - 2 * x[k : k + 1_024] @ centres.T
+        out[k : k + 1_024] = d.argmin(1)[:, None] if count == 1 else np.argsort(d, axis=1, kind="stable")[:, :count]
+    return out
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -129,9 +132,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, sample: int = SAMPLE) ->
     alone = given.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
         return alone
-    share = min(1.0, sample / total)
-    picked = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(2 * sample).collect()
-    index = fit(np.array(sorted(r["v"] for r in picked or classes.select("v").limit(1).collect())), total, cosine)
+    picked = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()["v"].combine_chunks()
+    index = fit(picked.flatten().to_numpy(zero_copy_only=False).reshape(len(picked), width), total, cosine)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
