@@ -1,0 +1,458 @@
+"""Each operator against a plain version of itself, on tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, chat, hilbert, licences, packing, quality, quantised, secrets, session, simhash, substrings, words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, _key string, _row string, rest string, h long"
+
+
+def word_list(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdeéß") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passage, base = prose(60), prose(80)
+    texts = [prose(r.randint(0, 150)) for _ in range(25)]
+    texts += [prose(20) + " " + passage + "\n" + prose(30) for _ in range(6)]
+    texts += [base] * 5 + [base + " x", base + " Y", base.upper(), base.replace(" ", "\t", 3)]
+    texts += [None, "", " \n ", "a", "a a a " * 40, prose(4000), "the same line\n" * 9, "#$% | <x> && " * 12, 'password = "hK39dkfj38DKfj30dkLL" end of line of text here', "\x1c  a b "]
+    out = [(k, t, "en" if k % 2 else None, f"src{k % 3}", None if t is None else len(t), "z", "k", "r", "s", 1) for k, t in enumerate(texts)]
+    return [*out, out[3], out[30], (None, base, "de", None, 1, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- words and components ------------------------------------------------------------------------------------------
+
+
+def test_words_of_chunks(monkeypatch, rows):
+    monkeypatch.setattr(words, "CHUNK_BYTES", 64)
+    texts, seen = [r[1] for r in rows], {}
+    for low, high, part in words.chunks(pa.array(texts)):
+        hashes = part.hashes()
+        for k in range(low, high):
+            mine, (a, b) = [w.encode() for w in word_list(texts[k])], part.first[k - low : k - low + 2]
+            assert [bytes(part.data[s:e]) for s, e in zip(part.starts[a:b], part.ends[a:b], strict=True)] == mine
+            for size in (1, 2, 3, 5, 20):
+                got = words.windows(hashes[a:b], size)
+                assert len(got) == max(0, len(mine) - size + 1)
+                for i, h in enumerate(got):
+                    assert seen.setdefault((size, *mine[i : i + size]), h) == h
+    assert len(set(map(int, seen.values()))) == len(seen)
+
+
+def components(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups = defaultdict(set)
+    for x in list(root):
+        groups[find(x)].add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)], [(1, 2), (2, 1), (5, 9), (9, 7), (-3, 9)]])
+def test_connected_components(spark, pairs):
+    found = session.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    groups = defaultdict(set)
+    for r in found:
+        groups[r["root"]].add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [g for g in components(pairs) if len(g) > 1]
+
+
+# --- 1 secrets -----------------------------------------------------------------------------------------------------
+
+
+def test_forest_sql_follows_the_trees(spark):
+    told = "x numTrees=2\n  Tree 0 (weight 1.0):\n    If (feature 0 <= 1.5)\n     Predict: 0.25\n    Else (feature 0 > 1.5)\n     If (feature 1 <= 2.0)\n      Predict: 0.5\n     Else (feature 1 > 2.0)\n      Predict: 1.0\n  Tree 1 (weight 1.0):\n    Predict: 0.75\n"
+    sql = secrets.forest_sql(told)
+    got = spark.createDataFrame([([1.0, 9.0],), ([2.0, 2.0],), ([2.0, 3.0],)], "f array<double>").select(F.expr(sql)).collect()
+    assert [r[0] for r in got] == [0.5, 0.625, 0.875]
+
+
+def test_secrets_held_out(spark):
+    held = secrets.labelled_findings(600, seed=99)
+    model = secrets.train(spark)
+    df = spark.createDataFrame(held, "before string, secret string, path string, label int")
+    f = secrets.features(F.col("secret"), F.col("before"), F.col("path"))
+    got = df.select("label", f.alias("f")).select("label", F.expr(model).alias("p")).collect()
+    assert sum((r["p"] >= 0.5) == (r["label"] == 1) for r in got) / len(got) > 0.93
+
+
+def test_secrets_are_masked_everywhere(spark, docs, none):
+    key = "ghp_" + "a1B2c3D4e5F6g7H8i9J0" + "kLmNoPqRsTuVwXyZ"
+    texts = [f'token = "{key}" then {key} again', "commit 3f786850e387550fdab836ed7e6dc881de23001b was fine", "id 123e4567-e89b-12d3-a456-426614174000 only", None, ""]
+    df = spark.createDataFrame([(k, t, "src1") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert got[0] == f'token = "{secrets.MASK}" then {secrets.MASK} again'
+    assert [got[k] for k in range(1, 5)] == texts[1:]
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert {r["fp"] for r in out.collect()} == {"z", None}
+    assert secrets.redact(none).count() == 0
+
+
+# --- 2 simhash -----------------------------------------------------------------------------------------------------
+
+
+def simhash_of(text):
+    w = word_list(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_is_brute_force(docs, rows, none):
+    got = simhash.near_duplicates(docs, leaf=4, sample=64).collect()
+    prints = {(r["doc_id"], r["fp"] % 2**64) for r in got}
+    assert len(got) == len(rows) and prints == {(r[0], simhash_of(r[1])) for r in rows}
+    values = sorted({p for _, p in prints})
+    groups = components([(a, b) for a in values for b in values if (a ^ b).bit_count() <= 3])
+    least = {p: min((d for d, q in prints if q in set(g) and d is not None), default=None) for g in groups for p in g}
+    assert all(r["component_id"] == least[r["fp"] % 2**64] for r in got)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_simhash_keeps_one_of_each_group(docs, none):
+    out = simhash.deduplicate(docs)
+    groups = {r["root"] for r in simhash.near_duplicates(docs).collect()}
+    assert out.columns == docs.columns and out.count() == len(groups)
+    assert {r["_key"] for r in out.collect()} <= {"k", None}
+    assert simhash.deduplicate(none).count() == 0
+
+
+@pytest.mark.parametrize(("blocks", "leaf"), [(1, 8), (2, 8), (4, 16)])
+def test_vantage_point_trees_lose_no_link(spark, blocks, leaf):
+    r = np.random.default_rng(3)
+    centres = r.integers(0, 2**63, 60, dtype=np.uint64)
+    flips = np.zeros((60, 12), np.uint64)
+    for k in range(60):
+        for j in range(12):
+            for b in r.choice(64, r.integers(0, 4), replace=False):
+                flips[k, j] ^= np.uint64(1) << np.uint64(b)
+    prints = np.unique((centres[:, None] ^ flips).ravel())
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    edges = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.near_edges(df, 3, blocks, sample=500, leaf=leaf).collect()]
+    want = [(int(a), int(b)) for k, a in enumerate(prints) for b in prints[k + 1 :][np.bitwise_count(prints[k + 1 :] ^ a) <= 3]]
+    assert components(edges) == components(want)
+
+
+# --- 3 substrings --------------------------------------------------------------------------------------------------
+
+
+def removed_words(rows, size=20):
+    texts = defaultdict(list)
+    for r in rows:
+        texts[(r[0] is None, r[0])].append(r[1])
+    seen, out = set(), defaultdict(list)
+    for key in sorted(texts, key=lambda k: (k[0], k[1] or 0)):
+        mine = set()
+        for text in texts[key]:
+            w, local, gone = word_list(text), set(), set()
+            for i in range(len(w) - size + 1):
+                window = tuple(w[i : i + size])
+                if window in seen or window in local:
+                    gone.update(range(i, i + size))
+                local.add(window)
+            mine |= local
+            kept = [x for k, x in enumerate(w) if k not in gone]
+            out[key[1]].append((len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+        seen |= mine
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("start", [5, 10, 20])
+def test_substrings_is_brute_force(docs, rows, start):
+    got = defaultdict(list)
+    for r in substrings.remove_repeats(docs, start=start).collect():
+        got[r["doc_id"]].append((r["n_words"], r["n_removed"], r["kept_sha256"]))
+        assert hashlib.sha256(" ".join(word_list(r["text"])).encode()).hexdigest() == r["kept_sha256"]
+    want = removed_words(rows)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert sum(x[1] for v in want.values() for x in v) > 500
+
+
+def test_substrings_small_alphabet(spark):
+    r = random.Random(1)
+    texts = [(k, " ".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for k in range(80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: [(r["n_words"], r["n_removed"], r["kept_sha256"])] for r in substrings.remove_repeats(df, window=8, start=2).collect()}
+    assert got == removed_words(texts, 8)
+
+
+def test_substrings_deduplicate(docs, none):
+    out = substrings.deduplicate(docs)
+    assert out.columns == docs.columns
+    assert {r["rest"] for r in out.collect()} == {"s", None}
+    assert out.where("text is not null and n_chars is not null and doc_id is not null and n_chars <> length(text)").count() == 0
+    assert substrings.deduplicate(none).count() == 0
+
+
+# --- 4 chat --------------------------------------------------------------------------------------------------------
+
+PATHS = __import__("public_tokenizers")
+
+
+def test_chat_escapes_and_reads_back():
+    r, template = random.Random(2), chat.Template(bpe.encoder(PATHS.path("byte_bpe_50k.tiktoken"), PATHS.PATTERN))
+    parts = ["\\", "#", "###", "### ", "</turn>", "</turn>\n", "\n", ": ", "<", "a", " ", "assistant", "é"]
+    chats = [[(r.choice(["user", "assistant", "", "a:b\\", "###"]), "".join(r.choice(parts) for _ in range(r.randint(0, 9)))) for _ in range(r.randint(0, 4))] for _ in range(400)]
+    for turns, (ids, mask) in zip(chats, template.assemble_all(chats), strict=True):
+        back, learned = template.read(ids, mask)
+        assert back == turns == chat.parse(template.decode(ids)) and chat.render(turns) == template.decode(ids)
+        assert "".join(learned) == "".join(t for role, t in turns if role == "assistant")
+
+
+def test_chat_digests(spark):
+    rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, None, None, None), (2, 1, "assistant", None), (None, 1, "user", "x" * 100_000), (2, 1, "assistant", "again"), (3, 0, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
+    got = {r["conv_id"]: r for r in chat.digest_chats(df, PATHS.path("byte_bpe_50k.tiktoken"), PATHS.PATTERN).collect()}
+    assert {k: r["n_turns"] for k, r in got.items()} == {1: 3, 2: 2, None: 1, 3: 1}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"\n\nuser\na\nassistant\nb\n").hexdigest()
+    assert (got[2]["loss_chars"], got[2]["loss_sha256"]) == (5, hashlib.sha256(b"again").hexdigest())
+    made = chat.format_chats(df, PATHS.path("byte_bpe_50k.tiktoken"), PATHS.PATTERN).collect()
+    assert all(len(r["ids"]) == len(r["loss_mask"]) for r in made) and chat.format_chats(df.limit(0), PATHS.path("byte_bpe_50k.tiktoken"), PATHS.PATTERN).count() == 0
+
+
+# --- 5 embeddings --------------------------------------------------------------------------------------------------
+
+
+def test_quantised_recall_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "LIST", 40)
+    monkeypatch.setattr(quantised, "TILE", 64)
+    monkeypatch.setattr(quantised, "BLOCK", 128)
+    r = np.random.default_rng(8)
+    base = r.standard_normal((600, 16))
+    near = base[:20].repeat(12, axis=0) + 0.12 * r.standard_normal((240, 16))
+    dense = base[0] + 0.05 * r.standard_normal((300, 16))
+    x = np.concatenate((base, near, dense, base[:5], base[:3] * 7))
+    rows = [(int(k), [float(v) for v in x[k]]) for k in range(len(x))]
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, [None] + [1.0] * 15), (5004, [1.0]), (5005, [float("inf")] * 16), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("x", F.lit(1)).repartition(3)
+    got = {r["vec_id"]: r for r in quantised.near_vectors(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    close = unit @ unit.T >= 0.95
+    np.fill_diagonal(close, False)
+    groups = components([(int(a), int(b)) for a, b in np.argwhere(close)])
+    least = {k: g[0] for g in groups for k in g}
+    found = sum(got[k]["n_links"] for k in range(len(x)))
+    assert found >= 0.999 * close.sum() and all(got[k]["n_links"] <= close[k].sum() for k in range(len(x)))
+    assert all(got[k]["component_id"] == least.get(k, k) for k in range(len(x)))
+    assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k, _ in odd)
+    assert quantised.near_vectors(df.limit(0)).count() == 0
+
+
+# --- 6 packing -----------------------------------------------------------------------------------------------------
+
+
+def test_best_bounds_are_optimal():
+    import itertools
+
+    r = random.Random(1)
+    for _ in range(60):
+        lengths = sorted(r.sample(range(0, 60), r.randint(1, 8)))
+        histogram = [(n, c, n * c) for n in lengths for c in [r.randint(1, 9)]]
+        k = r.randint(1, 5)
+        best = min(sum(c * (min(u for u in (*cut, lengths[-1]) if u >= n) - n) for n, c, _ in histogram) for m in range(min(k, len(lengths))) for cut in itertools.combinations(lengths[:-1], m))
+        got = packing.best_bounds(histogram, k)
+        assert got.padding == best and sum(got.rows) == sum(h[1] for h in histogram)
+
+
+def test_packing_whole(docs, rows, none):
+    got = packing.pack_documents(docs, budget=300, buckets=4).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((r[0], len(word_list(r[1]))) for r in rows)
+    batches = defaultdict(list)
+    for r in got:
+        batches[r["batch"]].append(r)
+        assert r["padding"] == r["bound"] - r["n_tokens"] >= 0
+    assert sorted(batches) == list(range(len(batches)))
+    for batch in batches.values():
+        assert sorted(r["slot"] for r in batch) == list(range(len(batch))) and len({r["bucket"] for r in batch}) == 1
+        assert len(batch) == 1 or len(batch) * batch[0]["bound"] <= 300
+    assert packing.pack_documents(none).count() == 0
+
+
+# --- 7 licences ----------------------------------------------------------------------------------------------------
+
+
+def test_licences_held_out(spark, none):
+    lines = [(family, line) for family, found in licences.TEMPLATES.items() for line in found]
+    text = "\n".join(x for _, x in lines)
+    other = "\n".join((*licences.OTHER, "just some more prose of no interest at all", ""))
+    df = spark.createDataFrame([(1, text), (2, other), (3, None), (4, ""), (None, "MIT"), (5, "Some words before. Released under the MIT License. And after it.\n" + "long " * 30_000)], "doc_id long, text string").withColumn("family", F.lit("x"))
+    got = licences.scan(df).collect()
+    assert {(r["paragraph"], r["family"]) for r in got if r["doc_id"] == 1} == set(enumerate(f for f, _ in lines))
+    assert not [r for r in got if r["doc_id"] in (2, 3, 4)]
+    assert [(r["paragraph"], r["family"]) for r in got if r["doc_id"] == 5] == [(0, "MIT")]
+    unknown = licences.scan(spark.createDataFrame([(1, "\n".join(licences.UNKNOWN))], "doc_id long, text string")).collect()
+    assert {r["family"] for r in unknown} == {"unknown"} and len(unknown) == len(licences.UNKNOWN)
+    assert licences.scan(none).count() == 0
+
+
+# --- 8 BPE ---------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_is_the_library(docs, rows, none):
+    import base64
+
+    import tiktoken
+
+    path = PATHS.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=PATHS.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(3)
+    parts = ["a", "e", "th", "in", "é", " ", "  ", "\n", "\t", "1", "23", "'s", "!", "日本", "\x1c", "\x85", "ing", "ß", "😀", "."]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a" * 3000, "ab" * 2000 + " " * 500]
+    tool = bpe.Encoder(path, PATHS.PATTERN)
+    for text, ids in zip(texts, tool.encode(texts), strict=True):
+        assert ids == library.encode_ordinary(text) and tool.decode(ids) == text.encode()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["ids_sha256"], r["decoded_sha256"], r["n_tokens"]) for r in bpe.round_trip(docs, path, PATHS.PATTERN).collect())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = sorted((k is None, k or 0, sha(",".join(map(str, ids)).encode()), sha((t or "").encode()), len(ids)) for k, t, *_ in rows for ids in [library.encode_ordinary(t or "")])
+    assert got == want
+    back = bpe.decode(bpe.encode(docs, path, PATHS.PATTERN), path, PATHS.PATTERN)
+    assert Counter(bytes(r["text"]).decode() for r in back.collect()) == Counter(r[1] or "" for r in rows)
+    assert bpe.round_trip(none, path, PATHS.PATTERN).count() == 0
+
+
+def test_bpe_cache_may_be_dropped(monkeypatch):
+    path = PATHS.path("byte_bpe_50k.tiktoken")
+    texts = [" ".join(f"word{k * j}" for j in range(30)) for k in range(50)]
+    whole = list(bpe.Encoder(path, PATHS.PATTERN).encode(texts))
+    monkeypatch.setattr(bpe, "KEEP_PIECES", 40)
+    monkeypatch.setattr(bpe, "KEEP_PAIRS", 10)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 300)
+    assert list(bpe.Encoder(path, PATHS.PATTERN).encode(texts)) == whole
+
+
+# --- 9 sharding ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (3, 3), (2, 1)])
+def test_hilbert_curve_steps_to_a_neighbour(spark, dims, bits):
+    cell = F.array(*(F.expr(f"cast(shiftright(id, {bits * i}) & {(1 << bits) - 1} as int)") for i in range(dims)))
+    got = sorted((r["h"], r["c"]) for r in spark.range((1 << bits) ** dims).select(cell.alias("c")).withColumn("h", hilbert.curve_index(F.col("c"), dims, bits)).collect())
+    assert [h for h, _ in got] == list(range(len(got)))
+    assert all(sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 for (_, a), (_, b) in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40, 100])
+def test_shards_are_even_and_gapless(docs, rows, none, shards):
+    got = hilbert.shard_documents(docs, shards).collect()
+    raw = lambda t: (t or "").encode()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len(raw(r[1])) + 16, zlib.crc32(raw(r[1]))) for r in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    counts = [len(by.get(k, ())) for k in range(shards)]
+    assert max(counts) - min(counts) <= 1 and sum(counts) == len(rows)
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    assert hilbert.shard_documents(none, shards).count() == 0
+
+
+def test_shards_are_written(spark, docs, tmp_path):
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    hilbert.write_shards(rows, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == rows.count() and back.select("shard").distinct().count() == 4
+
+
+# --- 10 quality ----------------------------------------------------------------------------------------------------
+
+
+def counts(text):
+    w, t = word_list(text), text or ""
+    grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    repeated = {j for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if word_list(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality_counts(docs, rows, none):
+    got = quality.assess(docs).collect()
+    key = lambda r: (r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+    assert Counter(map(key, got)) == Counter((r[0], *counts(r[1])) for r in rows)
+    assert all(r["base_failed"] == (r["n_words"] < 10 or r["n_repeat_words"] * 100 > r["n_words"] * 20) for r in got)
+    assert not any(r["kept"] and r["base_failed"] for r in got) and all(0 <= r["posterior"] <= 1 for r in got)
+    assert quality.assess(none).count() == 0 and quality.filter_quality(none).count() == 0
+    kept = quality.filter_quality(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+
+
+def test_estimate_finds_the_classes():
+    r, good_rate = random.Random(6), 0.8
+    table = Counter()
+    truth = []
+    for _ in range(4000):
+        good = r.random() < good_rate
+        vote = tuple((1 if r.random() < 0.85 else 0) if good else (-1 if r.random() < 0.5 else r.choice((0, 1))) for _ in quality.RULES)
+        table[vote] += 1
+        truth.append((vote, good))
+    w = quality.estimate(sorted(table.items()))
+    odds = lambda v: w.bias + sum(a[x + 1] for a, x in zip(w.adds, v, strict=True))
+    assert abs(w.good_share - good_rate) < 0.05 and sum((odds(v) >= 0) == g for v, g in truth) / len(truth) > 0.97
+
+
+def test_quality_agrees_with_labels(spark):
+    d = "/root/testdata/sf0.01"
+    got = quality.assess(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    good = [r["kept"] for r in got if r["quality"] == 1]
+    bad = [r["kept"] for r in got if r["quality"] == 0]
+    assert sum(good) / len(good) > 0.97 and (not bad or sum(bad) / len(bad) < 0.1)
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf)
+        docs = session.materialize(docs)
+        counts.append(docs.count())
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+    assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] // 2
+    assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+
+
+def test_pipeline_stages_take_odd_rows(spark, docs, none, sf):
+    import corpus_pipeline
+
+    for given in (docs, none):
+        kept = given
+        for _, stage in corpus_pipeline.STAGES:
+            kept = session.materialize(stage(spark, kept, sf))
+        assert kept.count() <= given.count()

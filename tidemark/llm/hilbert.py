@@ -47,7 +47,7 @@ def quantised(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame
 def curve_index(cell: Column, dims: int, bits: int = BITS) -> Column:
     """Place on the Hilbert curve of a grid cell (array of ``dims`` ints below 2**bits), by Skilling's transform."""
     # undo excess work from the highest bit down, one axis at a time
-    steps = F.array(*(F.struct(F.lit(1 << q).alias("q"), F.lit(i).alias("i")) for q in range(bits - 1, 0, -1) for i in range(dims)))
+    steps = F.array(*(F.struct(F.lit(1 << q).alias("q"), F.lit(i).alias("i")) for q in range(bits - 1, 0, -1) for i in range(dims))).cast("array<struct<q:int,i:int>>")
 
     def undo(x: Column, s: Column) -> Column:
         low = s["q"] - 1
@@ -63,7 +63,7 @@ def curve_index(cell: Column, dims: int, bits: int = BITS) -> Column:
 
     def finish(x: Column) -> Column:
         last = F.get(x, F.lit(dims - 1))
-        mask = F.aggregate(F.array(*(F.lit(1 << q) for q in range(bits - 1, 0, -1))), F.lit(0), lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
+        mask = F.aggregate(F.array(*(F.lit(1 << q) for q in range(bits - 1, 0, -1))).cast("array<int>"), F.lit(0), lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
         return F.transform(F.array(mask), lambda m: F.transform(x, lambda v: v.bitwiseXOR(m)))[0]
 
     def interleave(x: Column) -> Column:

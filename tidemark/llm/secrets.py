@@ -193,13 +193,16 @@ def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = Non
 
 def redact(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
     """docs with each secret replaced by MASK wherever it stands in its text; n_chars, if there, follows; other columns as they are."""
-    found = scan(docs, path, labelled, "_findings")
+    # the row goes as one column, so that no column of docs can clash with ours
+    where = F.col(path) if path in docs.columns else F.lit("")
+    found = scan(docs.select(F.struct(*docs.columns).alias("_row"), "text", where.alias("path")), "path", labelled, "_findings")
     secrets = F.array_sort(F.array_distinct(F.transform(F.filter("_findings", lambda x: x["is_secret"]), lambda x: F.struct((-F.length(x["secret"])).alias("n"), x["secret"].alias("s")))))
     clean = let(secrets, lambda s: F.when(F.size(s) == 0, F.col("text")).otherwise(F.aggregate(s, text_of(), lambda t, x: F.replace(t, x["s"], F.lit(MASK)))))
     found = found.withColumn("_clean", clean)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("_clean") != F.col("text"), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.col("_clean")).select(*docs.columns)
+    made = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("_clean")}
+    if "n_chars" in made:
+        made["n_chars"] = F.when(F.col("_clean") != F.col("text"), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(made["n_chars"])
+    return found.select(*(made[c].alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -237,8 +237,9 @@ def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     found = near_duplicates(docs, shingle, radius)
     kept = found.groupBy("root").agg(F.min(F.struct(key.alias("_key"), F.col("fp").alias("_fp"))).alias("k")).select("k._key", "k._fp")
-    tagged = docs.withColumns({"_key": key, "_fp": print_of(F.col("text").cast("string"))})
-    return tagged.join(kept, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select(*docs.columns)
+    # the row goes as one column, so that no column of docs can clash with ours
+    tagged = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), print_of(F.col("text").cast("string")).alias("_fp"))
+    return tagged.join(kept, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
