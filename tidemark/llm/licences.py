@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.llm.session import small_batches
 
 #: Notices by which licence families are named in source files and documents.
 TEMPLATES = {
@@ -250,6 +251,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "paragraph", "predicted", "probability", "template_share", "family"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, paragraph long, predicted string, probability double, template_share double, family string")
 
 

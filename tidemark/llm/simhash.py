@@ -17,14 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm import words
-from tidemark.llm.session import connected_components, materialize
+from tidemark.llm.session import connected_components, materialize, small_batches
 
 SEED = 42
 #: Fingerprints that the trees are shaped on; a bound on what reaches the driver, whatever the input.
@@ -85,6 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint_texts(b.column(1), shingle))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -230,15 +230,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of docs for each component, whole: the one of least doc_id (null last), of several with that id any one."""
 
-    @F.pandas_udf("long")
-    def print_of(text: pd.Series) -> pd.Series:
-        return pd.Series(fingerprint_texts(pa.array(text, pa.string(), from_pandas=True), shingle))
-
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     found = near_duplicates(docs, shingle, radius)
     kept = found.groupBy("root").agg(F.min(F.struct(key.alias("_key"), F.col("fp").alias("_fp"))).alias("k")).select("k._key", "k._fp")
     # the row goes as one column, so that no column of docs can clash with ours
-    tagged = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), print_of(F.col("text").cast("string")).alias("_fp"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.col("text").cast("string").alias("_text"))
+    kind = rows.schema["_row"].dataType.simpleString()
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprint_texts(b.column(2), shingle))], names=["_row", "_key", "_fp"])
+
+    tagged = rows.mapInArrow(tag, f"_row {kind}, _key long, _fp long")
     return tagged.join(kept, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select("_row.*")
 
 

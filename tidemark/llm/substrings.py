@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.llm.session import small_batches
 
 WINDOW = 20
 #: Length of the first level's windows; the wanted length is this times a power of two.
@@ -143,6 +144,7 @@ def covered(docs: DataFrame, window: int = WINDOW, start: int = START, carried:
     key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     slim = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in carried) or (F.lit(0),)).alias("_rest"))
     levels = (window // start).bit_length()
+    small_batches(docs.sparkSession)
     dealt = slim.repartition("_key")
     rows = slim
 
