@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import seconds
 from tidemark.functions.urls import surt
 from tidemark.operators.captures import FIELDS
+from tidemark.operators.ordering import with_previous, with_running
 
 #: SHA-1 of nothing, in base 32: revisits of it need no payload.
 EMPTY_DIGEST = "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
@@ -83,15 +84,18 @@ def indexable(records: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, key: str, time: str, gap_seconds: int) -> DataFrame:
     """(key, session, start, end, events): runs of a key's events with gaps below a limit. A file closes after such a gap.
 
-    Gaps and islands, not session windows: filters on the result stay above the runs.
+    Gaps and islands, not session windows: filters on the result stay above the runs. A very busy key is spread over
+    slices of the global order, so it fills no single task.
     """
-    w = Window.partitionBy(key).orderBy(time)
-    new = F.when(F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(w)) < gap_seconds * 1_000_000, 0).otherwise(1)
-    runs = events.withColumn("_n", new).withColumn("session", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(key, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count(F.lit(1)).alias("events"))
+    near = F.unix_micros(F.col("_t")) - F.unix_micros(F.col("_previous.t")) < gap_seconds * 1_000_000
+    rows = with_previous(events.select(key, F.col(time).alias("_t")), F.struct(F.col(key).alias("k"), F.col("_t").alias("t")), F.col(key), F.col("_t"))
+    new = F.when(F.col("_previous.k").eqNullSafe(F.col(key)) & near, 0).otherwise(1)
+    rows = rows.withColumn("_n", new).drop("_previous")
+    runs = with_running(rows, F.col("_n"), [key], F.col("_t"), F.col("_n").desc()).withColumn("session", F.col("_running") + F.col("_n"))
+    return runs.groupBy(key, "session").agg(F.min("_t").alias("start"), F.max("_t").alias("end"), F.count(F.lit(1)).alias("events"))
 
 
 def rollover(records: DataFrame, max_bytes: int) -> DataFrame:
     """Records with ``file_no``: a file of a collection closes once its records pass max_bytes."""
-    w = Window.partitionBy("collection").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("file_no", F.floor(F.coalesce(F.sum("length").over(w), F.lit(0)) / max_bytes).cast("long"))
+    rows = with_running(records, F.col("length"), ["collection"], F.col("seq"))
+    return rows.withColumn("file_no", F.floor(F.col("_running") / max_bytes).cast("long")).drop("_running")

@@ -40,3 +40,25 @@ def with_previous(df: DataFrame, token: Column, *order: Column) -> DataFrame:
     carried = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_carried"))
     rows = rows.withColumn("_before", F.lag("_token").over(inner)).join(F.broadcast(carried), "_part", "left")
     return rows.withColumn("_previous", F.coalesce("_before", "_carried")["t"]).drop("_token", "_before", "_carried", "_part", "_in")
+
+
+def with_running(df: DataFrame, value: Column, keys: list[str], *order: Column) -> DataFrame:
+    """df with ``_running``: the sum of value over the rows of its keys before each row; 0 for the first.
+
+    A key's rows may fill many slices: each slice sums its own, and only the keys that reach over a slice's end, two a
+    slice at most, carry their sums on.
+    """
+    rows = sliced(df.withColumn("_value", value), *(F.col(k) for k in keys), *order)
+    inner = Window.partitionBy("_part", *keys).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part", *keys).agg(F.sum("_value").alias("_total"), F.min("_in").alias("_first"))
+    starts = totals.groupBy("_part").agg(F.min("_first").alias("_first"), F.max("_first").alias("_last"))
+    edge = totals.join(F.broadcast(starts.select(F.col("_part").alias("_p"), F.col("_first").alias("_a"), F.col("_last").alias("_b"))), F.col("_part") == F.col("_p"))
+    edge = edge.where("_first = _a or _first = _b")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edge.withColumn("_carried", F.sum("_total").over(before)).where("_carried is not null and _first = _a").select("_part", "_first", "_carried", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    same = F.col("_part") == F.col("_q")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.withColumn("_own", F.coalesce(F.sum("_value").over(inner), F.lit(0)))
+    rows = rows.join(F.broadcast(carried.withColumnRenamed("_part", "_q").drop("_first")), same, "left")
+    return rows.withColumn("_running", F.col("_own") + F.coalesce("_carried", F.lit(0))).drop("_value", "_own", "_carried", "_q", *(f"_k{i}" for i in range(len(keys))), "_part", "_in")
