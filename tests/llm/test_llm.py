@@ -217,6 +217,18 @@ def test_substrings_deduplicate(docs, none):
     assert substrings.deduplicate(none).count() == 0
 
 
+def test_substrings_is_its_sql(spark):
+    import duckdb
+
+    from tidemark.llm.registry import SQL
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = {tuple(r) for r in substrings.query(spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
+    assert got == set(con.execute(SQL["op3_substrings"]).fetchall())
+
+
 # --- 4 chat --------------------------------------------------------------------------------------------------------
 
 PATHS = __import__("public_tokenizers")

@@ -21,4 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+ windows AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 19), ' ') AS said FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM d)),
+ again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY said ORDER BY doc_id, pos) AS n FROM windows) WHERE n > 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM again),
+ kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) AS rest FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d) p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
