@@ -93,3 +93,20 @@ def test_archives_as_they_arrive(spark, tmp_path):
         ing.start(archive_stream(spark, str(folder)), str(tmp_path / "cp")).awaitTermination()
     got = {r["url"]: r for r in ing.captures(spark).collect()}
     assert got["http://e/1"]["mime"] == "text/html" and got["http://e/2"]["refers_url"] == "http://e/1" and len(got) == 2
+
+
+def test_running_sums_over_slices(spark):
+    from tidemark.operators.ordering import with_running
+
+    rows = [("hot", k, k % 7) for k in range(4000)] + [(f"k{k % 50}", k, 1) for k in range(400)] + [(None, k, 2) for k in range(30)]
+    df = spark.createDataFrame(rows, "key string, seq long, n long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["key"], r["seq"]): r["_running"] for r in with_running(df, F.col("n"), ["key"], F.col("seq")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, sums = {}, {}
+    for key, seq, n in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want[key, seq] = sums.get(key, 0)
+        sums[key] = want[key, seq] + n
+    assert got == want
