@@ -8,11 +8,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import payload, times, urls
+from tidemark.functions import payload, rewrite, times, urls
 from tidemark.operators import access, captures, fuzzy, ingest, timeline
 from tidemark.operators.access import Rule
 from tidemark.plans import views
 from tidemark.plans.query import CaptureQuery
+from tidemark.sources import text as lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -465,6 +466,26 @@ def size_rollover(spark, d):
     return ingest.rollover(views.documents(spark, d), 20_000).select("collection", "seq", "file_no")
 
 
+@contract(E + "SELECT urlkey, timestamp, url, mime, status, digest, length, \"offset\", filename FROM e")
+def text_lines_parse(spark, d):
+    """Captures written as text, every other one as JSON, and read again."""
+    e = views.events(spark, d)
+    written = e.select(F.when(F.col("seq") % 2 == 0, ingest.text_line()).otherwise(ingest.cdxj_line()).alias("line"))
+    return lines.parse_lines(written).select("urlkey", "timestamp", "url", "mime", "status", "digest", "length", "offset", "filename")
+
+
+@contract("""SELECT page_id, u || CASE WHEN contains(u, '?') THEN '&' ELSE '?' END || CASE WHEN page_id % 2 = 0 THEN '__wb_method=POST&n=' || page_id || '&n.2_=x&t=true' ELSE '__wb_method=PUT&a=' || page_id || '&b=c d' END AS url
+ FROM (SELECT page_id, split_part(url, '#', 1) AS u FROM pages)""")
+def request_keys(spark, d):
+    """URLs that requests with JSON and form bodies are keyed by."""
+    k = F.col("page_id").cast("string")
+    even = F.col("page_id") % 2 == 0
+    body = F.when(even, F.concat(F.lit('{"n": '), k, F.lit(', "a": {"n": "x"}, "t": true}'))).otherwise(F.concat(F.lit("a="), k, F.lit("&b=c+d")))
+    kind = F.when(even, "application/json").otherwise("application/x-www-form-urlencoded")
+    url = F.regexp_replace("url", "#.*$", "")
+    return views.table(spark, d, "pages").select("page_id", rewrite.request_key_url(url, F.when(even, "post").otherwise("PUT"), kind, body.cast("binary")).alias("url"))
+
+
 # --- payload -------------------------------------------------------------------------------------------------------
 
 
