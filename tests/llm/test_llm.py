@@ -121,6 +121,20 @@ def test_secrets_are_masked_everywhere(spark, docs, none):
     assert secrets.redact(none).count() == 0
 
 
+def test_every_secret_of_a_word_is_a_candidate(spark):
+    texts = [
+        '{"password":"hunter2!!","token":"zxcv-bnm!"}', '{"password":"hunter2!!","id":"a1b2c3d4e5f6a7b8c9d0"}', 'password: "hK39#dkfj38DKfj30dkLLmm99!"', "password=hunter2!!&token=zxcv-bnm!",
+        "{" + ",".join(f'"token":"q{k}!x#z{k}w"' for k in range(300)) + "}",
+    ]
+    df = spark.createDataFrame([(k, t, "src1") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: [x["secret"] for x in r["_findings"]] for r in secrets.scan(df).collect()}
+    assert {"hunter2!!", "zxcv-bnm!"} <= set(got[0]) and {"hunter2!!", "a1b2c3d4e5f6a7b8c9d0"} <= set(got[1]) and {"hunter2!!", "zxcv-bnm!"} <= set(got[3])
+    assert "hK39#dkfj38DKfj30dkLLmm99!" in got[2] and set(got[4]) == {f"q{k}!x#z{k}w" for k in range(300) if len(f"q{k}!x#z{k}w") >= 6}
+    assert all(len(x) == len(set(x)) for x in got.values())
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean[0] == f'{{"password":"{secrets.MASK}","token":"{secrets.MASK}"}}' and clean[2] == f'password: "{secrets.MASK}"'
+
+
 # --- 2 simhash -----------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are words of whole texts that look like keys, or stand where a secret is assigned. A forest over candidate
+Candidates of whole texts are long runs that look like keys, every value assigned inside a word, and the whole word where
+a secret is assigned to it; a word gives each of its candidates once. A forest over candidate
 length, character transitions, dictionary coverage, path and neighbouring words, trained from labelled findings, tells
 secrets from digests, ids, placeholders and the like. The trained trees become one SQL expression, so each row is
 scanned, scored and redacted where it lies: no shuffle, no join, no Python on the executors.
@@ -156,6 +157,7 @@ def candidates(text: Column, path: Column) -> Column:
     """Array of (word, secret, f) of a whole text: word is the place of the candidate's word, from 0; f its features."""
     shaped = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
     inline = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd)[\"']?[=:][\"']?([^\s\"']{6,})"
+    joined = inline.replace("[^\\s\\\"']", "[^\\s\\\"'&;,]")  # the same with values cut at what joins assignments
 
     def looked_at(w: Column) -> Column:
         at = lambda i, back: F.coalesce(F.get(w, i - back), F.lit(""))
@@ -164,10 +166,13 @@ def candidates(text: Column, path: Column) -> Column:
         hit = lambda i: (F.octet_length(F.get(w, i)) >= 6) & (long(F.get(w, i)) | assigned(i) | ((F.octet_length(F.get(w, i)) >= 10) & F.get(w, i).rlike(inline)))
         bare = lambda x: F.regexp_replace(x, r"^[\"'(\[{]+|[\"')\]},;.]+$", "")
 
-        def strings(x: Column) -> Column:
-            found = F.filter(F.regexp_extract_all(x, F.lit(f"({shaped})"), F.lit(1)), lambda c: c.rlike("[0-9]"))
-            other = F.when(x.rlike(inline), F.regexp_extract(x, inline, 1)).otherwise(bare(x))
-            return F.when(long(x) & (F.size(found) > 0), found).otherwise(F.array(other))
+        def strings(i: Column) -> Column:
+            x = F.get(w, i)
+            all_of = lambda pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
+            runs = F.filter(all_of(f"({shaped})"), lambda c: c.rlike("[0-9]"))
+            whole = F.when(assigned(i), F.array(bare(x))).otherwise(F.array().cast("array<string>"))
+            found = F.filter(F.array_distinct(F.concat(all_of(inline), all_of(joined), whole, runs)), lambda c: F.length(c) >= 6)
+            return F.when(F.size(found) > 0, found).otherwise(F.array(bare(x)))
 
         def described(i: Column, c: Column) -> Column:
             before = F.concat_ws(" ", at(i, 3), at(i, 2), at(i, 1), F.call_function("substring_index", F.get(w, i), c, F.lit(1)))
@@ -175,7 +180,7 @@ def candidates(text: Column, path: Column) -> Column:
             return F.struct(i.alias("word"), c.alias("secret"), f.alias("f"))
 
         places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), hit)
-        each = F.transform(places, lambda i: F.transform(F.filter(strings(F.get(w, i)), lambda c: F.length(c) >= 6), lambda c: described(i, c)))
+        each = F.transform(places, lambda i: F.transform(F.filter(strings(i), lambda c: F.length(c) >= 6), lambda c: described(i, c)))
         return F.when(F.size(w) == 0, F.array().cast("array<struct<word:int,secret:string,f:array<double>>>")).otherwise(F.flatten(each))
 
     return let(word_array(text), looked_at)
