@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, hilbert, licences, packing, quality, quantised, secrets, session, simhash, substrings, words
+from tidemark.llm import bpe, chat, hilbert, licences, packing, quality, quantised, secrets, session, shingles, simhash, substrings, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, _key string, _row string, rest string, h long"
 
@@ -474,6 +474,26 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
 
 
+def test_near_duplicates_reach_similarity(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, linked = [], []
+    for k in range(240):
+        base = [word() for _ in range(r.randint(60, 300))]
+        n, share = len(base) - 4, r.choice((0.7, 0.8, 0.84, 0.9, 0.95))
+        changed = int(n * (1 - share) / (1 + share))  # of the last shingles: similarity (n - changed) / (n + changed)
+        if share < 0.8:
+            changed += 1
+        texts += [" ".join(base), " ".join(base[: len(base) - changed] + [word() for _ in range(changed)])]
+        linked.append((n - changed) / (n + changed) >= 0.8)
+    assert 20 < linked.count(False) < 100
+    df = spark.createDataFrame([(k, t, "en", "src1", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept == {2 * k for k in range(240)} | {2 * k + 1 for k in range(240) if not linked[k]}
+
+
 def test_pipeline_stages_take_odd_rows(spark, docs, none, sf):
     import corpus_pipeline
 
