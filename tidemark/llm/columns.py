@@ -26,14 +26,18 @@ def word_array(text: Column) -> Column:
 
 
 def positions(df: DataFrame, *order: Column) -> DataFrame:
-    """df with ``_pos``, each row's place from 0 under ``order``.
+    """df with ``_pos``, each row's place from 0 under ``order``; rows that order leaves equal come in any order.
 
     Rows are range-partitioned and sorted, numbered inside their partition, and shifted by the sizes of the partitions
-    before it; only those sizes, one per partition, meet in one task. df should be narrow: it is written once.
+    before it; only those sizes, one per partition, meet in one task. Equal rows are told apart by a scrambled row place,
+    so that they fill as many partitions as others do. df is written once.
     """
     from tidemark.llm.session import materialize
 
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mono", F.monotonically_increasing_id())
+    order = (*order, F.xxhash64(F.monotonically_increasing_id()))
+    keys = [f"_o{k}" for k in range(len(order))]
+    keyed = df.withColumns(dict(zip(keys, order, strict=True)))
+    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys).withColumn("_mono", F.monotonically_increasing_id())
     placed = materialize(placed.withColumns({"_part": F.shiftright("_mono", 33), "_in": F.col("_mono").bitwiseAND((1 << 33) - 1)}))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

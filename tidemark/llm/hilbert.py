@@ -1,24 +1,25 @@
 """Sharding along a Hilbert curve, so that each shard spans a small range of every dimension.
 
-Each dimension is quantised at approximate quantiles of the whole table (a mergeable sketch, no sort), the grid cell's
-place on the Hilbert curve is computed by JVM expressions, rows are ordered by it, and the order is cut into runs whose
-row counts differ by at most one. Rows with equal dimensions are told apart by a hash of their id, so a value that a
-third of all rows share is spread over range partitions like any other. Only the dimensions, the id and the size are
+Each dimension is quantised at quantiles of the whole table (numbers by a mergeable sketch; texts exactly, whole values
+counted and ordered in Spark), the grid cell's place on the Hilbert curve is computed by JVM expressions, rows are ordered by it, and the order is cut into runs whose
+row counts differ by at most one. Rows with equal dimensions are ordered by a hash of id, size and text, and rows equal in
+all of these (null ids, copies) by their place, so no value, however common, makes a range partition that cannot be cut. Only the dimensions, the id and the size are
 shuffled, never the texts.
 
 Defined results: a null text has no bytes, so size 16 and CRC 0; a null dimension sorts first; rows with equal ids are
-placed one by one; fewer rows than shards leave some shards empty; an empty table gives an empty result. Columns other
-than those named are not looked at.
+placed one by one; fewer rows than shards leave some shards empty; an empty table gives an empty result. doc_id, text,
+lang and source must be there; columns other than those are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.columns import positions
+from tidemark.llm.session import materialize
 
 SHARDS = 40
 #: Bits of each dimension's grid; the grid has 2 ** (BITS * dimensions) cells.
@@ -29,19 +30,32 @@ SKETCH = 2_000
 OVERHEAD = 16
 
 
-def text_rank(column: Column) -> Column:
-    """A number that orders strings as their first six bytes do; null first."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def text_edges(df: DataFrame, dim: str, bits: int = BITS) -> list[str]:
+    """The 2**bits - 1 quantiles of a text column over all rows, by whole values.
+
+    Rows are counted by value (combined before the shuffle), the values are ordered in Spark, and only the values at which
+    the running count passes a quantile come to the driver: 2**bits - 1 at most.
+    """
+    counts = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = materialize(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = ordered.groupBy("part").agg(F.sum("n").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select("part", before.alias("before"), F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    here = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = ordered.withColumn("here", here).join(F.broadcast(shifts), "part")
+    passed = lambda c: F.expr(f"(({c}) * {1 << bits}L) div total")
+    hit = placed.select("v", passed("before + here - n").alias("low"), passed("before + here").alias("high")).where("low < high").collect()
+    return [r["v"] for r in sorted(hit, key=lambda r: r["high"]) for k in range(r["low"], r["high"]) if k + 1 < 1 << bits]
 
 
 def quantised(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame:
-    """df with ``_cell``: for each of dims (numbers), how many of the table's 2**bits - 1 quantiles lie below the value."""
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    edges = df.agg(*(F.percentile_approx(d, shares, SKETCH).alias(d) for d in dims)).first()
-    below = lambda d: F.size(F.filter(F.array(*(F.lit(float(x)) for x in edges[d] or ())), lambda x: x < F.col(d)))
-    cell = [below(d) for d in dims]
-    return df.withColumn("_cell", F.array(*cell))
+    """df with ``_cell``: for each of dims (numbers or text), how many of the table's 2**bits - 1 quantiles lie below the value."""
+    shares, texts = [k / (1 << bits) for k in range(1, 1 << bits)], [d for d in dims if df.schema[d].dataType.simpleString() == "string"]
+    numbers = [d for d in dims if d not in texts]
+    found = df.agg(*(F.percentile_approx(d, shares, SKETCH).alias(d) for d in numbers)).first() if numbers else {}
+    edges = {d: [float(x) for x in found[d] or ()] for d in numbers} | {d: text_edges(df, d, bits) for d in texts}
+    below = lambda d: F.size(F.filter(F.array(*map(F.lit, edges[d])), lambda x: x < F.col(d)))
+    return df.withColumn("_cell", F.array(*(below(d) for d in dims)))
 
 
 def curve_index(cell: Column, dims: int, bits: int = BITS) -> Column:
@@ -76,9 +90,10 @@ def curve_index(cell: Column, dims: int, bits: int = BITS) -> Column:
 
 
 def assign(rows: DataFrame, dims: Sequence[str], shards: int = SHARDS) -> DataFrame:
-    """rows (narrow; numbers in dims, an ``_id``) with shard, slot and ``_curve``; shards are runs of the curve order, equal in rows."""
+    """rows (narrow; numbers or text in dims, and _id, size, text_crc32) with shard, slot and ``_curve``; shards are runs of the curve order, equal in rows."""
     placed = quantised(rows, dims).withColumn("_curve", curve_index(F.col("_cell"), len(dims))).drop("_cell")
-    placed = positions(placed, F.col("_curve"), F.xxhash64("_id"), F.col("_id"))
+    shown = [F.col(c) for c in ("_id", "size", "text_crc32")]
+    placed = positions(placed, F.col("_curve"), F.xxhash64(*shown), *shown)
     total = max(placed.count(), 1)
     placed = placed.withColumn("shard", F.expr(f"cast((_pos * {shards}) div {total} as int)"))
     # the first place p with (p * shards) div total = shard
@@ -93,8 +108,8 @@ def described(docs: DataFrame) -> DataFrame:
         (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.octet_length(raw).cast("double").alias("_size"),
-        text_rank(F.col("lang")).alias("_lang"),
-        text_rank(F.col("source")).alias("_source"),
+        F.col("lang").cast("string").alias("_lang"),
+        F.col("source").cast("string").alias("_source"),
     )
 
 
