@@ -26,8 +26,9 @@ from tidemark.llm import words
 from tidemark.llm.session import connected_components, materialize, small_batches
 
 SEED = 42
-#: Fingerprints that the trees are shaped on; a bound on what reaches the driver, whatever the input.
-SAMPLE = 32_768
+#: Fingerprints that the trees are shaped on: SAMPLE at least, and one in SHARE of more than SAMPLE * SHARE, so that shards
+#: stay as large as they are (12 million fingerprints, 100 MB, reach the driver of 10**11 distinct ones).
+SAMPLE, SHARE = 32_768, 8_192
 #: Wanted fingerprints per shard.
 LEAF = 512
 #: Fewest sampled fingerprints that a leaf is cut at.
@@ -157,6 +158,9 @@ def links(stored: np.ndarray, asked: np.ndarray, mask: np.uint64, ball: int, rad
         if not len(s) or not len(a):
             continue
         point, m = vantage(stored[s] & mask) if len(s) > 128 else (None, None)
+        under, r = mask, ball
+        if m is None and len(s) > 128:  # alike in this block: all bits, with the whole radius
+            (point, m), under, r = vantage(stored[s]), ~_U(0), radius
         if m is None:
             for x in range(0, len(s), TILE):
                 for y in range(0, len(a), TILE):
@@ -164,8 +168,8 @@ def links(stored: np.ndarray, asked: np.ndarray, mask: np.uint64, ball: int, rad
                     if len(i):
                         yield s[x + i], a[y + j]
             continue
-        ds, da = (np.bitwise_count((v & mask) ^ point).astype(np.int64) for v in (stored[s], asked[a]))
-        todo += [(s[ds <= m], a[da - ball <= m]), (s[ds > m], a[da + ball > m])]
+        ds, da = (np.bitwise_count((v & under) ^ point).astype(np.int64) for v in (stored[s], asked[a]))
+        todo += [(s[ds <= m], a[da - r <= m]), (s[ds > m], a[da + r > m])]
 
 
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -185,9 +189,10 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 def near_edges(distinct: DataFrame, radius: int = 3, blocks: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column fp) whose components are those of all links within ``radius`` bits."""
     total = distinct.count()
+    sample = max(sample, total // SHARE)
     share = min(1.0, sample / max(total, 1))
-    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample).collect()
-    order = np.sort(np.array([r["fp"] for r in picked], np.int64)).view(_U)
+    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()
+    order = np.sort(picked["fp"].to_numpy().astype(np.int64)).view(_U)
     trees = grow_trees(np.random.default_rng(7).permutation(order), total, radius, blocks, leaf)
     bases = np.cumsum([0, *(t.leaves for t in trees)])
 
@@ -227,8 +232,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     return prints.join(members, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def one_row(rows: DataFrame, *keys: str) -> DataFrame:
+    """``_row`` of one row for each value of keys: of several the one of least hash, whichever task sees it first."""
+    return rows.groupBy(*keys).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+
+
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One row of docs for each component, whole: the one of least doc_id (null last), of several with that id any one."""
+    """One row of docs for each component, whole: the one of least doc_id (null last), of several the one of least hash."""
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     found = near_duplicates(docs, shingle, radius)
@@ -242,7 +252,7 @@ def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprint_texts(b.column(2), shingle))], names=["_row", "_key", "_fp"])
 
     tagged = rows.mapInArrow(tag, f"_row {kind}, _key long, _fp long")
-    return tagged.join(kept, ["_key", "_fp"], "left_semi").dropDuplicates(["_key", "_fp"]).select("_row.*")
+    return one_row(tagged.join(kept, ["_key", "_fp"], "left_semi"), "_key", "_fp")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
