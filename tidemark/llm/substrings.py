@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.session import small_batches
+from tidemark.llm.session import materialize, small_batches
 
 WINDOW = 20
 #: Length of the first level's windows; the wanted length is this times a power of two.
 START = 5
 
-NULL_ID = (1 << 63) - 1
+#: Keys from here on stand for rows without a doc_id, each its own; ids below are taken as they are.
+UNNAMED = 1 << 62
 _U = np.uint64
 
 
@@ -141,8 +142,13 @@ def _long(values: np.ndarray) -> pa.Array:
 
 def covered(docs: DataFrame, window: int = WINDOW, start: int = START, carried: Sequence[str] = ()) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple[int, words.Chunk, np.ndarray]]]]:
     """(rows, reader). rows has _key, _text, _rest (the carried columns) and level results of every row; reader yields (row, words of a chunk, removed words) of its batches."""
-    key: Column = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    key: Column = F.col("doc_id").cast("long")
+    unnamed = not docs.where(key.isNull()).isEmpty()
+    if unnamed:
+        key = F.coalesce(key, F.monotonically_increasing_id() + UNNAMED)
     slim = docs.select(key.alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in carried) or (F.lit(0),)).alias("_rest"))
+    if unnamed:  # texts are read once for each level; a row's number must not change between them
+        slim = materialize(slim)
     levels = (window // start).bit_length()
     small_batches(docs.sparkSession)
     dealt = slim.repartition("_key")
@@ -229,7 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, start: int = START, ca
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", "rest"])
 
     out = rows.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, text string, rest {kind}")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") < UNNAMED, F.col("doc_id")))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
