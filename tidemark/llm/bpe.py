@@ -330,6 +330,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tool.encode(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
@@ -341,6 +342,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tool.decode(ids or []) for ids in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
 
+    small_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text binary")
 
 

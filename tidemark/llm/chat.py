@@ -8,8 +8,8 @@ are summed up to offsets, and the loss mask is the running sum of +1 where an as
 Rows of a conversation are ordered by turn (null first), then role, then text. A conversation is one row of output, so it
 is put together in one task; conversations of any number are spread by id.
 
-Defined results: null text or role is the empty string; rows with equal turns stay apart; a null conv_id is a
-conversation of its own; an empty table gives an empty result; other columns are left alone.
+Defined results: null text or role is the empty string; rows with equal turns stay apart; each row of a null
+conv_id is a conversation of its own; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.session import small_batches
 
 #: What the reserved ids stand for in text, in order from the first id beyond the vocabulary.
 MARKS = ("### ", ": ", "</turn>\n")
@@ -97,7 +98,10 @@ class Template:
 
 def _grouped(conversations: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    return conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    conv = F.col("conv_id").cast("long")
+    alone = F.when(conv.isNull(), F.monotonically_increasing_id())
+    found = conversations.select(conv.alias("conv_id"), alone.alias("alone"), turn.alias("t")).groupBy("conv_id", "alone")
+    return found.agg(F.array_sort(F.collect_list("t")).alias("turns")).drop("alone")
 
 
 def _turns(b: pa.RecordBatch) -> Iterator[list[tuple[str, str]]]:
@@ -116,6 +120,7 @@ def format_chats(conversations: DataFrame, path: str, pattern: str) -> DataFrame
                 ids.append(one), masks.append(mask)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array([template.decode(x) for x in ids], pa.string())], names=["conv_id", "ids", "loss_mask", "text"])
 
+    small_batches(conversations.sparkSession)
     return _grouped(conversations).mapInArrow(run, "conv_id long, ids array<int>, loss_mask array<boolean>, text string")
 
 
@@ -137,6 +142,7 @@ def digest_chats(conversations: DataFrame, path: str, pattern: str) -> DataFrame
             columns = [pa.array(c, pa.string() if k in (1, 3) else pa.int64()) for k, c in enumerate(zip(*rows, strict=True) if rows else [()] * 7)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"])
 
+    small_batches(conversations.sparkSession)
     return _grouped(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
 
 
