@@ -11,8 +11,8 @@ all others are settled by their cosine in double precision.
 Equal vectors are one class with a multiplicity. Lists are cut into tiles, and the vectors that visit a large list into
 blocks, so a task holds a bounded part of any dense group; tasks report link counts and a spanning forest, never pairs.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most of the
-table, link with nothing and stay. Rows with equal vectors link with each other. Rows of one vec_id are counted one by
+Defined results: vectors that are null, zero or hold null or non-finite components link with nothing and stay; vectors of
+different lengths do not link, and each length has its own index. Rows with equal vectors link with each other. Rows of one vec_id are counted one by
 one. An empty table gives an empty result; other columns are left alone.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -123,15 +124,25 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, sample: int = SAMPLE) ->
     usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     given = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     given = given.select("vec_id", F.when(F.coalesce(usable, F.lit(False)), F.col("embedding")).alias("v"))
-    common = given.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = common["d"] if common else 0
-    given = given.withColumn("v", F.when(F.size("v") == width, F.col("v")))
     classes = given.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
-    total = classes.count()
     alone = given.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not total:
+    widths = classes.groupBy(F.size("v").alias("width")).count().collect()
+    if not widths:
         return alone
+    found = reduce(DataFrame.unionAll, (near_classes(classes.where(F.size("v") == r["width"]), r["width"], r["count"], cosine, sample) for r in sorted(widths)))
+    counts = found.where("not edge").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("others"))
+    roots = connected_components(found.where("edge").select("a", "b")).withColumnRenamed("node", "cid")
+    placed = classes.select("cid", "v", "least", "copies").join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = placed.join(named, "root").select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    joined = given.where("v is not null").join(members, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.unionByName(alone)
+
+
+def near_classes(classes: DataFrame, width: int, total: int, cosine: float = 0.95, sample: int = SAMPLE) -> DataFrame:
+    """Over ``total`` distinct vectors (cid, v, copies) of one width: (edge, a, b), where an edge joins two cids and the other rows
+    count, for cid a, b linked vectors; counts come in parts. An index of its own is fitted for them."""
     picked = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).toArrow()["v"].combine_chunks()
     index = fit(picked.flatten().to_numpy(zero_copy_only=False).reshape(len(picked), width), total, cosine)
 
@@ -217,14 +228,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.95, sample: int = SAMPLE) ->
         return pa.table({"edge": edge, "a": np.concatenate((cid[linked], cid[joined])), "b": np.concatenate((links[linked], cid[root[joined]]))})
 
     cells = coded.mapInArrow(route, "cell long, stays boolean, cid long, copies long, x binary, home long, codes binary, error double")
-    found = materialize(cells.groupBy("cell").applyInArrow(compare, "edge boolean, a long, b long"))
-    counts = found.where("not edge").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("others"))
-    roots = connected_components(found.where("edge").select("a", "b")).withColumnRenamed("node", "cid")
-    placed = classes.select("cid", "v", "least", "copies").join(counts, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = placed.join(named, "root").select("v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    joined = given.where("v is not null").join(members, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return joined.unionByName(alone)
+    return materialize(cells.groupBy("cell").applyInArrow(compare, "edge boolean, a long, b long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
