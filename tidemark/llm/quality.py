@@ -12,6 +12,7 @@ and null ids need no rule; an empty table gives an empty result; other columns p
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from tidemark.llm.session import materialize
 
 GRAM = 5
 #: Rounds of expectation-maximisation, and the change of the good share at which it ends.
-ROUNDS, SETTLED = 100, 1e-9
+ROUNDS, SETTLED = 500, 1e-9
 #: Shares of (bad, abstain, good) votes that a rule starts from, in bad and in good texts.
 START = ((0.35, 0.35, 0.30), (0.02, 0.28, 0.70))
 #: Texts that each starting share counts as, relative to all texts: keeps estimates off zero and classes from trading places.
@@ -107,6 +108,7 @@ class Weights:
     adds: tuple[tuple[float, float, float], ...]
     good_share: float
     accuracies: tuple[float, ...]
+    settled: bool = True
 
     def posterior(self, v: Column) -> Column:
         odds = F.lit(self.bias)
@@ -126,8 +128,12 @@ def _adds(shares: list[list[list[float]]]) -> list[tuple[float, float, float]]:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> Weights:
-    """Expectation-maximisation over (votes, count) rows, from START."""
-    share, total = 0.8, sum(n for _, n in patterns)
+    """Expectation-maximisation over (votes, count) rows, from START.
+
+    The share of good texts is held within [0.01, 0.99]. Ends when it changes by less than SETTLED, else after ROUNDS rounds,
+    which ``settled`` tells and a warning says.
+    """
+    share, total, settled = 0.8, sum(n for _, n in patterns), False
     shares = [[list(START[0]), list(START[1])] for _ in RULES]
     for _ in range(ROUNDS if total else 0):
         adds, old = _adds(shares), share
@@ -141,10 +147,13 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> Weights:
                 rule[0][v + 1] += n * (1 - p)
         shares = [[[x / sum(c) for x in c] for c in rule] for rule in found]
         share = min(0.99, max(0.01, good / total))
-        if abs(share - old) < SETTLED:
+        settled = abs(share - old) < SETTLED
+        if settled:
             break
+    if total and not settled:
+        warnings.warn(f"expectation-maximisation has not settled in {ROUNDS} rounds", stacklevel=2)
     right = tuple((share * g[2] + (1 - share) * b[0]) / (share * (g[0] + g[2]) + (1 - share) * (b[0] + b[2])) for b, g in shares)
-    return Weights(math.log(share / (1 - share)), tuple(_adds(shares)), share, right)
+    return Weights(math.log(share / (1 - share)), tuple(_adds(shares)), share, right, settled or not total)
 
 
 def fit(voted: DataFrame) -> Weights:
@@ -163,10 +172,15 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with all their columns. Two passes over the texts, no shuffle of them."""
-    m = measures(text_of())
-    weights = fit(docs.select(let(m, votes).alias("votes")))
-    return docs.where(let(m, lambda x: ~base_failed(x) & (weights.posterior(votes(x)) >= THRESHOLD)))
+    """The rows of docs that pass, with all their columns.
+
+    Texts are measured once: rows are written to the checkpoint folder with their votes, and read back for the verdict.
+    """
+    # the row goes as one column, so that no column of docs can clash with ours
+    judged = let(measures(text_of()), lambda x: F.struct(votes(x).alias("votes"), base_failed(x).alias("failed")))
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), judged.alias("seen")).select("row", "seen.*"))
+    weights = fit(rows)
+    return rows.where(~F.col("failed") & (weights.posterior(F.col("votes")) >= THRESHOLD)).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
