@@ -12,10 +12,17 @@ MAX_ROUNDS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share; one of our own only where none is set (tests)."""
+    """The session's checkpoint folder, which driver and executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    A local master, whose driver and executors are one process, gets a folder of its own where neither is set; any other
+    must name one.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
@@ -30,7 +37,8 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by BATCH_BYTES: rows of text vary too much for a bound on rows alone."""
+    """Bounds the session's Arrow batches by BATCH_BYTES, from now on and for all its queries: rows of text vary too much for a
+    bound on rows alone, and the setting is read when a plan runs, not when it is made."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
