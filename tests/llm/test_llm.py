@@ -191,11 +191,11 @@ def test_simhash_is_brute_force(docs, rows, none):
 
 
 def test_simhash_keeps_one_of_each_group(docs, none):
-    out = simhash.deduplicate(docs)
+    out = simhash.deduplicate_within(docs)
     groups = {r["root"] for r in simhash.near_duplicates(docs).collect()}
     assert out.columns == docs.columns and out.count() == len(groups)
     assert {r["_key"] for r in out.collect()} <= {"k", None}
-    assert simhash.deduplicate(none).count() == 0
+    assert simhash.deduplicate_within(none).count() == 0
 
 
 @pytest.mark.parametrize(("blocks", "leaf"), [(1, 8), (2, 8), (4, 16)])
@@ -617,6 +617,31 @@ def test_near_duplicates_reach_similarity(spark):
     assert kept == {2 * k for k in range(240)} | {2 * k + 1 for k in range(240) if not linked[k]}
 
 
+@pytest.mark.parametrize("block", [8, 64, 1024])
+def test_similar_texts_are_brute_force(spark, monkeypatch, block):
+    """Clusters of copies with similarities all around the wanted one, among texts that share a passage, in blocks of any size."""
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(40)]
+    texts = [" ".join(passage + [word() for _ in range(r.randint(2, 40))]) for _ in range(150)]
+    for size in (2, 3, 5, 150):
+        base = [word() for _ in range(120)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, 7)):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts += [None, "", " \n", "a b", "A B", "a", texts[200].upper(), texts[-1], "x y z u v", "x y z u v w"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[3])]
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := word_list((t or "").lower())) else frozenset() for _, t in rows]
+    same = lambda a, b: a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))
+    groups = components([(a, b) for a in range(len(rows)) for b in range(a) if same(sets[a], sets[b])])
+    gone = {x for g in groups for x in sorted(g)[1:]}
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in got) == sorted(-1 if d is None else d for k, (d, _) in enumerate(rows) if k not in gone)
+
+
 def test_pipeline_stages_take_odd_rows(spark, docs, none, sf):
     import corpus_pipeline
 

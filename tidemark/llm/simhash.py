@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm import words
+from tidemark.llm import shingles, words
 from tidemark.llm.session import connected_components, materialize, small_batches
+from tidemark.llm.shingles import NULL_ID
 
 SEED = 42
 #: Fingerprints that the trees are shaped on: SAMPLE at least, and one in SHARE of more than SAMPLE * SHARE, so that shards
@@ -35,9 +36,6 @@ LEAF = 512
 LEAF_SAMPLE = 8
 #: Rows compared at once inside a shard.
 TILE = 512
-#: Stands for a null doc_id where ids are ordered.
-NULL_ID = (1 << 63) - 1
-
 _U = np.uint64
 
 
@@ -237,7 +235,13 @@ def one_row(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of texts whose five-word shingles are alike to 0.8 or more (see ``shingles``), whole: the
+    one of least doc_id (null last), of several the one of least hash."""
+    return one_row(shingles.kept_rows(docs), "_key", "_cls")
+
+
+def deduplicate_within(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of docs for each component, whole: the one of least doc_id (null last), of several the one of least hash."""
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
