@@ -2,18 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import let
 from tidemark.functions.urls import surt
 
-#: Response headers and what a replay does with each; others are kept, or prefixed where ``strict``.
+#: What a replay does with response headers, by name; headers of other names are kept.
 HEADER_RULES = {
-    "keep": ("content-type", "content-disposition", "content-language", "last-modified", "vary", "warning", "memento-datetime"),
-    "prefix": ("cache-control", "connection", "etag", "expires", "pragma", "server", "x-frame-options", "strict-transport-security", "content-security-policy", "date"),
-    "url": ("location", "content-location", "refresh"),
-    "drop": ("transfer-encoding", "content-encoding", "trailer", "upgrade", "alt-svc"),
+    "access-control-allow-origin": "prefix-if-url-rewrite",
+    "access-control-allow-credentials": "prefix-if-url-rewrite",
+    "access-control-expose-headers": "prefix-if-url-rewrite",
+    "access-control-max-age": "prefix-if-url-rewrite",
+    "access-control-allow-methods": "prefix-if-url-rewrite",
+    "access-control-allow-headers": "prefix-if-url-rewrite",
+    "accept-patch": "keep",
+    "accept-ranges": "keep",
+    "age": "prefix",
+    "allow": "keep",
+    "alt-svc": "prefix",
+    "cache-control": "prefix",
+    "connection": "prefix",
+    "content-base": "url-rewrite",
+    "content-disposition": "keep",
+    "content-encoding": "prefix-if-content-rewrite",
+    "content-language": "keep",
+    "content-length": "content-length",
+    "content-location": "url-rewrite",
+    "content-md5": "prefix",
+    "content-range": "keep",
+    "content-security-policy": "prefix",
+    "content-security-policy-report-only": "prefix",
+    "content-type": "keep",
+    "date": "prefix",
+    "etag": "prefix",
+    "expires": "prefix",
+    "last-modified": "prefix",
+    "link": "keep",
+    "location": "url-rewrite",
+    "p3p": "prefix",
+    "pragma": "prefix",
+    "proxy-authenticate": "keep",
+    "public-key-pins": "prefix",
+    "retry-after": "prefix",
+    "server": "prefix",
+    "set-cookie": "cookie",
+    "status": "prefix",
+    "strict-transport-security": "prefix",
+    "trailer": "prefix",
+    "transfer-encoding": "transfer-encoding",
+    "tk": "prefix",
+    "upgrade": "prefix",
+    "upgrade-insecure-requests": "prefix",
+    "vary": "prefix",
+    "via": "prefix",
+    "warning": "prefix",
+    "www-authenticate": "keep",
+    "x-frame-options": "prefix",
+    "x-xss-protection": "prefix",
 }
 ARCHIVED = "X-Archive-Orig-"
 
@@ -71,17 +119,28 @@ def swap_jsonp(body: Column, url: Column) -> Column:
     return F.when((wanted != "") & (wanted != "?") & body.rlike(shape), F.concat(F.regexp_extract(body, shape, 1), wanted, F.regexp_extract(body, shape, 3))).otherwise(body)
 
 
-def rewrite_headers(headers: Column, prefix: str) -> Column:
-    """Array of (name, value): kept, put behind ARCHIVED, with their URL rewritten, or dropped, by HEADER_RULES."""
-    kind = lambda h, k: F.lower(h["name"]).isin(*HEADER_RULES[k])
-    one = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
-    kept = F.filter(headers, lambda h: ~kind(h, "drop"))
-    return F.transform(
-        kept,
-        lambda h: F.when(kind(h, "url"), one(h["name"], F.regexp_replace(h["value"], r"^(?=https?://)", prefix)))
-        .when(kind(h, "prefix"), one(F.concat(F.lit(ARCHIVED), h["name"]), h["value"]))
-        .otherwise(one(h["name"], h["value"])),
-    )
+def rewrite_headers(headers: Column, prefix: str, urls: bool = True, content: bool = True, cookie: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (name, value) as a replay sends them, by HEADER_RULES.
+
+    ``urls``: links are rewritten at all; ``content``: the body is rewritten, so that its length and encoding no longer hold.
+    ``cookie`` rewrites the value of a cookie; without it cookies are kept.
+    """
+    rule = F.create_map(*(F.lit(x) for kv in HEADER_RULES.items() for x in kv))
+    away = {"prefix", "transfer-encoding"} | ({"prefix-if-url-rewrite"} if urls else set()) | ({"prefix-if-content-rewrite"} if content else set())
+
+    def sent(h: Column) -> Column:
+        name, value = h["name"], h["value"]
+        length = (value == "0") | (value.rlike(r"^\d+$") if not content else F.lit(False))
+
+        def by(kind: Column) -> Column:
+            aside = kind.isin(*away) | ((kind == "content-length") & ~length)
+            out = F.when(kind == "url-rewrite", F.regexp_replace(value, r"^(?=https?://)", prefix)) if urls else F.when(F.lit(False), value)
+            out = out.when(kind == "cookie", cookie(value)) if urls and cookie else out
+            return F.struct(F.when(aside, F.concat(F.lit(ARCHIVED), name)).otherwise(name).alias("name"), out.otherwise(value).alias("value"))
+
+        return let(F.coalesce(F.try_element_at(rule, F.lower(name)), F.lit("keep")), by)
+
+    return F.transform(headers, sent)
 
 
 def byte_range(header: Column, size: Column) -> Column:

@@ -124,9 +124,16 @@ def extension(url: Column) -> Column:
 # --- archival URLs -------------------------------------------------------------------------------------------------
 
 
+#: The form of a calendar query, ``[modifier/][from]*[to]/url`` (or - for *), and of a replay.
+QUERY_FORM = r"(?s)^(?:([\w\-:]+)/)?(\d*)[*-](\d*)/?(.+)$"
+REPLAY_FORM = r"(?s)^(\d*)([a-z]+_|[$][a-z0-9:.-]+)?/{1,3}(.+)$"
+#: What may stand before the first ``:/`` of a URL that names its scheme.
+SCHEME_FORM = r"^[a-zA-Z0-9+-.]+:/"
+
+
 @dataclass(frozen=True)
 class ArchivalUrl:
-    """``[timestamp][modifier]/url``, ``[from]-[to]*/url*`` and the like."""
+    """What ``archival_url`` finds, as text again."""
 
     type: str  # replay, latest_replay, query or url_query
     timestamp: str
@@ -134,38 +141,30 @@ class ArchivalUrl:
     modifier: str
     url: str
 
-    @staticmethod
-    def parse(text: str) -> ArchivalUrl:
-        s = text.lstrip("/")
-        if m := re.match(r"^(?:(\d{0,14})(?:-(\d{0,14}))?)?\*/(.*)$", s, re.S):
-            url = m[3]
-            kind = "url_query" if url.endswith("*") else "query"
-            return ArchivalUrl(kind, m[1] or "", m[2] or "", "", url[:-1] if kind == "url_query" else url)
-        if m := re.match(r"^(\d+)([a-z]{2}_)?/(.*)$", s, re.S):
-            return ArchivalUrl("replay", m[1], "", m[2] or "", m[3])
-        if m := re.match(r"^([a-z]{2}_)/(.*)$", s, re.S):
-            return ArchivalUrl("latest_replay", "", "", m[1], m[2])
-        return ArchivalUrl("latest_replay", "", "", "", s)
-
     def __str__(self) -> str:
         if self.type in ("query", "url_query"):
-            span = self.timestamp + ("-" + self.end_timestamp if self.end_timestamp else "")
-            return f"{span}*/{self.url}" + ("*" if self.type == "url_query" else "")
+            head = f"{self.modifier}/" if self.modifier else ""
+            return f"{head}{self.timestamp}*{self.end_timestamp}/{self.url}" + ("*" if self.type == "url_query" else "")
         head = self.timestamp + self.modifier
         return f"{head}/{self.url}" if head else self.url
 
 
+def schemed(url: Column) -> Column:
+    """A URL with http:// before it if it names no scheme, and with both slashes after the one that it names."""
+    return F.when(url.startswith("urn:"), url).when(~url.rlike(SCHEME_FORM), F.concat(F.lit("http://"), F.regexp_replace(url, "^//", ""))).otherwise(F.regexp_replace(url, r"^([a-zA-Z0-9+-.]+:/)(?=[^/])", "$1/"))
+
+
 def archival_url(text: Column) -> Column:
-    """Struct of an archival URL column: type, timestamp, end_timestamp, modifier, url."""
-    s = F.regexp_replace(text, "^/+", "")
-    query, dated, undated = r"(?s)^(\d{0,14})(?:-(\d{0,14}))?\*/(.*)$", r"(?s)^(\d+)([a-z]{2}_)?/(.*)$", r"(?s)^([a-z]{2}_)/(.*)$"
-    asked = F.regexp_extract(s, query, 3)
-    part = lambda p, k: F.regexp_extract(s, p, k)
-    blank = F.lit("")
-    row = lambda kind, ts, end, mod, url: F.struct(kind.alias("type"), ts.alias("timestamp"), end.alias("end_timestamp"), mod.alias("modifier"), url.alias("url"))
-    return (
-        F.when(s.rlike(query), row(F.when(asked.endswith("*"), "url_query").otherwise("query"), part(query, 1), part(query, 2), blank, F.regexp_replace(asked, r"\*$", "")))
-        .when(s.rlike(dated), row(F.lit("replay"), part(dated, 1), blank, part(dated, 2), part(dated, 3)))
-        .when(s.rlike(undated), row(F.lit("latest_replay"), blank, blank, part(undated, 1), part(undated, 2)))
-        .otherwise(row(F.lit("latest_replay"), blank, blank, blank, s))
-    )
+    """Struct of an archival URL column: type, timestamp, end_timestamp, modifier, url; null where there is no URL in it."""
+    s = F.regexp_replace(text, "^/", "")
+    asked, replayed = s.rlike(QUERY_FORM), s.rlike(REPLAY_FORM)
+
+    def part(query: int, replay: int) -> Column:
+        of = lambda form, k: F.regexp_extract(s, form, k) if k else F.lit("")
+        return F.when(asked, of(QUERY_FORM, query)).when(replayed, of(REPLAY_FORM, replay)).otherwise("")
+
+    url = F.when(asked, F.regexp_extract(s, QUERY_FORM, 4)).when(replayed, F.regexp_extract(s, REPLAY_FORM, 3)).otherwise(s)
+    kind = F.when(asked, F.when(url.endswith("*"), "url_query").otherwise("query")).when(part(0, 1) != "", "replay").otherwise("latest_replay")
+    url = F.when(asked, F.regexp_replace(url, r"\*$", "")).otherwise(url)
+    found = F.struct(kind.alias("type"), part(2, 1).alias("timestamp"), part(3, 0).alias("end_timestamp"), part(1, 2).alias("modifier"), schemed(url).alias("url"))
+    return F.when(s != "", found)

@@ -11,19 +11,22 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import let
 from tidemark.functions.times import moment, pad
 
 EXACT, ANY = "###", "*,"
 ACCESS = ("allow", "block", "exclude", "allow_ignore_embargo")
-#: Up to so many rules become one literal of the plan; more are joined.
-INLINE = 2_000
+#: Up to so many rules become one literal of the plan; more are joined. Results are the same.
+INLINE = 256
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``access`` is one of ACCESS."""
+
     urlkey: str
     access: str
     user: str | None = None
@@ -32,6 +35,10 @@ class Rule:
     newer: dict[str, int] | None = None
     older: dict[str, int] | None = None
 
+    def __post_init__(self):
+        if self.access not in ACCESS:
+            raise ValueError(f"unknown access: {self.access}")
+
 
 def _interval(delta: dict[str, int]) -> Column:
     return F.make_interval(*(F.lit(delta.get(k, 0)) for k in ("years", "months", "weeks", "days")))
@@ -51,13 +58,18 @@ def _met(ts: Column, rule: Rule, as_of: datetime) -> Column | None:
     return None
 
 
+def ranking(rules: Sequence[Rule], user: str | None = None) -> list[int]:
+    """Indices of the rules that a user is under, the one that wins over all others first; of equal ones the first given."""
+    able = [k for k, r in enumerate(rules) if r.user is None or r.user == user]
+    return sorted(able, key=lambda k: (rules[k].urlkey != ANY, rules[k].urlkey, rules[k].user is not None), reverse=True)
+
+
 def best_rule(urlkey: Column, rules: Sequence[Rule], user: str | None = None) -> Column:
     """Index in ``rules`` of the rule that holds for a key; null if none does.
 
     Rule keys of one length can hold for a key only by equality with its head, so each length is one map lookup.
     """
-    able = [(k, r) for k, r in enumerate(rules) if r.user is None or r.user == user]
-    ranked = sorted(able, key=lambda x: (x[1].urlkey != ANY, x[1].urlkey, x[1].user is not None), reverse=True)
+    ranked = [(k, rules[k]) for k in ranking(rules, user)]
     exact = {r.urlkey.removesuffix(EXACT): k for k, r in reversed(ranked) if r.urlkey.endswith(EXACT)}
     heads: dict[int, dict[str, int]] = {}
     for k, r in reversed(ranked):
@@ -71,14 +83,32 @@ def best_rule(urlkey: Column, rules: Sequence[Rule], user: str | None = None) ->
     return F.coalesce(*tries, F.lit(None).cast("int")) if tries else F.lit(None).cast("int")
 
 
+#: A rule as a row: its access, and its date condition if it has one (which, and the time or the interval that it names).
+RULE_ROW = "access string, condition string, stamp string, years int, months int, weeks int, days int"
+
+
+def _row(rule: Rule) -> tuple:
+    condition = next((k for k in ("before", "after", "newer", "older") if getattr(rule, k)), None)
+    given = getattr(rule, condition) if condition else None
+    spans = [given.get(k, 0) if isinstance(given, dict) else 0 for k in ("years", "months", "weeks", "days")]
+    return rule.access, condition, pad(given) if isinstance(given, str) else None, *spans
+
+
+def _row_access(rule: Column, timestamp: Column, default: str, as_of: datetime | None) -> Column:
+    """Access that a rule's row gives a capture time; before, after, newer and older are strict."""
+    ts, now = moment(timestamp), F.lit(as_of or datetime.now()).cast("timestamp")
+    bound = F.coalesce(F.to_timestamp(rule["stamp"], "yyyyMMddHHmmss"), now - F.make_interval(rule["years"], rule["months"], rule["weeks"], rule["days"]))
+    met = F.when(rule["condition"].isin("before", "older"), ts < bound).otherwise(ts > bound)
+    return F.when(rule.isNull(), default).when(rule["condition"].isNull() | met, rule["access"]).otherwise(default)
+
+
 def rule_access(captures: DataFrame, rules: Sequence[Rule], user: str | None = None, default: str = "allow", as_of: datetime | None = None) -> Column:
-    """Access that the rules give a capture, date conditions included."""
-    at, ts = best_rule(F.col("urlkey"), rules, user), moment(F.col("timestamp"))
-    out = F.when(F.lit(False), F.lit(default))
-    for k, r in enumerate(rules):
-        met = _met(ts, r, as_of or datetime.now())
-        out = out.when(at == k, F.lit(r.access) if met is None else F.when(met, r.access).otherwise(default))
-    return out.otherwise(default)
+    """Access that the rules give a capture, date conditions included: one lookup of the rule, and one of its row."""
+    if not rules:
+        return F.lit(default)
+    names = [c.split()[0] for c in RULE_ROW.split(", ")]
+    rows = F.array(*(F.struct(*(F.lit(v).cast(c.split()[1]).alias(n) for v, c, n in zip(_row(r), RULE_ROW.split(", "), names, strict=True))) for r in rules))
+    return let(F.get(rows, best_rule(F.col("urlkey"), rules, user)), lambda r: _row_access(r, F.col("timestamp"), default, as_of))
 
 
 def embargo_access(embargo: Rule | None, as_of: datetime | None = None) -> Column:
@@ -96,7 +126,7 @@ def control(captures: DataFrame, rules: Sequence[Rule], user: str | None = None,
     without a URL pass.
     """
     if len(rules) > INLINE:
-        given = _joined_access(captures, rules, user, default)
+        given = joined_access(captures, rules, user, default, as_of)
     else:
         given = captures.withColumn("_rule", rule_access(captures, rules, user, default, as_of))
     held = embargo_access(embargo, as_of)
@@ -106,18 +136,16 @@ def control(captures: DataFrame, rules: Sequence[Rule], user: str | None = None,
     return out.where(F.col("url").isNull() | (F.col("access") != "exclude"))
 
 
-def _joined_access(captures: DataFrame, rules: Sequence[Rule], user: str | None, default: str) -> DataFrame:
-    """Rules without date conditions, in any number: keys are cut at the rules' lengths and joined on equality."""
-    if any(r.before or r.after or r.newer or r.older for r in rules):
-        raise ValueError("rules with date conditions must be few enough to be inlined")
-    spark = captures.sparkSession
-    able = [r for r in rules if r.user is None or r.user == user]
-    table = spark.createDataFrame([(r.urlkey.removesuffix(EXACT), r.urlkey.endswith(EXACT), r.urlkey == ANY, r.user is not None, r.access) for r in able], "head string, exact boolean, every boolean, own boolean, access string")
-    lengths = sorted({len(r.urlkey.removesuffix(EXACT)) for r in able if r.urlkey != ANY})
-    keys = captures.select("urlkey").distinct()
-    cuts = keys.select("urlkey", F.explode(F.array_distinct(F.transform(F.array(*(F.lit(n) for n in lengths)), lambda n: F.left("urlkey", n)))).alias("head"))
-    hits = cuts.join(table.where("not every"), "head").where("not exact or head = urlkey")
-    rank = Window.partitionBy("urlkey").orderBy(F.length("head").desc(), F.col("exact").desc(), F.col("own").desc())
-    best = hits.withColumn("_n", F.row_number().over(rank)).where("_n = 1").select("urlkey", F.col("access").alias("_found"))
-    every = max(((r.user is not None, r.access) for r in able if r.urlkey == ANY), default=(False, default))[1]
-    return captures.join(best, "urlkey", "left").withColumn("_rule", F.coalesce("_found", F.lit(every))).drop("_found")
+def joined_access(captures: DataFrame, rules: Sequence[Rule], user: str | None = None, default: str = "allow", as_of: datetime | None = None) -> DataFrame:
+    """captures with ``_rule``, the access that rules of any number give: keys are cut at the rules' lengths and joined on equality."""
+    places = ranking(rules, user)
+    table = [(n, rules[k].urlkey.removesuffix(EXACT), rules[k].urlkey.endswith(EXACT), *_row(rules[k])) for n, k in enumerate(places) if rules[k].urlkey != ANY]
+    rows = captures.sparkSession.createDataFrame(table, f"place int, head string, exact boolean, {RULE_ROW}")
+    lengths = sorted({len(r[1]) for r in table})
+    cuts = captures.select("urlkey").distinct().select("urlkey", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.left("urlkey", n)))).alias("head"))
+    hits = cuts.join(rows, "head").where("not exact or head = urlkey")
+    best = hits.groupBy("urlkey").agg(F.min(F.struct("place", *(c.split()[0] for c in RULE_ROW.split(", ")))).alias("_best"))
+    every = [rules[k] for k in places if rules[k].urlkey == ANY][:1]
+    rest = _row_access(F.struct(*(F.lit(v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(_row(every[0]), RULE_ROW.split(", "), strict=True))), F.col("timestamp"), default, as_of) if every else F.lit(default)
+    found = F.when(F.col("_best").isNotNull(), _row_access(F.col("_best"), F.col("timestamp"), default, as_of)).otherwise(rest)
+    return captures.join(best, "urlkey", "left").withColumn("_rule", found).drop("_best")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import seconds
 from tidemark.functions.urls import surt
 from tidemark.operators.captures import FIELDS
+from tidemark.operators.fuzzy import nearest
 from tidemark.operators.ordering import with_previous, with_running
 
 #: SHA-1 of nothing, in base 32: revisits of it need no payload.
@@ -51,12 +51,10 @@ def dedup_skip(captures: DataFrame) -> DataFrame:
 
 def cross_url(revisits: DataFrame, originals: DataFrame) -> DataFrame:
     """Revisits (refers_to_uri, refers_to_date, digest) with the original nearest to that date, of that URL and digest."""
-    wanted = revisits.withColumns({"_key": surt(F.col("refers_to_uri")), "_date": F.col("refers_to_date")})
-    given = originals.select(F.col("urlkey").alias("_key"), F.col("digest").alias("_digest"), F.struct("timestamp", "seq", "offset", "filename").alias("_o"))
-    joined = wanted.join(given, (wanted["_key"] == given["_key"]) & (wanted["digest"] == given["_digest"]), "left").drop(given["_key"])
-    gap = F.struct(F.abs(seconds(F.col("_o.timestamp")) - seconds(F.col("_date"))), F.col("_o.timestamp"), F.col("_o.seq"))
-    best = joined.groupBy("seq").agg(F.min_by("_o", gap).alias("_best"))
-    return revisits.join(best, "seq", "left").select(*revisits.columns, F.col("_best.offset").alias("payload_offset"), F.col("_best.filename").alias("payload_filename"))
+    wanted = revisits.select("seq", surt(F.col("refers_to_uri")).alias("_key"), F.col("digest"), F.col("refers_to_date").alias("_date"))
+    given = originals.select(F.col("urlkey").alias("_key"), "digest", "timestamp", F.col("seq").alias("_seq"), "offset", "filename")
+    best = nearest(given, wanted, ["_key", "digest"], "_date", ("timestamp", "_seq")).select("seq", F.col("offset").alias("payload_offset"), F.col("filename").alias("payload_filename"))
+    return revisits.join(best, "seq", "left")
 
 
 def text_line(fields: tuple[str, ...] = FIELDS) -> Column:

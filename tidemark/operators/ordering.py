@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share; one of our own only where none is set (tests)."""
+    """The session's checkpoint folder, which driver and executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    A local master, whose driver and executors are one process, gets a folder of its own where neither is set; any other
+    must name one.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
@@ -42,6 +49,19 @@ def with_previous(df: DataFrame, token: Column, *order: Column) -> DataFrame:
     return rows.withColumn("_previous", F.coalesce("_before", "_carried")["t"]).drop("_token", "_before", "_carried", "_part", "_in")
 
 
+def with_last(df: DataFrame, value: Column, *order: Column) -> DataFrame:
+    """df with ``_last``: the last value that is not null of the rows before, in global order; null if there is none.
+
+    As ``with_previous``: a window inside each slice, and one row a slice carried on.
+    """
+    rows = sliced(df.withColumn("_value", value), *order)
+    inner = Window.partitionBy("_part").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_in"))).alias("_end"))
+    carried = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    rows = rows.withColumn("_before", F.last("_value", ignorenulls=True).over(inner)).join(F.broadcast(carried), "_part", "left")
+    return rows.withColumn("_last", F.coalesce("_before", "_carried")).drop("_value", "_before", "_carried", "_part", "_in")
+
+
 def with_running(df: DataFrame, value: Column, keys: list[str], *order: Column) -> DataFrame:
     """df with ``_running``: the sum of value over the rows of its keys before each row; 0 for the first.
 

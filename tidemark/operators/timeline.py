@@ -43,13 +43,13 @@ def heat(captures: DataFrame) -> DataFrame:
     return months.groupBy("year").agg(F.max("top").alias("most_in_day"), F.max("n").alias("most_in_month"))
 
 
-def filled_days(captures: DataFrame) -> DataFrame:
-    """Captures of every day between the first and the last, days without any included."""
+def filled_days(captures: DataFrame, *keys: str) -> DataFrame:
+    """Captures of every day between the first and the last (of each of ``keys``), days without any included."""
     day = F.to_date(F.substring("timestamp", 1, 8), "yyyyMMdd")
-    counts = captures.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("captures"))
-    span = counts.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
-    every = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
-    return every.join(counts, "day", "left").select("day", F.coalesce("captures", F.lit(0)).alias("captures"))
+    counts = captures.groupBy(*keys, day.alias("day")).agg(F.count(F.lit(1)).alias("captures"))
+    span = counts.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
+    every = span.select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
+    return every.join(counts, [*keys, "day"], "left").select(*keys, "day", F.coalesce("captures", F.lit(0)).alias("captures"))
 
 
 def blocks(captures: DataFrame, lines: int) -> DataFrame:

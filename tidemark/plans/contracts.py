@@ -178,12 +178,11 @@ def closest_partial_time(spark, d):
  (SELECT o_orderkey AS custkey, make_timestamp((1704067200 + (o_orderkey * 7919) % 2592000) * 1000000) AS d FROM orders)) r, LATERAL (SELECT timestamp, seq FROM (""" + views.EVENTS + """) x WHERE x.urlkey = r.k
  ORDER BY abs(epoch(strptime(x.timestamp, '%Y%m%d%H%M%S')) - epoch(strptime(r.w, '%Y%m%d%H%M%S'))), x.timestamp, x.seq LIMIT 1) e""")
 def replay_nearest(spark, d):
-    """The capture nearest to each request: an as-of join in both directions, as one minimum a request."""
+    """The capture nearest to each request: an as-of join in both directions."""
     o = views.table(spark, d, "orders")
     at = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("o_orderkey") * 7919 % 2_592_000), "yyyyMMddHHmmss")
-    asked = o.select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("com,example,u"), (F.col("o_orderkey") % 150).cast("string"), F.lit(")/view")).alias("asked_key"), at.alias("wanted"))
-    found = asked.join(views.events(spark, d).select("urlkey", "timestamp", "seq"), F.col("asked_key") == F.col("urlkey"))
-    return fuzzy.nearest(found, F.col("wanted")).select("request_id", "timestamp", "seq")
+    asked = o.select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("com,example,u"), (F.col("o_orderkey") % 150).cast("string"), F.lit(")/view")).alias("urlkey"), at.alias("wanted"))
+    return fuzzy.nearest(views.events(spark, d).select("urlkey", "timestamp", "seq"), asked, ["urlkey"], "wanted").select("request_id", "timestamp", "seq")
 
 
 @contract(E + f"SELECT {KEYS} FROM e ORDER BY urlkey DESC, timestamp DESC, seq DESC LIMIT 40")
@@ -226,10 +225,11 @@ def source_exclusion(spark, d):
     return _keys(captures.union({n: parts[n] for n in captures.choose_sources(list(parts), "!part0")}))
 
 
-@contract(E + f"SELECT {KEYS} FROM e WHERE seq % 4 <> 3")
+@contract(E + f"SELECT DISTINCT {KEYS} FROM e")
 def index_merge_distinct(spark, d):
+    """Two indexes that hold all captures between them, and a third of them both."""
     e = _keys(views.events(spark, d))
-    return captures.merge_distinct(e.where("seq % 4 in (0, 1)"), e.where("seq % 4 in (1, 2)"))
+    return captures.merge_distinct(e.where("seq % 3 <> 0"), e.where("seq % 3 <> 1"))
 
 
 # --- URL and scalar functions --------------------------------------------------------------------------------------
@@ -250,11 +250,24 @@ def url_extension(spark, d):
     return views.table(spark, d, "pages").select("page_id", urls.extension(F.col("url")).alias("ext"))
 
 
-@contract("SELECT page_id, 'replay' AS type, '20240101' || lpad(CAST(page_id % 24 AS VARCHAR), 2, '0') AS timestamp, CASE WHEN page_id % 2 = 0 THEN 'id_' ELSE '' END AS modifier, url FROM pages")
+#: Archival URLs by form: text with {u} for a page's URL, and the type, timestamps, modifier and URL that it stands for.
+_FORMS = [
+    ("20240101{h}/{u}", "replay", "20240101{h}", "", "", "{u}"), ("20240101{h}id_/{u}", "replay", "20240101{h}", "", "id_", "{u}"), ("2014wkrf_/{u}", "replay", "2014", "", "wkrf_", "{u}"),
+    ("2014$br:edge-1.0/{u}", "replay", "2014", "", "$br:edge-1.0", "{u}"), ("im_/{u}", "latest_replay", "", "", "im_", "{u}"), ("{u}", "latest_replay", "", "", "", "{u}"), ("2010-2011/{u}", "query", "2010", "2011", "", "{u}"),
+    ("2010*2011/{u}", "query", "2010", "2011", "", "{u}"), ("*/{u}*", "url_query", "", "", "", "{u}"), ("2014*/{u}", "query", "2014", "", "", "{u}"), ("vi_/2014*/{u}", "query", "2014", "", "vi_", "{u}"), ("2014///example.com/a", "replay", "2014", "", "", "http://example.com/a"),
+    ("2014/example.com/{h}", "replay", "2014", "", "", "http://example.com/{h}"), ("2014/http:/example.com/{h}", "replay", "2014", "", "", "http://example.com/{h}"), ("*/example.com*", "url_query", "", "", "", "http://example.com"),
+]
+
+
+@contract(
+    "SELECT page_id, f.type, replace(f.timestamp, '{h}', h) AS timestamp, f.end_timestamp, f.modifier, replace(replace(f.url, '{u}', u), '{h}', h) AS url FROM (SELECT page_id, rtrim(split_part(url, '#', 1), '*') AS u, lpad(CAST(page_id % 24 AS VARCHAR), 2, '0') AS h FROM pages), (VALUES "
+    + ", ".join(str(f[1:]) for f in _FORMS) + ") f(type, timestamp, end_timestamp, modifier, url)"
+)
 def wburl_parse(spark, d):
-    p = views.table(spark, d, "pages")
-    text = F.concat(F.lit("/20240101"), F.lpad((F.col("page_id") % 24).cast("string"), 2, "0"), F.when(F.col("page_id") % 2 == 0, "id_").otherwise(""), F.lit("/"), F.col("url"))
-    return p.select("page_id", urls.archival_url(text).alias("w")).select("page_id", "w.type", "w.timestamp", "w.modifier", "w.url")
+    p = views.table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"\*+$", "").alias("u"), F.lpad((F.col("page_id") % 24).cast("string"), 2, "0").alias("h"))
+    texts = p.withColumn("form", F.explode(F.array(*(F.lit(f[0]) for f in _FORMS))))
+    text = F.replace(F.replace("form", F.lit("{u}"), F.col("u")), F.lit("{h}"), F.col("h"))
+    return texts.select("page_id", urls.archival_url(text).alias("w")).select("page_id", "w.*")
 
 
 @contract("SELECT event_id, substr(t, 1, 4) AS year, substr(t, 5, 2) AS month, substr(t, 7, 2) AS day, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS http_date FROM (SELECT event_id, ts, strftime(ts, '%Y%m%d%H%M%S') AS t FROM events)")
@@ -292,10 +305,11 @@ def timeline_dedupe(spark, d):
     return timeline.dedupe(docs).select("timestamp", "seq")
 
 
-@contract(E + """, c AS (SELECT CAST(strptime(substr(timestamp, 1, 8), '%Y%m%d') AS DATE) AS day, count(*) AS n FROM e WHERE seq % 211 = 0 GROUP BY 1)
-SELECT CAST(x AS DATE) AS day, coalesce(n, 0) AS captures FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS x FROM c) LEFT JOIN c ON c.day = x""")
+@contract(E + """, c AS (SELECT urlkey, CAST(strptime(substr(timestamp, 1, 8), '%Y%m%d') AS DATE) AS day, count(*) AS n FROM e GROUP BY ALL)
+SELECT s.urlkey, CAST(x AS DATE) AS day, coalesce(n, 0) AS captures FROM (SELECT urlkey, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS x FROM c GROUP BY urlkey) s LEFT JOIN c ON c.day = x AND c.urlkey = s.urlkey""")
 def timeline_gapfill(spark, d):
-    return timeline.filled_days(views.events(spark, d).where("seq % 211 = 0"))
+    """Every URL's captures by day, from its first day to its last."""
+    return timeline.filled_days(views.events(spark, d), "urlkey")
 
 
 @contract(E + f"""SELECT year, max(top) AS most_in_day, CAST(max(n) AS BIGINT) AS most_in_month FROM (SELECT year, month, sum(n) AS n, max(n) AS top FROM (SELECT year, month, day, count(*) AS n FROM (SELECT *, {_PARTS} FROM e) GROUP BY ALL) GROUP BY year, month) GROUP BY year""")
@@ -385,18 +399,33 @@ def limit_before_acl(spark, d):
     return _access(q.run(views.events(spark, d), _RULES, as_of=_AS_OF))
 
 
-@contract(E.rstrip() + _RULES_SQL.format(user="nobody") + f"SELECT {KEYS}, access FROM g WHERE access <> 'exclude' AND NOT regexp_matches(urlkey, '^com,example,u[456]\\)/')")
+@contract(E.rstrip() + _RULES_SQL.format(user="nobody") + f"SELECT {KEYS}, access FROM g WHERE access <> 'exclude'")
 def acl_joined(spark, d):
-    """As acl_best_rule without its date rules, by the join that rules of any number take."""
-    plain = [r for r in _RULES if not (r.before or r.newer or r.older)]
-    rows = views.events(spark, d).where(~F.col("urlkey").rlike(r"^com,example,u[456]\)/"))
-    given = access._joined_access(rows, plain, None, "allow").withColumnRenamed("_rule", "access")
-    return _access(given.where("access <> 'exclude'"))
+    """As acl_best_rule, by the join that rules of any number take."""
+    return _access(access.joined_access(views.events(spark, d), _RULES, as_of=_AS_OF).withColumnRenamed("_rule", "access").where("access <> 'exclude'"))
+
+
+#: A rule for every second user and type of event, a third of them dated, and one for everything else.
+_MANY = [
+    Rule(f"com,example,u{u})/{kind}" + ("###" if u % 4 == 0 else ""), ("block", "exclude", "allow_ignore_embargo")[(u + k) % 3], **({"before": "20240115"} if (u + k) % 9 == 0 else {"after": "20240115"} if (u + k) % 9 == 1 else {"older": {"days": 17}} if (u + k) % 9 == 2 else {}))
+    for u in range(0, 1000, 2) for k, kind in enumerate(("click", "error", "purchase", "signup", "view"))
+] + [Rule("*,", "block", after="20240125")]
+
+
+@contract(E + f""", r AS (SELECT 'com,example,u' || u || ')/' || kind AS k, u % 4 = 0 AS exact, (u + i) % 3 AS a, (u + i) % 9 AS c
+  FROM range(0, 1000, 2) x(u), (VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) y(i, kind)),
+ j AS (SELECT e.*, ['block', 'exclude', 'allow_ignore_embargo'][a + 1] AS given, c FROM e LEFT JOIN r ON r.k = e.urlkey),
+ g AS (SELECT *, CASE WHEN given IS NULL THEN CASE WHEN timestamp > '20240125000000' THEN 'block' ELSE 'allow' END WHEN c = 0 THEN CASE WHEN timestamp < '20240115000000' THEN given ELSE 'allow' END
+  WHEN c = 1 THEN CASE WHEN timestamp > '20240115000000' THEN given ELSE 'allow' END WHEN c = 2 THEN CASE WHEN timestamp < '20240115000000' THEN given ELSE 'allow' END ELSE given END AS access FROM j)
+SELECT {KEYS}, CASE access WHEN 'allow_ignore_embargo' THEN 'allow' ELSE access END AS access FROM g WHERE access <> 'exclude'""")
+def acl_2500_rules(spark, d):
+    """Rules in number, with dates."""
+    return _access(access.control(views.events(spark, d), _MANY, as_of=_AS_OF))
 
 
 # --- fuzzy ---------------------------------------------------------------------------------------------------------
 
-_NORMAL = "regexp_replace(regexp_replace({0}, '[?&](_|cb|nocache|uncache)=[0-9]+(&|$)', '\\2', 'g'), '[?&]utm_[a-z]+=[^&]*', '', 'g')"
+_NORMAL = "regexp_replace({0}, '[?&]utm_[^=]+=[^&]+', '', 'g')"
 
 
 @contract(f"SELECT page_id, {_NORMAL.format('k')} AS normal FROM (SELECT page_id, {views.surt_sql('url')} AS k FROM pages)")
@@ -418,6 +447,39 @@ def fuzzy_batch_fallback(spark, d):
     return fuzzy.lookup(index, asked).select("request_id", "seq", "is_fuzzy")
 
 
+def _noisy(spark, d, noise: str) -> DataFrame:
+    """A capture for each event, of one page whose query names the user and carries noise that differs from capture to capture."""
+    e = views.events(spark, d)
+    url = F.concat(F.lit("http://shop.example.com/item?id="), F.regexp_extract("url", r"//u(\d+)", 1), F.lit("&"), F.replace(F.lit(noise), F.lit("{n}"), F.col("seq").cast("string")))
+    return e.withColumns({"url": url, "mime": F.lit("text/html")}).withColumn("urlkey", urls.surt(F.col("url")))
+
+
+_NOISY = "SELECT timestamp, seq FROM e WHERE user_id = '7' AND timestamp BETWEEN '20240105000000' AND '20240120235959'"
+_OF_USER = "WITH e AS (SELECT *, regexp_extract(url, '//u([0-9]+)', 1) AS user_id FROM (" + views.EVENTS + ")) "
+
+
+@contract(_OF_USER + _NOISY)
+def fuzzy_keeps_clamp(spark, d):
+    """The search for a stand-in keeps from and to."""
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&utm_source=me", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    return q.run(_noisy(spark, d, "utm_source={n}")).select("timestamp", "seq")
+
+
+@contract(_OF_USER + _NOISY)
+def fuzzy_jquery(spark, d):
+    """Callbacks that a script library numbers are noise."""
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&back=jquery1_1", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    return q.run(_noisy(spark, d, "back=jquery{n}_1")).select("timestamp", "seq")
+
+
+@contract(_OF_USER + _NOISY)
+def fuzzy_findall(spark, d):
+    """A rule of its own takes all matching arguments as filters, and drops others."""
+    rule = fuzzy.FuzzyRule.of({"url_prefix": "com,example,shop)/", "fuzzy_lookup": {"match": "[?&](id=[^&]+)", "filter": ["~urlkey:.*[?&]{0}(&|$)"], "re_type": "findall"}})
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&z=0", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    return q.run(_noisy(spark, d, "z={n}"), fuzzy_rules=(rule, *fuzzy.DEFAULT_RULES)).select("timestamp", "seq")
+
+
 # --- ingest --------------------------------------------------------------------------------------------------------
 
 
@@ -526,10 +588,19 @@ def jsonp_swap(spark, d):
     return views.table(spark, d, "pages").select("page_id", payload.swap_jsonp(F.concat(F.lit('jQ_1({"a":'), k, F.lit("});")), asked).alias("body"))
 
 
-@contract("""SELECT page_id, name, value FROM (SELECT page_id, unnest([struct_pack(name := 'Content-Type', value := 'text/html'), struct_pack(name := 'X-Archive-Orig-Server', value := 'x'), struct_pack(name := 'Location', value := 'http://archive.example/' || split_part(url, '#', 1)), struct_pack(name := 'X-Own', value := CAST(page_id AS VARCHAR))], recursive := true) FROM pages)""")
+#: Names of response headers in the order of their rules, upper-case ones too, and one that has no rule.
+_HEADERS = [*payload.HEADER_RULES, "X-Own", "ETag", "Content-Type"]
+_KEPT = ("keep", "url-rewrite", "cookie")
+
+
+@contract(
+    "SELECT page_id, CASE WHEN kept THEN name ELSE 'X-Archive-Orig-' || name END AS name, CASE WHEN linked THEN 'http://archive.example/' || value ELSE value END AS value FROM (SELECT page_id, 'http://h' || page_id || '.example.com/' AS value FROM pages), (VALUES "
+    + ", ".join(f"('{n}', {payload.HEADER_RULES.get(n.lower(), 'keep') in _KEPT}, {payload.HEADER_RULES.get(n.lower()) == 'url-rewrite'})" for n in _HEADERS) + ") f(name, kept, linked)"
+)
 def header_rules(spark, d):
-    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    headers = F.array(pair("Content-Type", F.lit("text/html")), pair("Server", F.lit("x")), pair("Transfer-Encoding", F.lit("chunked")), pair("Location", F.regexp_replace("url", "#.*$", "")), pair("X-Own", F.col("page_id").cast("string")))
+    """Every header that has a rule, and some that do not."""
+    value = F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".example.com/"))
+    headers = F.array(*(F.struct(F.lit(n).alias("name"), value.alias("value")) for n in _HEADERS))
     return views.table(spark, d, "pages").select("page_id", F.inline(payload.rewrite_headers(headers, "http://archive.example/")))
 
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import BadRequest
+from tidemark.functions.urls import BadRequest, url_key
 from tidemark.operators import access as acl
 from tidemark.operators import captures as ops
 from tidemark.operators import fuzzy, ingest, timeline
+from tidemark.operators.ordering import materialize
 
 _FALSE = ("", "0", "false", "f", "off")
 
@@ -42,6 +43,7 @@ class CaptureQuery:
     page: int | None = None
     page_size: int = 10
     custom: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=(), compare=False)
+    after: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=(), compare=False)
 
     @staticmethod
     def parse(params: Mapping[str, str | Sequence[str]]) -> CaptureQuery:
@@ -82,11 +84,13 @@ class CaptureQuery:
         return ops.apply_ops(rows, self.custom)
 
     def cut(self, rows: DataFrame) -> DataFrame:
-        """closest, else reverse, else limit."""
+        """closest, else reverse, else limit; then what comes after limits."""
         if self.closest:
             target = datetime.now().strftime("%Y%m%d%H%M%S") if self.closest == "now" else self.closest
-            return ops.closest(rows, target, self.limit)
-        return ops.last(rows, self.limit) if self.reverse else ops.first(rows, self.limit)
+            rows = ops.closest(rows, target, self.limit)
+        else:
+            rows = ops.last(rows, self.limit) if self.reverse else ops.first(rows, self.limit)
+        return ops.apply_ops(rows, self.after)
 
     def run(self, captures: DataFrame | Mapping[str, DataFrame], rules: Sequence[acl.Rule] = (), user: str | None = None, embargo: acl.Rule | None = None, default: str = "allow", as_of: datetime | None = None, fuzzy_rules: Sequence[fuzzy.FuzzyRule] = fuzzy.DEFAULT_RULES) -> DataFrame:
         """The whole query; access comes last, after limits."""
@@ -94,23 +98,25 @@ class CaptureQuery:
             chosen = ops.choose_sources(list(captures), self.sources)
             captures = ops.union({n: captures[n] for n in chosen})
         rows = self.cut(self.select(captures))
-        if self.allow_fuzzy and rows.isEmpty():
-            rows = self._fuzzy(captures, fuzzy_rules, rows)
+        if self.allow_fuzzy and (near := self.fuzzied(fuzzy_rules)) is not None:
+            # at most as many rows as the limit: written once, so that asking for the first costs no second run
+            rows = materialize(rows.withColumn("is_fuzzy", F.lit(None).cast("string")))
+            if rows.isEmpty():
+                rows = near.cut(near.select(captures)).withColumn("is_fuzzy", F.lit("1"))
         if rules or embargo:
             rows = acl.control(rows, rules, user, default, embargo, as_of)
         return rows
 
-    def _fuzzy(self, captures: DataFrame, rules: Sequence[fuzzy.FuzzyRule], none: DataFrame) -> DataFrame:
-        from tidemark.functions.urls import url_key
-
+    def fuzzied(self, rules: Sequence[fuzzy.FuzzyRule] = fuzzy.DEFAULT_RULES) -> CaptureQuery | None:
+        """The query that looks for what may stand in: all of this one but its range, filters, closest and reverse."""
         found = fuzzy.rewrite(self.url, rules)
         if found is None:
-            return none
+            return None
+        asked, key = F.lit(self.url), F.lit(url_key(self.url))
+        general = lambda rows: rows.where(fuzzy.accepts(asked, key, F.col("url"), F.col("urlkey"), F.col("mime"), F.col("status")))
         limit = fuzzy.FUZZY_LIMIT if self.limit == ops.DEFAULT_LIMIT else self.limit
-        rows = ops.first(ops.filter_rows(ops.match(captures, found.url, found.match_type), sorted(found.filters)), limit)
-        if found.rule.prefixes == ("",):
-            rows = rows.where(fuzzy.accepts(F.lit(self.url), F.lit(url_key(self.url)), F.col("url"), F.col("urlkey"), F.col("mime"), F.col("status")))
-        return rows.withColumn("is_fuzzy", F.lit("1"))
+        after = (*self.after, general) if found.rule.prefixes == ("",) else self.after
+        return replace(self, url=found.url, match_type=found.match_type, filters=tuple(sorted(found.filters)), closest=None, reverse=False, limit=limit, allow_fuzzy=False, after=after)
 
     def render(self, rows: DataFrame, prefix: str = "") -> DataFrame:
         """One text line (column ``line``) a row."""
