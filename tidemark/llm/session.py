@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of finished steps. It does so for what the driver's garbage collector
+    finds out of use; a step that moves much more data than the driver holds cannot wait for that to happen by chance."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bytes of one Arrow batch of texts; Spark's own bound is eight times that, twice over in the JVM and again in Python.
 BATCH_BYTES = 8 << 20
 
@@ -57,26 +65,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     combine before the shuffle, so a hub costs no task its whole neighbourhood.
     """
     live = materialize(edges.where("a <> b").distinct())
-    labels = None
-    for round_ in range(MAX_ROUNDS):
-        if live.isEmpty():
-            break
+    steps: list[DataFrame] = []
+    while not live.isEmpty():
+        if len(steps) == MAX_ROUNDS:
+            raise RuntimeError("connected components did not settle")
         both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        salt = F.lit(round_)
+        salt = F.lit(len(steps))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("n"))).alias("m"))
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("n"))
         step = materialize(best.select(F.col("a").alias("old"), F.least("m", own)["n"].alias("new")))
-        if labels is None:
-            labels = step.select(F.col("old").alias("node"), F.col("new").alias("root"))
-        else:
-            labels = labels.join(step, labels["root"] == step["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
-        labels = materialize(labels)
+        steps.append(step)
         left, right = step.select(F.col("old").alias("a"), F.col("new").alias("na")), step.select(F.col("old").alias("b"), F.col("new").alias("nb"))
         moved = live.join(left, "a").join(right, "b").where("na <> nb")
         live = materialize(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    else:
-        raise RuntimeError("connected components did not settle")
-    if labels is None:
+    if not steps:
         return live.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    return labels
-
+    labels = steps[0].select(F.col("old").alias("node"), F.col("new").alias("root"))
+    for step in steps[1:]:  # shorter by a constant factor each
+        labels = labels.join(step, labels["root"] == step["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialize(labels)
