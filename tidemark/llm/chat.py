@@ -153,4 +153,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     tricky = r"\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(added)
-    return digest_chats(rows, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return digest_chats(rows, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).drop("n_tokens", "n_loss_tokens")

@@ -30,4 +30,19 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
  kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) AS rest FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d) p ANTI JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op4_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+ c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(14 + length(role) + length(text) + len(regexp_extract_all(role, '\\|###|</turn>|:')) + len(regexp_extract_all(text, '\\|###|</turn>'))) AS formatted FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM c""",
+    "op5_quantised": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN e]) AND list_bool_or([x <> 0 FOR x IN e]) THEN e END AS e
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+ links AS (SELECT a.k, b.k AS other FROM v a JOIN v b ON a.k <> b.k AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.95),
+ reach AS (SELECT k, k AS other FROM v UNION SELECT r.k, l.other FROM reach r JOIN links l ON l.k = r.other),
+ component AS (SELECT r.k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.other GROUP BY r.k),
+ counts AS (SELECT k, count(*) AS n FROM links GROUP BY k)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN component USING (k) LEFT JOIN counts USING (k)""",
 }
