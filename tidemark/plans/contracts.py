@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import payload, rewrite, times, urls
-from tidemark.operators import access, captures, fuzzy, ingest, timeline
+from tidemark.operators import access, building, captures, fuzzy, ingest, ordering, timeline
 from tidemark.operators.access import Rule
 from tidemark.plans import views
 from tidemark.plans.query import CaptureQuery
@@ -620,6 +621,42 @@ def link_header_rows(spark, d):
 # --- the whole pipeline --------------------------------------------------------------------------------------------
 
 
+@contract(E + f"SELECT {KEYS}, url, digest FROM e WHERE starts_with(urlkey, 'com,example,u12)/')")
+def index_build_sorted(spark, d):
+    """A host of an index that is built from all captures, sorted, written and read back."""
+    path = f"{ordering.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    building.write_index(views.events(spark, d), path)
+    return captures.match(building.read_index(spark, path), "u12.example.com", "host").select("urlkey", "timestamp", "seq", "url", "digest")
+
+
+@contract(E + """ SELECT urlkey || ' ' || timestamp || ' ' || url || ' ' || mime || ' ' || status || ' ' || digest || ' ' || redirect || ' ' || "offset" || ' ' || filename AS line FROM e""")
+def index_nine_fields(spark, d):
+    return building.index_lines(views.events(spark, d), 9).select("line")
+
+
+@contract(E + f"""SELECT {KEYS}, CASE WHEN urlkey LIKE '%)/error' THEN 451 WHEN mime = 'warc/revisit' AND o IS NULL THEN 404 ELSE 200 END AS answer,
+ CASE WHEN urlkey LIKE '%)/error' THEN NULL WHEN mime = 'warc/revisit' THEN 'body ' || o ELSE 'body ' || seq END AS body FROM (SELECT e.*, f.m.seq AS o FROM e LEFT JOIN
+ (SELECT digest, min(struct_pack(k := urlkey, t := timestamp, seq := seq)) AS m FROM e WHERE mime <> 'warc/revisit' GROUP BY digest) f
+ ON f.digest = e.digest AND (f.m.k, f.m.t, f.m.seq) < (e.urlkey, e.timestamp, e.seq))""")
+def load_resources(spark, d):
+    """Payloads by file and offset: of revisits those of their originals, of blocked captures none."""
+    e = views.events(spark, d)
+    body = F.concat(F.lit("body "), F.col("seq").cast("string")).cast("binary")
+    records = e.select("filename", F.col("offset").cast("long").alias("offset"), F.lit("HTTP/1.1 200 OK").alias("status_line"), F.array(F.struct(F.lit("A").alias("name"), F.lit("b").alias("value"))).alias("headers"), body.alias("payload"))
+    given = captures.resolve_revisits(e).withColumn("access", F.when(F.col("urlkey").endswith(")/error"), "block").otherwise("allow"))
+    # a resolved revisit has its original's type: what it was is told by its origin
+    return building.load_resources(given, records).select("urlkey", "timestamp", "seq", "answer", F.col("payload").cast("string").alias("body"))
+
+
+@contract("""SELECT event_id, collection FROM (SELECT event_id, 'c' || (user_id % 7) AS collection FROM events) WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND regexp_matches(collection, '^c[1-4]')""")
+def recorder_filters(spark, d):
+    """Exchanges that neither side asks to skip, of the collections that are recorded."""
+    e = views.table(spark, d, "events")
+    headers = lambda n: F.array(F.struct(F.lit("Recorder-Skip").alias("name"), F.when(F.col("event_id") % n == 0, "1").otherwise("0").alias("value")))
+    rows = e.select("event_id", F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("collection"), headers(5).alias("request_headers"), headers(7).alias("response_headers"))
+    return building.recorded(rows, ("c[12]", "c3", "c4$")).select("event_id", "collection")
+
+
 @contract(RESOLVED.rstrip() + """, f AS (SELECT * FROM r WHERE status = '200' AND timestamp >= '20240103000000' AND timestamp <= '20240120235959'),
  c AS (SELECT *, lag(substr(timestamp, 1, 8) || '|' || status) OVER (ORDER BY urlkey, timestamp, seq) AS p FROM f), k AS (SELECT * FROM c WHERE p IS NULL OR p <> substr(timestamp, 1, 8) || '|' || status),
  n AS (SELECT * FROM k ORDER BY """ + _DISTANCE.format("2024-01-10 00:00:00") + """, urlkey, timestamp, seq LIMIT 200)

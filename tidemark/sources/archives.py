@@ -28,6 +28,8 @@ _TYPES = [pa.int64() if n in ("offset", "length") else pa.string() for n in _NAM
 _ARROW = pa.schema(list(zip(_NAMES, [*_TYPES, pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary()], strict=True)))
 #: Bytes of payload that leave a task together.
 BATCH = 16 << 20
+#: Bytes of a compressed file that are given to the decompressor together.
+FEED = 1 << 15
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -37,15 +39,18 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         return
     at = 0
     while at < len(data):
-        tool = zlib.decompressobj(31)
+        # fed block by block: what lies behind the member is handed back, and must not be the rest of the file each time
+        tool, content, fed = zlib.decompressobj(31), [], at
         try:
-            content = tool.decompress(memoryview(data)[at:])
+            while not tool.eof and fed < len(data):
+                content.append(tool.decompress(data[fed : fed + FEED]))
+                fed = min(fed + FEED, len(data))
         except zlib.error:
             return
         if not tool.eof:
             return
-        size = len(data) - at - len(tool.unused_data)
-        yield at, size, content
+        size = fed - len(tool.unused_data) - at
+        yield at, size, b"".join(content)
         at += size
 
 
@@ -64,8 +69,9 @@ def header_block(block: bytes) -> tuple[str, list[tuple[str, str]]]:
 
 def _end_of_head(data: bytes, at: int) -> tuple[int, int]:
     """Where a header block ends, and where its body begins."""
-    found = [(k, k + len(sep)) for sep in (b"\r\n\r\n", b"\n\n") if (k := data.find(sep, at)) >= 0]
-    return min(found, default=(len(data), len(data)))
+    full = data.find(b"\r\n\r\n", at)
+    bare = data.find(b"\n\n", at, full if full >= 0 else len(data))
+    return (bare, bare + 2) if bare >= 0 else (full, full + 4) if full >= 0 else (len(data), len(data))
 
 
 def _record(kind: str, fields: dict[str, str], content: bytes) -> dict:
