@@ -165,6 +165,14 @@ def choose_sources(names: Sequence[str], spec: str = "*") -> list[str]:
     return [n for n in names if (n in wanted) != inverted]
 
 
+def first_found(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """For each value of keys the rows of the first source that has any: later sources stand in for what earlier ones lack."""
+    every = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.withColumn("_rank", F.lit(k)) for k, s in enumerate(sources)))
+    best = every.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("_rank").alias("_best"))
+    same = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return every.join(best, same & (F.col("_rank") == F.col("_best"))).drop("_rank", "_best", *(f"_{k}" for k in keys))
+
+
 def merge_distinct(*indexes: DataFrame) -> DataFrame:
     """Rows of several indexes, equal ones once."""
     return functools.reduce(lambda a, b: a.unionByName(b), indexes).distinct()

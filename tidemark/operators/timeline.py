@@ -100,3 +100,13 @@ def timemap(captures: DataFrame, prefix: str) -> DataFrame:
     rows = captures.join(F.broadcast(last), F.lit(True))
     here = F.struct("urlkey", "timestamp", "seq")
     return rows.select("urlkey", "timestamp", "seq", F.concat(text, F.when(here == F.col("_last"), "").otherwise(",")).alias("link"))
+
+
+def timemap_header(captures: DataFrame, url: str, timegate: str, self_url: str) -> DataFrame:
+    """The three lines (number, link) before a time map: itself, from its first capture on, its time gate, and the original."""
+    begin = captures.agg(F.min(F.struct("urlkey", "timestamp", "seq"))["timestamp"].alias("first"))
+    since = F.coalesce(F.concat(F.lit('; from="'), http_date(F.col("first")), F.lit('"')), F.lit(""))
+    lines = (
+        F.concat(F.lit(f'<{self_url}>; rel="self"; type="application/link-format"'), since, F.lit(",")), F.lit(f'<{timegate}>; rel="timegate",'), F.lit(f'<{url}>; rel="original",'),
+    )
+    return begin.select(F.posexplode(F.array(*lines)).alias("number", "link"))
