@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import http_date
@@ -110,3 +112,20 @@ def timemap_header(captures: DataFrame, url: str, timegate: str, self_url: str)
         F.concat(F.lit(f'<{self_url}>; rel="self"; type="application/link-format"'), since, F.lit(",")), F.lit(f'<{timegate}>; rel="timegate",'), F.lit(f'<{url}>; rel="original",'),
     )
     return begin.select(F.posexplode(F.array(*lines)).alias("number", "link"))
+
+
+def replay_links(captures: DataFrame, prefix: str) -> DataFrame:
+    """captures with ``links``, the link header of their replay: original, time gate, time map, and the capture itself."""
+    url, ts = F.col("url"), F.col("timestamp")
+    link = lambda target, rel, *more: F.concat(F.lit("<"), target, F.lit(f'>; rel="{rel}"'), *more)
+    links = (
+        link(url, "original"), link(F.concat(F.lit(prefix), url), "timegate"), link(F.concat(F.lit(f"{prefix}timemap/link/"), url), "timemap", F.lit('; type="application/link-format"')),
+        link(F.concat(F.lit(prefix), ts, F.lit("mp_/"), url), "memento", F.lit('; datetime="'), http_date(ts), F.lit('"')),
+    )
+    return captures.withColumn("links", F.concat_ws(", ", *links))
+
+
+def listed_sources(spark: SparkSession, sources: Mapping[str, DataFrame | str]) -> DataFrame:
+    """(name, type) of the sources in scope: table for a frame, else the ending of the path, or folder."""
+    kind = lambda s: "table" if isinstance(s, DataFrame) else (s.rsplit("/", 1)[-1].rpartition(".")[2] if "." in s.rsplit("/", 1)[-1] else "folder")
+    return spark.createDataFrame([(n, kind(s)) for n, s in sources.items()], "name string, type string")

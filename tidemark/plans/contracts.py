@@ -657,6 +657,20 @@ def recorder_filters(spark, d):
     return building.recorded(rows, ("c[12]", "c3", "c4$")).select("event_id", "collection")
 
 
+@contract(E + """ SELECT seq, '<' || url || '>; rel="original", <http://a/c/' || url || '>; rel="timegate", <http://a/c/timemap/link/' || url || '>; rel="timemap"; type="application/link-format", <http://a/c/' || timestamp || 'mp_/' || url
+ || '>; rel="memento"; datetime="' || strftime(strptime(timestamp, '%Y%m%d%H%M%S'), '%a, %d %b %Y %H:%M:%S GMT') || '"' AS links FROM e""")
+def replay_links(spark, d):
+    return timeline.replay_links(views.events(spark, d), "http://a/c/").select("seq", "links")
+
+
+@contract(D + """, s AS (SELECT 0 AS r, * FROM d WHERE collection <> 'src1' UNION ALL SELECT 1, * FROM d)
+SELECT url, seq FROM s WHERE (url, r) IN (SELECT url, min(r) FROM s GROUP BY url)""")
+def first_source(spark, d):
+    """For each URL the captures of the first source that has any."""
+    docs = views.documents(spark, d)
+    return captures.first_found([docs.where("collection <> 'src1'"), docs], ["url"]).select("url", "seq")
+
+
 @contract(RESOLVED.rstrip() + """, f AS (SELECT * FROM r WHERE status = '200' AND timestamp >= '20240103000000' AND timestamp <= '20240120235959'),
  c AS (SELECT *, lag(substr(timestamp, 1, 8) || '|' || status) OVER (ORDER BY urlkey, timestamp, seq) AS p FROM f), k AS (SELECT * FROM c WHERE p IS NULL OR p <> substr(timestamp, 1, 8) || '|' || status),
  n AS (SELECT * FROM k ORDER BY """ + _DISTANCE.format("2024-01-10 00:00:00") + """, urlkey, timestamp, seq LIMIT 200)
