@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the component, so paths and stars both take O(log n) rounds. All steps are grouped or joined on labels; the minima
     combine before the shuffle, so a hub costs no task its whole neighbourhood.
     """
-    live = materialize(edges.where("a <> b").distinct())
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+
+    def table(df: DataFrame) -> DataFrame:
+        """df, written and read back with its true size: that of a checkpoint is its plan's guess, which joins multiply round by
+        round until the planner does nothing but multiply."""
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    live = table(edges.where("a <> b").distinct())
     steps: list[DataFrame] = []
     while not live.isEmpty():
         if len(steps) == MAX_ROUNDS:
@@ -73,14 +84,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         salt = F.lit(len(steps))
         best = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("h"), F.col("b").alias("n"))).alias("m"))
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("n"))
-        step = materialize(best.select(F.col("a").alias("old"), F.least("m", own)["n"].alias("new")))
+        step = table(best.select(F.col("a").alias("old"), F.least("m", own)["n"].alias("new")))
         steps.append(step)
         left, right = step.select(F.col("old").alias("a"), F.col("new").alias("na")), step.select(F.col("old").alias("b"), F.col("new").alias("nb"))
         moved = live.join(left, "a").join(right, "b").where("na <> nb")
-        live = materialize(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
-    if not steps:
-        return live.select(F.col("a").alias("node"), F.col("a").alias("root"))
-    labels = steps[0].select(F.col("old").alias("node"), F.col("new").alias("root"))
-    for step in steps[1:]:  # one join a plan: the planner's time grows steeply with joins on coalesced columns
-        labels = materialize(labels.join(step, labels["root"] == step["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
+        live = table(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+    labels = live.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    if steps:
+        labels = steps[0].select(F.col("old").alias("node"), F.col("new").alias("root"))
+    for step in steps[1:]:
+        labels = table(labels.join(step, labels["root"] == step["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
+    labels = materialize(labels)
+    remove(spark, folder)
     return labels
