@@ -621,6 +621,7 @@ def test_near_duplicates_reach_similarity(spark):
 def test_similar_texts_are_brute_force(spark, monkeypatch, block):
     """Clusters of copies with similarities all around the wanted one, among texts that share a passage, in blocks of any size."""
     monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(shingles, "PAIRED", 20)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     passage = [word() for _ in range(40)]
