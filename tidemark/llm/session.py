@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of finished steps. It does so for what the driver's garbage collector
-    finds out of use; a step that moves much more data than the driver holds cannot wait for that to happen by chance."""
+    finds out of use; a step that moves much more data than the driver holds cannot wait for that to happen by chance.
+    Spark's event queues hold on to the last query until the next one, so an empty one is run first; and Python's finalizers
+    reach the JVM by a thread that looks once a second."""
+    spark.range(1).collect()
     gc.collect()
+    time.sleep(1.5)
     spark._jvm.System.gc()
 
 
