@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, chat, hilbert, licences, packing, quality, quantised, secrets, simhash, substrings
+from tidemark.llm import bpe, chat, hilbert, licences, packing, periodic, quality, quantised, resampling, secrets, simhash, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.query,
     "op9_hilbert": hilbert.query,
     "op10_quality": quality.query,
+    "op11_topk": topk.query,
+    "op12_resampling": resampling.query,
+    "op13_runs": periodic.query,
 }
 
 SQL: dict[str, str] = {
@@ -45,4 +48,25 @@ WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN list_bo
  component AS (SELECT r.k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.other GROUP BY r.k),
  counts AS (SELECT k, count(*) AS n FROM links GROUP BY k)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN component USING (k) LEFT JOIN counts USING (k)""",
+    "op11_topk": """
+WITH v AS (SELECT row_number() OVER () AS k, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND coalesce(list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]), true)),
+ pairs AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) = len(c.e) THEN list_dot_product(q.e, c.e) END AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.k <> c.k AND len(q.e) = len(c.e)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5""",
+    "op12_resampling": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+ b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+ o AS (SELECT doc_id, row_number() OVER () AS k, words FROM d),
+ w AS (SELECT k, unnest(words) AS word FROM o),
+ distinct_words AS (SELECT word, [CAST('0x' || substr(hex(encode(word)), 2 * CAST(i AS INTEGER) + 1, 2) AS BIGINT) FOR i IN range(octet_length(encode(word)))] AS bytes FROM (SELECT word FROM w UNION SELECT word FROM b)),
+ crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda r, _: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 10000 AS bucket FROM distinct_words),
+ corpus AS (SELECT bucket, count(*) AS s FROM w JOIN crc USING (word) GROUP BY bucket),
+ target AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (word) GROUP BY bucket),
+ gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0)::DOUBLE * ((SELECT count(*) FROM w) + 10000) / ((coalesce(s, 0) + 1.0)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS g FROM corpus FULL JOIN target USING (bucket)),
+ weight AS (SELECT k, sum(g) AS weight FROM w JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY k),
+ scored AS (SELECT doc_id, k, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM o LEFT JOIN weight USING (k)),
+ placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN n <= 10 * (SELECT count(*) FROM placed) // 100 THEN n END AS rank FROM scored s LEFT JOIN placed p USING (k)""",
 }
