@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,17 +31,29 @@ ALIASES = {
 DEFAULT_LIMIT = 100_000
 
 
+class Index(Protocol):
+    """Captures in key order of which a range can be read."""
+
+    def scan(self, start: str | None = None, end: str | None = None) -> DataFrame: ...
+
+
 def ordered(*extra: Column, descending: bool = False) -> list[Column]:
     return [*extra, *(F.col(c).desc() if descending else F.col(c) for c in ORDER)]
 
 
-def match(captures: DataFrame, url: str, match_type: str = "exact") -> DataFrame:
-    """Captures whose key a URL matches. ``*.host`` asks for the domain, a trailing ``*`` for the prefix."""
+def asked(url: str, match_type: str = "exact") -> tuple[str, str]:
+    """URL and match type of what is asked: ``*.host`` asks for the domain, a trailing ``*`` for the prefix."""
     if url.startswith("*."):
-        url, match_type = url[2:], "domain"
-    elif url.endswith("*"):
-        url, match_type = url[:-1], "prefix"
+        return url[2:], "domain"
+    return (url[:-1], "prefix") if url.endswith("*") else (url, match_type)
+
+
+def match(captures: DataFrame | Index, url: str, match_type: str = "exact") -> DataFrame:
+    """Captures whose key a URL matches, wildcards as in ``asked``; of an index that can ``scan`` a range, its range is read."""
+    url, match_type = asked(url, match_type)
     start, end = key_range(url, match_type)
+    if hasattr(captures, "scan"):
+        captures = captures.scan(start, end)
     if match_type == "exact":
         return captures.where(F.col("urlkey") == start)
     if match_type == "prefix":

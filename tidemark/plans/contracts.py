@@ -14,6 +14,7 @@ from tidemark.operators import access, building, captures, fuzzy, ingest, orderi
 from tidemark.operators.access import Rule
 from tidemark.plans import views
 from tidemark.plans.query import CaptureQuery
+from tidemark.sources import blocks
 from tidemark.sources import text as lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -629,6 +630,43 @@ def index_build_sorted(spark, d):
     return captures.match(building.read_index(spark, path), "u12.example.com", "host").select("urlkey", "timestamp", "seq", "url", "digest")
 
 
+@contract(E + "SELECT urlkey, timestamp, url, digest, \"offset\" FROM e WHERE starts_with(urlkey, 'com,example,u12)/') OR starts_with(urlkey, 'com,example,u3')")
+def text_index_range(spark, d):
+    """A host and a prefix of a sorted text index of all captures, of which their bytes alone are read."""
+    path = f"{ordering.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    building.write_text_index(views.events(spark, d), path)
+    index = lines.TextIndex(spark, path)
+    found = captures.match(index, "u12.example.com", "host").unionByName(index.scan("com,example,u3", "com,example,u4"))
+    return found.select("urlkey", "timestamp", "url", "digest", "offset")
+
+
+def _block_index(spark, d) -> blocks.BlockIndex:
+    return blocks.write_block_index(views.events(spark, d), f"{ordering.shared_folder(spark)}/blocks-{uuid.uuid4().hex}", lines=300)
+
+
+@contract(E + "SELECT urlkey, timestamp, url, digest, \"offset\" FROM e WHERE starts_with(urlkey, 'com,example,u12)/') OR starts_with(urlkey, 'com,example,u3')")
+def block_index_range(spark, d):
+    """The same of a compressed block index, of which the blocks of the ranges are read."""
+    index = _block_index(spark, d)
+    found = index.scan(*urls.key_range("u12.example.com", "host")).unionByName(index.scan("com,example,u3", "com,example,u4"))
+    return found.select("urlkey", "timestamp", "url", "digest", "offset")
+
+
+@contract(E + """, n AS (SELECT *, (row_number() OVER (ORDER BY urlkey, timestamp, seq) - 1) // 300 AS block FROM e)
+SELECT urlkey, timestamp, "offset" FROM n WHERE block >= 8 AND block < 12""")
+def query_page(spark, d):
+    """The third page, of four blocks, of all captures."""
+    return CaptureQuery.parse({"url": "*.example.com", "page": "2", "pageSize": "4", "limit": "0"}).run(_block_index(spark, d)).select("urlkey", "timestamp", "offset")
+
+
+@contract(E + """, n AS (SELECT *, (row_number() OVER (ORDER BY urlkey, timestamp, seq) - 1) // 300 AS block FROM e), s AS (SELECT block, min(urlkey) AS first FROM n GROUP BY block),
+ b AS (SELECT count(*) AS n FROM s WHERE first < 'com,example,u12*' AND block >= coalesce((SELECT max(block) FROM s WHERE first < 'com,example,u12)/'), 0))
+SELECT CAST(ceil(n / 2.0) AS BIGINT) AS pages, CAST(2 AS BIGINT) AS "pageSize", n AS blocks FROM b""")
+def query_num_pages(spark, d):
+    """How many pages of two blocks a host has."""
+    return CaptureQuery.parse({"url": "u12.example.com", "matchType": "host", "showNumPages": "1", "pageSize": "2"}).run(_block_index(spark, d))
+
+
 @contract(E + """ SELECT urlkey || ' ' || timestamp || ' ' || url || ' ' || mime || ' ' || status || ' ' || digest || ' ' || redirect || ' ' || "offset" || ' ' || filename AS line FROM e""")
 def index_nine_fields(spark, d):
     return building.index_lines(views.events(spark, d), 9).select("line")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import BadRequest, url_key
+from tidemark.functions.urls import BadRequest, key_range, url_key
 from tidemark.operators import access as acl
 from tidemark.operators import captures as ops
 from tidemark.operators import fuzzy, ingest, timeline
-from tidemark.operators.ordering import materialize
+from tidemark.sources.blocks import BlockIndex
 
 _FALSE = ("", "0", "false", "f", "off")
 
@@ -41,7 +41,8 @@ class CaptureQuery:
     allow_fuzzy: bool = True
     sources: str = "*"
     page: int | None = None
-    page_size: int = 10
+    page_size: int | None = None
+    count_pages: bool = False
     custom: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=(), compare=False)
     after: tuple[Callable[[DataFrame], DataFrame], ...] = field(default=(), compare=False)
 
@@ -70,9 +71,18 @@ class CaptureQuery:
             raise BadRequest(str(e)) from e
         return CaptureQuery(
             url, match, filters, one("from") or one("from_ts"), one("to"), one("closest"), to_bool(one("reverse")) or one("sort") == "reverse", numbers.get("limit", ops.DEFAULT_LIMIT),
-            to_bool(one("resolveRevisits")), numbers.get("collapseTime"), tuple(f for f in fields.split(",") if f), output, to_bool(one("allowFuzzy", "1")), one("sources", "*"), numbers.get("page"), numbers.get("pageSize", 10),
+            to_bool(one("resolveRevisits")), numbers.get("collapseTime"), tuple(f for f in fields.split(",") if f), output, to_bool(one("allowFuzzy", "1")), one("sources", "*"), numbers.get("page"), numbers.get("pageSize"),
+            to_bool(one("showNumPages")),
         )
 
+    def source(self, captures: DataFrame | ops.Index | Mapping[str, DataFrame | ops.Index]) -> DataFrame:
+        """The captures to look in: of indexes the key range, of named sources those chosen, tagged."""
+        start, end = key_range(*ops.asked(self.url, self.match_type))
+        one = lambda c: c.scan(start, end) if hasattr(c, "scan") else c
+        if isinstance(captures, Mapping):
+            return ops.union({n: one(captures[n]) for n in ops.choose_sources(list(captures), self.sources)})
+        return one(captures)
+
     def select(self, captures: DataFrame) -> DataFrame:
         """Key range, revisits, filters, clamp, collapse, own operators."""
         rows = ops.match(captures, self.url, self.match_type)
@@ -86,27 +96,46 @@ class CaptureQuery:
     def cut(self, rows: DataFrame) -> DataFrame:
         """closest, else reverse, else limit; then what comes after limits."""
         if self.closest:
-            target = datetime.now().strftime("%Y%m%d%H%M%S") if self.closest == "now" else self.closest
+            target = datetime.now(UTC).strftime("%Y%m%d%H%M%S") if self.closest == "now" else self.closest
             rows = ops.closest(rows, target, self.limit)
         else:
             rows = ops.last(rows, self.limit) if self.reverse else ops.first(rows, self.limit)
         return ops.apply_ops(rows, self.after)
 
-    def run(self, captures: DataFrame | Mapping[str, DataFrame], rules: Sequence[acl.Rule] = (), user: str | None = None, embargo: acl.Rule | None = None, default: str = "allow", as_of: datetime | None = None, fuzzy_rules: Sequence[fuzzy.FuzzyRule] = fuzzy.DEFAULT_RULES) -> DataFrame:
-        """The whole query; access comes last, after limits."""
-        if isinstance(captures, Mapping):
-            chosen = ops.choose_sources(list(captures), self.sources)
-            captures = ops.union({n: captures[n] for n in chosen})
-        rows = self.cut(self.select(captures))
+    def run(self, captures: DataFrame | ops.Index | Mapping[str, DataFrame | ops.Index], rules: Sequence[acl.Rule] = (), user: str | None = None, embargo: acl.Rule | None = None, default: str = "allow", as_of: datetime | None = None, fuzzy_rules: Sequence[fuzzy.FuzzyRule] = fuzzy.DEFAULT_RULES) -> DataFrame:
+        """The whole query; access comes last, after limits.
+
+        Indexes read the key range alone; a block index reads the blocks of the ``page`` asked for, and only it has pages.
+        """
+        if self.page is not None or self.count_pages:
+            if not isinstance(captures, BlockIndex):
+                raise BadRequest("only a block index has pages")
+            start, end = key_range(*ops.asked(self.url, self.match_type))
+            if self.count_pages:
+                return captures.page_count(start, end, self.page_size)
+            found = captures.scan(start, end, self.page, self.page_size)
+        else:
+            found = self.source(captures)
+        rows = self.cut(self.select(found))
         if self.allow_fuzzy and (near := self.fuzzied(fuzzy_rules)) is not None:
-            # at most as many rows as the limit: written once, so that asking for the first costs no second run
-            rows = materialize(rows.withColumn("is_fuzzy", F.lit(None).cast("string")))
-            if rows.isEmpty():
-                rows = near.cut(near.select(captures)).withColumn("is_fuzzy", F.lit("1"))
+            if self.finds(found):
+                rows = rows.withColumn("is_fuzzy", F.lit(None).cast("string"))
+            else:
+                rows = near.cut(near.select(near.source(captures))).withColumn("is_fuzzy", F.lit("1"))
         if rules or embargo:
             rows = acl.control(rows, rules, user, default, embargo, as_of)
         return rows
 
+    def finds(self, captures: DataFrame) -> bool:
+        """Whether the query has any row: one row is looked for, without sorts; among originals first, which no resolution changes."""
+        if self.after or self.limit < 0 or (self.limit == 0 and (self.closest or self.reverse)):
+            return not self.cut(self.select(captures)).isEmpty()
+        plain = replace(self, collapse_digits=None)
+        if not self.resolve_revisits:
+            return not plain.select(captures).isEmpty()
+        originals = captures.where(~F.coalesce(ops.is_revisit(captures), F.lit(False)))
+        return not (replace(plain, resolve_revisits=False).select(originals).isEmpty() and plain.select(captures).isEmpty())
+
     def fuzzied(self, rules: Sequence[fuzzy.FuzzyRule] = fuzzy.DEFAULT_RULES) -> CaptureQuery | None:
         """The query that looks for what may stand in: all of this one but its range, filters, closest and reverse."""
         found = fuzzy.rewrite(self.url, rules)

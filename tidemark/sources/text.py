@@ -6,18 +6,15 @@ Spark's own text reader, so any store and any number of files will do, and parse
 
 from __future__ import annotations
 
-import gzip
 import json
-import zlib
-from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.access import Rule
 from tidemark.operators.captures import ALIASES, FIELDS
+from tidemark.sources.ranges import sorted_lines
 
 _HEAD = ("urlkey", "timestamp", "url", "mime", "status", "digest")
 _ORIGIN = ("orig_length", "orig_offset", "orig_filename")
@@ -75,17 +72,35 @@ def parse_lines(lines: DataFrame, mode: str = "drop") -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str | list[str], mode: str = "drop") -> DataFrame:
-    """Captures of text files, tagged with the name of the ``source`` file they stand in."""
+    """Captures of text files, sorted or not, tagged with the name of the ``source`` file they stand in. Reads whole files."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"))
     return parse_lines(lines, mode)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Secondary index: first_line_key, part, offset, length, lineno. A line with fewer than four fields goes."""
+@dataclass(frozen=True)
+class TextIndex:
+    """A text index of files that are each sorted. What asks for a key range (``captures.match``, a query) reads its bytes alone."""
+
+    spark: SparkSession
+    path: str | tuple[str, ...]
+
+    def scan(self, start: str | None = None, end: str | None = None, mode: str = "drop") -> DataFrame:
+        """Captures with keys of [start, end)."""
+        paths = self.path if isinstance(self.path, str) else list(self.path)
+        return parse_lines(sorted_lines(self.spark, paths, start, end).select("urlkey", "line", "source"), mode)
+
+
+def block_rows(lines: DataFrame) -> DataFrame:
+    """Lines (value) of a secondary index as rows: first_line_key, part, offset, length, lineno. A line with fewer than four fields goes."""
     f = F.split("value", "\t")
     at = lambda k: F.try_element_at(f, F.lit(k))
     number = lambda k: F.expr(f"try_cast(try_element_at(split(value, '\t'), {k}) as bigint)")
-    return spark.read.text(path).where(F.size(f) >= 4).select(at(1).alias("first_line_key"), at(2).alias("part"), number(3).alias("offset"), number(4).alias("length"), number(5).alias("lineno"))
+    return lines.where(F.size(f) >= 4).select(at(1).alias("first_line_key"), at(2).alias("part"), number(3).alias("offset"), number(4).alias("length"), number(5).alias("lineno"))
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """All blocks of a secondary index."""
+    return block_rows(spark.read.text(path))
 
 
 def read_paths(spark: SparkSession, path: str) -> DataFrame:
@@ -112,40 +127,6 @@ def coalesced_blocks(blocks: DataFrame, most: int = 10) -> DataFrame:
     return cut.groupBy("part", "_run", "_cut").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("blocks"), F.min("first_line_key").alias("first_line_key")).drop("_run", "_cut")
 
 
-def load_blocks(spark: SparkSession, blocks: DataFrame, paths: DataFrame, mode: str = "drop") -> DataFrame:
-    """Captures in the compressed blocks (part, offset, length) of a secondary index; ``paths`` tells where a part lies.
-
-    Each block is one compressed member, read by its byte range through the file system of its path: blocks are dealt out
-    like other rows, and a task holds one block at a time. Of several places of a part the first that can be read serves;
-    a block that none can give is an error, in mode "drop" none.
-    """
-    places = paths.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
-    wanted = blocks.join(places, blocks["part"] == places["name"], "left").select("part", "offset", "length", "paths")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                lines = _block_lines(r["paths"] or (), r["offset"], r["length"])
-                if lines is None and mode != "drop":
-                    raise OSError(f"block {r['part']} {r['offset']} cannot be read")
-                if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array([r["part"]] * len(lines))], names=["line", "source"])
-
-    return parse_lines(wanted.mapInArrow(run, "line string, source string"), mode)
-
-
-def _block_lines(places: Sequence[str], offset: int, length: int) -> list[str] | None:
-    for place in places:
-        try:
-            files, path = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
-            with files.open_input_file(path) as f:
-                raw = f.read_at(length, offset)
-            return [x for x in gzip.decompress(raw).decode("utf-8", "replace").split("\n") if x]
-        except (OSError, EOFError, zlib.error):
-            continue
-    return None
-
-
 #: Most rules that are brought to the driver; more are an error, since rules are kept by hand and stay few.
 MAX_RULES = 100_000
 
