@@ -14,7 +14,7 @@ from tidemark.operators import access, building, captures, fuzzy, ingest, orderi
 from tidemark.operators.access import Rule
 from tidemark.plans import views
 from tidemark.plans.query import CaptureQuery
-from tidemark.sources import blocks
+from tidemark.sources import archives, blocks, resources, writing
 from tidemark.sources import text as lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,6 +686,35 @@ def load_resources(spark, d):
     return building.load_resources(given, records).select("urlkey", "timestamp", "seq", "answer", F.col("payload").cast("string").alias("body"))
 
 
+def _page_archives(spark, d, revisits: bool) -> tuple[str, DataFrame]:
+    """All pages as archive files, and the files' places."""
+    pages = views.table(spark, d, "pages")
+    html = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html").alias("value")))
+    records = pages.select(
+        F.lit("pages").alias("collection"), F.col("page_id").alias("seq"), F.lit("response").alias("record_type"), F.concat(F.lit("<urn:"), F.col("page_id").cast("string"), F.lit(">")).alias("record_id"), F.col("url").alias("target_uri"),
+        F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id")), "yyyyMMddHHmmss").alias("timestamp"), F.lit("HTTP/1.1 200 OK").alias("status_line"), html.alias("headers"), F.col("html").cast("binary").alias("payload"),
+    )
+    path = f"{ordering.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    files = writing.write_archives(records, path, 400_000, revisits)
+    return path, files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.concat(F.lit(f"{path}/"), F.element_at(F.split("path", "/"), -1)).alias("path"), F.lit(0).alias("rank"))
+
+
+@contract("SELECT '<urn:' || page_id || '>' AS record_id, url, sha256(html) AS payload_sha256 FROM pages")
+def archive_records_split(spark, d):
+    """All records of archive files that are read in parts of 32 KB."""
+    path, _ = _page_archives(spark, d, False)
+    return archives.read_records(spark, path, 32 << 10).select("record_id", F.col("target_uri").alias("url"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
+@contract("SELECT url, strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y%m%d%H%M%S') AS timestamp, 200 AS answer, sha256(html) AS payload_sha256 FROM pages")
+def resource_by_offset(spark, d):
+    """Payloads of all captures of written archives, read by offset; pages met before are revisits of other URLs too."""
+    path, places = _page_archives(spark, d, True)
+    index = ordering.materialize(archives.captures_of(archives.read_records(spark, path)))
+    found = resources.fetch(captures.resolve_revisits(index), places, index)
+    return found.select("url", "timestamp", "answer", F.sha2("payload", 256).alias("payload_sha256"))
+
+
 @contract("""SELECT event_id, collection FROM (SELECT event_id, 'c' || (user_id % 7) AS collection FROM events) WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND regexp_matches(collection, '^c[1-4]')""")
 def recorder_filters(spark, d):
     """Exchanges that neither side asks to skip, of the collections that are recorded."""

@@ -14,6 +14,7 @@ FETCH = 4 << 20
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
+    path = f"s3{path[3:]}" if path.startswith(("s3a:", "s3n:")) else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -67,6 +68,18 @@ class Opened:
         self.file.close()
 
 
+class Held:
+    """Bytes of a file from ``base`` on, read as a file is."""
+
+    def __init__(self, data: bytes, base: int = 0):
+        self.data, self.base, self.size = data, base, base + len(data)
+
+    def read(self, offset: int, length: int) -> bytes:
+        return self.data[offset - self.base : offset - self.base + length]
+
+    through = Opened.through
+
+
 def first_readable(places: Sequence[str], work: Callable[[Opened], object]) -> object:
     """What ``work`` makes of the first place that it can read; the last place's error if it can read none."""
     failed: Exception = FileNotFoundError("no place is known")

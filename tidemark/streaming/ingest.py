@@ -22,7 +22,7 @@ POLICIES = ("revisit", "skip", "keep")
 
 def archive_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Captures of archive files as they arrive in a folder; files seen before are left out by the checkpoint."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path", "length")
     return captures_of(records_from(files))
 
 
