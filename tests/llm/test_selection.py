@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import periodic, resampling, topk, wordids
+from tidemark.llm import periodic, quantised, resampling, topk, wordids
 
 DOCS = "doc_id long, text string, start long, _w string, _pos long, rank string, score string"
 
@@ -104,6 +104,46 @@ def test_bounds_prune():
     assert scored < every.size / 4
 
 
+# --- embedding near-duplicates: any size of components, any shape of data -------------------------------------------
+
+
+def test_vectors_of_any_size_link(spark):
+    r = np.random.default_rng(2)
+    base = r.standard_normal((12, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, base * 3 + 0.01 * r.standard_normal(base.shape)]))]
+    alone = {r["vec_id"]: r["n_links"] for r in quantised.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    sizes = [(100, [1e-170] * 16), (101, [3e-170] * 15 + [2.9e-170]), (102, [1e200] * 16), (103, [1e308] * 8 + [1.1e308] * 8), (104, [5e-324] * 16), (105, [0.0] * 16), (106, (base[3] * 1e-200).tolist()), (107, (base[3] * 1e250).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantised.near_vectors(spark.createDataFrame(rows + sizes, "vec_id long, embedding array<double>")).collect()}
+    assert alone == dict.fromkeys(range(24), 1)
+    assert {k: got[k][0] for k in range(24)} == {k: 3 if k in (3, 15) else 1 for k in range(24)}
+    assert [got[k] for k in (100, 101, 102, 103, 104)] == [(4, 100)] * 5 and got[105] == (0, 105) and got[106] == got[107] == (3, 3)
+
+
+@pytest.mark.parametrize("shape", ["spread", "few directions", "clusters"])
+def test_links_at_the_least_cosine_are_found(shape):
+    """Of pairs between 0.95 and 0.96, with lists of the production size."""
+    r = np.random.default_rng(7)
+    n = 20_000
+    if shape == "few directions":
+        x = r.standard_normal((n, 4)) @ r.standard_normal((4, 64))
+    elif shape == "clusters":
+        x = r.standard_normal((300, 64))[r.integers(0, 300, n)] + 0.3 * r.standard_normal((n, 64))
+    else:
+        x = r.standard_normal((n // 2, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        away = r.standard_normal(x.shape)
+        away -= (away * x).sum(1)[:, None] * x
+        x = np.concatenate([x, 0.953 * x + np.sqrt(1 - 0.953**2) * away / np.linalg.norm(away, axis=1)[:, None]])
+    u = quantised.units(x)
+    index = quantised.fit(x[r.choice(n, quantised.SAMPLE, replace=False)], n, 0.95)
+    home = index.code(u)[0]
+    i, j = np.nonzero(np.triu((c := u[:6000] @ u.T) >= 0.95, 1) & (c < 0.96))
+    low, high = np.where(home[i] <= home[j], i, j), np.where(home[i] <= home[j], j, i)
+    near = np.concatenate([index.borders(u[low[k : k + 5000]], home[low[k : k + 5000]])[np.arange(len(low[k : k + 5000])), home[high[k : k + 5000]]] for k in range(0, len(low), 5000)])
+    met = (home[low] == home[high]) | (near <= index.reach)
+    assert len(met) > 100 and met.mean() >= 0.999
+
+
 # --- importance resampling ------------------------------------------------------------------------------------------
 
 

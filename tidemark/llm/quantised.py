@@ -2,15 +2,20 @@
 
 Coarse centroids and, on the residuals, one small codebook per subspace are fitted on a bounded sample. Every distinct
 vector is then coded: its list, a byte per subspace, and the length of what the code leaves out. A vector is compared with
-its own list and with the later lists among its nearest centroids; how many are sufficient is measured, on sampled vectors
-and on partners made for them at exactly the wanted cosine, so that PROBED of these are reached. Because only later lists
-are visited, a pair is met at most once. In a list, the asymmetric distance (exact vector to coded vector, summed from
+its own list and with later lists whose border is near: the plane between its own centroid and the other one lies within a
+reach. A partner at the wanted cosine stands in no list beyond the distance of that cosine, which bounds the reach; how
+much of it is sufficient is measured, on sampled vectors and partners made for them at exactly that cosine (away from
+them in every direction, towards other vectors, and towards vectors of their own list, so that data that vary in few
+directions are measured as they are), so that PROBED of these are reached. Because only later lists are visited, a pair is met
+at most once. In a list, the asymmetric distance (exact vector to coded vector, summed from
 per-subspace tables) less the coding error bounds the true distance from below, so pairs that it rules out are no links;
 all others are settled by their cosine in double precision.
 
 Equal vectors are one class with a multiplicity. Lists are cut into tiles, and the vectors that visit a large list into
 blocks, so a task holds a bounded part of any dense group; tasks report link counts and a spanning forest, never pairs.
 
+Vectors are scaled by a power of two before lengths are taken, so that finite components of any size can be compared.
+
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing and stay; vectors of
 different lengths do not link, and each length has its own index. Rows with equal vectors link with each other. Rows of one vec_id are counted one by
 one. An empty table gives an empty result; other columns are left alone.
@@ -62,13 +67,40 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component between 1/2 and 1, exactly but for what is 2**1000 times smaller."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    half = power // 2  # in two steps: the factor itself may overflow
+    return np.ldexp(np.ldexp(x, -half[:, None]), (half - power)[:, None])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 @dataclass
 class Index:
-    """Coarse centroids, codebooks (subspace, code, part) and the number of lists to probe."""
+    """Coarse centroids, codebooks (subspace, code, part) and how far off the border of a list to visit may lie."""
 
     centres: np.ndarray
     books: list[np.ndarray]
-    probes: int
+    reach: float
+
+    def borders(self, unit: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """How far each vector is from the plane between its list's centroid and each other one; 0 for its own."""
+        own = self.centres[home]
+        squares = (self.centres * self.centres).sum(1)
+        far = squares[None, :] - 2 * unit @ self.centres.T
+        apart = np.sqrt(np.maximum((own * own).sum(1)[:, None] + squares[None, :] - 2 * own @ self.centres.T, 1e-30))
+        out = (far - np.take_along_axis(far, home[:, None], 1)) / (2 * apart)
+        out[np.arange(len(unit)), home] = 0
+        return out
+
+    def visited(self, unit: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+        """For each vector the later lists within reach."""
+        later = np.arange(len(self.centres))[None, :] > home[:, None]
+        return [np.flatnonzero(row) for row in (self.borders(unit, home) <= self.reach) & later]
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return np.array_split(x, len(self.books), axis=1)
@@ -93,21 +125,38 @@ class Index:
 
 def fit(sample: np.ndarray, total: int, cosine: float) -> Index:
     """An index for ``total`` vectors from sampled ones (rows of doubles, none zero)."""
-    unit = sample / np.linalg.norm(sample, axis=1)[:, None]
+    unit = units(sample)
     lists = int(max(1, min(LISTS, total // LIST, max(1, len(unit) // 4))))
     centres = _kmeans(unit, lists, 8, 1)
-    residual = unit - centres[_nearest(unit, centres)[:, 0]]
+    own = _nearest(unit, centres)[:, 0]
+    residual = unit - centres[own]
     books = [_kmeans(p, CODES, 6, 2 + j) for j, p in enumerate(np.array_split(residual, min(SUBSPACES, unit.shape[1]), axis=1))]
-    # partners at exactly the least cosine: how far down the list of nearest centroids is their home?
+    index = Index(centres, books, 0.0)
+    if len(centres) > 1:
+        index.reach = min(float(np.sqrt(2 - 2 * cosine)) + 1e-9, _sufficient(index, unit, own, cosine))
+    return index
+
+
+def _sufficient(index: Index, unit: np.ndarray, own: np.ndarray, cosine: float) -> float:
+    """The reach with which PROBED of partners at exactly the least cosine are met, whichever of the two visits."""
     rng = np.random.default_rng(9)
-    tried = unit[rng.choice(len(unit), min(4_096, len(unit)), replace=False)]
-    away = rng.standard_normal(tried.shape)
-    away -= (away * tried).sum(1)[:, None] * tried
-    norms = np.linalg.norm(away, axis=1)
-    away = away / np.where(norms > 0, norms, 1)[:, None]
-    partner = cosine * tried + np.sqrt(1 - cosine * cosine) * away
-    ranks = (_nearest(tried, centres, len(centres)) == _nearest(partner, centres)).argmax(1) if len(centres) > 1 else np.zeros(1, int)
-    return Index(centres, books, int(np.quantile(ranks, PROBED, method="higher")) + 1)
+    tried = rng.choice(len(unit), min(4_096, len(unit)), replace=False)
+    by_list = np.argsort(own, kind="stable")
+    first, size = np.searchsorted(own[by_list], own[tried]), np.bincount(own, minlength=len(index.centres))[own[tried]]
+    local = by_list[first + (rng.random(len(tried)) * size).astype(np.int64)]
+    quantiles = []
+    for away in (rng.standard_normal(unit[tried].shape), unit[rng.integers(0, len(unit), len(tried))], unit[local]):
+        away = away - (away * unit[tried]).sum(1)[:, None] * unit[tried]
+        norms = np.linalg.norm(away, axis=1)
+        some = norms > 1e-9
+        if not some.any():
+            continue
+        u, home = unit[tried][some], own[tried][some]
+        partner = cosine * u + np.sqrt(1 - cosine * cosine) * away[some] / norms[some, None]
+        other = _nearest(partner, index.centres)[:, 0]
+        at = np.arange(len(u))
+        quantiles.append(float(np.quantile(np.maximum(index.borders(u, home)[at, other], index.borders(partner, other)[at, home]), PROBED, method="higher")))
+    return max(quantiles, default=float("inf"))
 
 
 def _bytes(rows: np.ndarray) -> pa.Array:
@@ -151,7 +200,7 @@ def near_classes(classes: DataFrame, width: int, total: int, cosine: float = 0.9
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            home, codes, error = index.code(x / np.linalg.norm(x, axis=1)[:, None])
+            home, codes, error = index.code(units(x))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _bytes(x), pa.array(home), _bytes(codes), pa.array(error)], names=["cid", "copies", "x", "home", "codes", "error"])
 
     coded = materialize(classes.select("cid", "v", "copies").mapInArrow(code, "cid long, copies long, x binary, home long, codes binary, error double"))
@@ -168,7 +217,7 @@ def near_classes(classes: DataFrame, width: int, total: int, cosine: float = 0.9
             if not b.num_rows:
                 continue
             x, home, cid = _matrix(b.column(2), "f8"), b.column(3).to_numpy(), b.column(0).to_numpy()
-            near = _nearest(x / np.linalg.norm(x, axis=1)[:, None], index.centres, min(index.probes, len(index.centres)))
+            near = index.visited(units(x), home)
             mixed = (cid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             rows_, cells, stays = [], [], []
             for k in range(b.num_rows):
@@ -177,7 +226,7 @@ def near_classes(classes: DataFrame, width: int, total: int, cosine: float = 0.9
                 own = first[h] + tile * blocks[h]
                 held = range(own, own + blocks[h])  # stored once for each block of visitors
                 seen = [first[h] + t * blocks[h] + m // 7 % blocks[h] for t in range(tile + 1, tiles[h])]
-                seen += [first[n] + t * blocks[n] + m // 7 % blocks[n] for n in near[k] if n > h for t in range(tiles[n])]
+                seen += [first[n] + t * blocks[n] + m // 7 % blocks[n] for n in near[k] for t in range(tiles[n])]
                 rows_ += [k] * (len(held) + len(seen))
                 cells += [*held, *seen]
                 stays += [True] * len(held) + [False] * len(seen)
@@ -197,7 +246,7 @@ def near_classes(classes: DataFrame, width: int, total: int, cosine: float = 0.9
         key = cell["cell"][0].as_py()
         home = int(np.searchsorted(first, key, side="right")) - 1
         whole = (key - first[home]) % blocks[home] == 0  # this block also settles the tile's inner pairs
-        x = _matrix(cell["x"], "f8")
+        x = scaled(_matrix(cell["x"], "f8"))
         norm = np.linalg.norm(x, axis=1)
         codes, error = _matrix(cell["codes"], "u1")[held], cell["error"].to_numpy()[held]
         asked = np.arange(len(cid)) if whole else np.flatnonzero(~stays)
