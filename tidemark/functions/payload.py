@@ -113,10 +113,12 @@ def rewrite_css(css: Column, prefix: str) -> Column:
 
 
 def swap_jsonp(body: Column, url: Column) -> Column:
-    """A JSONP body with its callback named as the requesting URL names it."""
-    wanted = F.regexp_extract(url, r"[?&](?:callback|jsonp|cb)=([^&]+)", 1)
-    shape = r"(?s)^(\s*(?:/\*.*?\*/\s*)?)([\w.$]+)(\s*\(\s*[\[{].*)$"
-    return F.when((wanted != "") & (wanted != "?") & body.rlike(shape), F.concat(F.regexp_extract(body, shape, 1), wanted, F.regexp_extract(body, shape, 3))).otherwise(body)
+    """A JSONP body (comments, a name, an object in brackets) with its callback named as the requesting URL names it: the
+    last argument whose name ends in ``callback``; one that is ``?`` asks for nothing."""
+    wanted = F.regexp_extract(url, r"[?].*callback=([^&]+)", 1)
+    shape = r"(?m)\A((?:^[ \t]*(?:/\*[^*]*\*/|//[^\n]+\n))*[ \t]*)(\w+)(?=\(\{)"
+    named = F.concat(F.regexp_extract(body, shape, 1), wanted, F.regexp_replace(body, shape, ""))
+    return F.when((wanted != "") & (wanted != "?") & body.rlike(shape), named).otherwise(body)
 
 
 def rewrite_headers(headers: Column, prefix: str, urls: bool = True, content: bool = True, cookie: Callable[[Column], Column] | None = None) -> Column:

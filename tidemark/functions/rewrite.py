@@ -24,6 +24,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions.scanning import Rule
+from tidemark.functions.scripts import archive_link, rewrite_inline, rewrite_script, rewrite_scripts
+
 #: URLs that are left alone, and those that are absolute.
 UNTOUCHED = ("#", "javascript:", "data:", "mailto:", "about:", "file:", "{")
 ABSOLUTE = ("http:", "https:", "ftp:", "mms:", "rtsp:", "wais:")
@@ -40,6 +43,8 @@ ATTRIBUTES = {
 PRELOADED = {
     "script": "js_", "worker": "js_", "style": "cs_", "image": "im_", "document": "if_", "fetch": "mp_", "font": "oe_", "audio": "oe_", "video": "oe_", "embed": "oe_", "object": "oe_", "track": "oe_",
 }
+#: Fixed value: the frame that takes the place of the topmost one.
+TOP_FRAME = "___wb_replay_top_frame"
 #: Characters of a request body that become part of a key.
 BODY_CHARS = 4096
 
@@ -89,9 +94,13 @@ def rewrite_css_text(text: str, place: Place) -> str:
 class _Page(HTMLParser):
     """Writes what it reads, with links rewritten; everything else passes as it stands in the source."""
 
-    def __init__(self, place: Place, head: str) -> None:
+    def __init__(self, place: Place, head: str, scripts: str = "proxied", extra: tuple[Rule, ...] = ()) -> None:
         super().__init__(convert_charrefs=False)
         self.place, self.head, self.out, self.inside = place, head, [], ""
+        self.scripts, self.extra = scripts, extra
+
+    def _script_link(self, url: str, modifier: str) -> str:
+        return self.place.link(url, modifier or None)
 
     def _insert_head(self, before: str) -> None:
         if self.head and before not in ("html", "head"):
@@ -102,7 +111,13 @@ class _Page(HTMLParser):
         place, link = self.place, self.place.link
         if name == "style":
             return rewrite_css_text(value, place)
+        if value.startswith("javascript:") or name.startswith("on") and name[2:3] != "-":
+            return rewrite_inline(value, self._script_link, self.scripts, self.extra)
+        if name == "target":
+            return TOP_FRAME if value in ("_blank", "_parent", "_top") else value
         if tag == "meta" and name == "content":
+            if named.get("name", "").lower() == "referrer":
+                return "no-referrer-when-downgrade"
             if named.get("http-equiv", "").lower() == "refresh" and (m := re.match(r"([\d.]+\s*;\s*url\s*=\s*[\"']?)(.*)", value, re.I | re.S)):
                 return m[1] + link(m[2].strip())
             return link(value) if value.startswith(("http://", "https://", "//")) else value
@@ -126,8 +141,8 @@ class _Page(HTMLParser):
         self._insert_head(tag)
         named = {n: v or "" for n, v in attrs}
         source, new = self.get_starttag_text() or "", [(n, v if v is None else self._value(tag, n, v, named)) for n, v in attrs]
-        if tag == "script" and "integrity" in named or tag == "link" and "integrity" in named:
-            new = [("_" + n if n == "integrity" else n, v) for n, v in new]
+        off = {"integrity", "crossorigin"} | ({"content"} if tag == "meta" and named.get("http-equiv", "").lower() == "content-security-policy" else set())
+        new = [("_" + n if n in off else n, v) for n, v in new]
         if new == attrs:
             self.out.append(source)
             return
@@ -136,7 +151,9 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._open(tag, attrs, False)
-        self.inside = tag if tag in ("style", "script") else ""
+        kind = next((v or "" for n, v in attrs if n == "type"), "").lower()
+        runs = not kind or "javascript" in kind or "ecmascript" in kind
+        self.inside = tag if tag == "style" or tag == "script" and runs else ""
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._open(tag, attrs, True)
@@ -150,7 +167,11 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if data.strip():
             self._insert_head("")
-        self.out.append(rewrite_css_text(data, self.place) if self.inside == "style" else data)
+        if self.inside == "style":
+            data = rewrite_css_text(data, self.place)
+        elif self.inside == "script" and data:
+            data = rewrite_script(data, self._script_link, self.scripts, self.extra)
+        self.out.append(data)
 
     def handle_entityref(self, name: str) -> None:
         self.out.append(f"&{name};")
@@ -171,9 +192,12 @@ class _Page(HTMLParser):
         self.out.append(f"<![{data}]>")
 
 
-def rewrite_html_text(text: str, place: Place, head: str = "") -> str:
-    """A page with its links rewritten and ``head`` put before the first element behind the head tag."""
-    page = _Page(place, head)
+def rewrite_html_text(text: str, place: Place, head: str = "", scripts: str = "none", extra: tuple[Rule, ...] = ()) -> str:
+    """A page with its links rewritten and ``head`` put before the first element behind the head tag.
+
+    ``scripts`` names the set of rules for its scripts, in elements and attributes; ``extra`` rules come before those.
+    """
+    page = _Page(place, head, scripts, extra)
     page.feed(text)
     page.close()
     page._insert_head("")
@@ -327,10 +351,10 @@ def _places(work: Callable[[str, Place], str]) -> Callable[[Column, Column, Colu
     return run
 
 
-def rewrite(kind: str, text: Column, prefix: str, timestamp: Column, url: Column, head: str = "") -> Column:
+def rewrite(kind: str, text: Column, prefix: str, timestamp: Column, url: Column, head: str = "", scripts: str = "none") -> Column:
     """Payload text of a kind (html, css, xml, hls, dash, cookie, link) rewritten for its replay below ``prefix``."""
     works: dict[str, Callable[[str, Place], str]] = {
-        "html": lambda t, p: rewrite_html_text(t, p, head), "css": rewrite_css_text, "xml": rewrite_xml_text, "hls": lambda t, _: prune_hls(t), "dash": lambda t, _: prune_dash(t),
+        "html": lambda t, p: rewrite_html_text(t, p, head, scripts), "css": rewrite_css_text, "xml": rewrite_xml_text, "hls": lambda t, _: prune_hls(t), "dash": lambda t, _: prune_dash(t),
         "cookie": rewrite_cookie, "link": lambda t, p: p.link(t),
     }
     if kind not in works:
@@ -341,7 +365,7 @@ def rewrite(kind: str, text: Column, prefix: str, timestamp: Column, url: Column
 #: Kinds of text by media type.
 KINDS = {
     "text/html": "html", "application/xhtml+xml": "html", "text/css": "css", "text/xml": "xml", "application/xml": "xml", "application/rss+xml": "xml", "image/svg+xml": "html",
-    "application/x-mpegurl": "hls", "application/vnd.apple.mpegurl": "hls", "application/dash+xml": "dash",
+    "application/x-mpegurl": "hls", "application/vnd.apple.mpegurl": "hls", "application/dash+xml": "dash", "text/javascript": "script", "application/javascript": "script", "application/x-javascript": "script", "application/ecmascript": "script",
 }
 
 
@@ -353,11 +377,11 @@ def kind_of(mime: Column) -> Column:
     return kind
 
 
-def rewrite_by_type(mime: Column, text: Column, prefix: str, timestamp: Column, url: Column, head: str = "") -> Column:
-    """Payload text rewritten as its media type asks."""
+def rewrite_by_type(mime: Column, text: Column, prefix: str, timestamp: Column, url: Column, head: str = "", scripts: str = "none") -> Column:
+    """Payload text rewritten as its media type asks; scripts by the set of rules that ``scripts`` names, in pages and alone."""
 
     def work(t: str, p: Place, kind: str) -> str:
-        return rewrite_html_text(t, p, head) if kind == "html" else rewrite_css_text(t, p) if kind == "css" else rewrite_xml_text(t, p) if kind == "xml" else prune_hls(t) if kind == "hls" else prune_dash(t) if kind == "dash" else t
+        return rewrite_html_text(t, p, head, scripts) if kind == "html" else rewrite_css_text(t, p) if kind == "css" else rewrite_xml_text(t, p) if kind == "xml" else prune_hls(t) if kind == "hls" else prune_dash(t) if kind == "dash" else t
 
     @F.pandas_udf(StringType())
     def run(kind: pd.Series, body: pd.Series, ts: pd.Series, u: pd.Series) -> pd.Series:
@@ -369,7 +393,8 @@ def rewrite_by_type(mime: Column, text: Column, prefix: str, timestamp: Column,
 
         return pd.Series([one(*x) for x in zip(kind, body, ts, u, strict=True)], dtype=object)
 
-    return F.when(kind_of(mime) == "plain", text).otherwise(run(kind_of(mime), text, timestamp, url))
+    alone = rewrite_scripts(text, url, archive_link(prefix, timestamp, "mp_"), scripts)
+    return F.when(kind_of(mime) == "plain", text).when(kind_of(mime) == "script", alone).otherwise(run(kind_of(mime), text, timestamp, url))
 
 
 @F.pandas_udf(StringType())

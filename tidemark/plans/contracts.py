@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import payload, rewrite, times, urls
+from tidemark.functions import payload, rewrite, scanning, scripts, times, urls
 from tidemark.operators import access, building, captures, fuzzy, ingest, ordering, timeline
 from tidemark.operators.access import Rule
 from tidemark.plans import views
@@ -590,6 +590,36 @@ def jsonp_swap(spark, d):
     return views.table(spark, d, "pages").select("page_id", payload.swap_jsonp(F.concat(F.lit('jQ_1({"a":'), k, F.lit("});")), asked).alias("body"))
 
 
+@contract("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'cb_' || page_id || '({"a": 1})' WHEN 1 THEN '/* c */n({"a": 1})' WHEN 2 THEN 'jq({"a": 1})' WHEN 3 THEN 'jq([1])' WHEN 4 THEN 'jq({"a": 1})' ELSE chr(47) || '/ c' || chr(10) || 'z({"a": 1})' END AS body FROM pages""")
+def jsonp_forms(spark, d):
+    """Which arguments name a callback, and which bodies have one: comments go before it, an object must follow."""
+    k = F.col("page_id")
+    forms = (
+        ('jq({"a": 1})', F.concat(F.lit("http://x/?callback=cb_"), k.cast("string"))), ('/* c */jq({"a": 1})', F.lit("http://x/?callback=m&jsoncallback=n&b=1")), ('jq({"a": 1})', F.lit("http://x/?jsonp=n&cb=m")),
+        ("jq([1])", F.lit("http://x/?callback=n")), ('jq({"a": 1})', F.lit("http://x/?callback=?")), ('// c\njq({"a": 1})', F.lit("http://x/?a=1&callback=z")),
+    )
+    body, asked = F.lit(forms[5][0]), forms[5][1]
+    for n in range(5):
+        body, asked = F.when(k % 6 == n, forms[n][0]).otherwise(body), F.when(k % 6 == n, forms[n][1]).otherwise(asked)
+    return views.table(spark, d, "pages").select("page_id", payload.swap_jsonp(body, asked).alias("body"))
+
+
+@contract("""SELECT page_id, sha256(regexp_replace(replace(html, 'track(', 'WB_wombat_top.WB_wombat_location="http://archive.example/web/2024mp_/http://t.example/x";track('), 'href="(/[^"]*)"',
+ 'href="/web/2024mp_/' || regexp_extract(url, '^https?://[^/?#]+') || '\\1"', 'g')) AS digest FROM pages""")
+def html_rewrite(spark, d):
+    """Whole pages through the rewriter of pages: links, and a script that sets the top location."""
+    html = F.replace(F.col("html"), F.lit("track("), F.lit('top.location="http://t.example/x";track('))
+    return views.table(spark, d, "pages").select("page_id", F.sha2(rewrite.rewrite("html", html, "http://archive.example/web/", F.lit("2024"), F.col("url"), scripts="located"), 256).alias("digest"))
+
+
+@contract("""SELECT page_id, regexp_extract(html, '<script>(.*?)</script>', 1) || ' location = ((self.__WB_check_loc && self.__WB_check_loc(location, arguments)) || {}).href = "' || url
+ || '"; if (a != _____WB$wombat$check$this$function_____(this)) w.__WB_pmw(self).postMessage(' || page_id || '); b = self.eval; return _____WB$wombat$check$this$function_____(this) }' AS script FROM pages""")
+def script_rewrite(spark, d):
+    """The script of each page, and what reads the global object, as columns of one pass."""
+    script = F.concat(F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1), F.lit(' location = "'), "url", F.lit('"; if (a != this) w.postMessage('), F.col("page_id").cast("string"), F.lit("); b = eval; return this }"))
+    return views.table(spark, d, "pages").select("page_id", scanning.scan(script, scripts.PROXIED, scripts.archive_link("/web/", F.lit("2024"))).alias("script"))
+
+
 #: Names of response headers in the order of their rules, upper-case ones too, and one that has no rule.
 _HEADERS = [*payload.HEADER_RULES, "X-Own", "ETag", "Content-Type"]
 _KEPT = ("keep", "url-rewrite", "cookie")
