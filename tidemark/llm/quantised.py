@@ -2,11 +2,11 @@
 
 Coarse centroids and, on the residuals, one small codebook per subspace are fitted on a bounded sample. Every distinct
 vector is then coded: its list, a byte per subspace, and the length of what the code leaves out. A vector is compared with
-its own list and with later lists whose border is near: the plane between its own centroid and the other one lies within a
-reach. A partner at the wanted cosine stands in no list beyond the distance of that cosine, which bounds the reach; how
-much of it is sufficient is measured, on sampled vectors and partners made for them at exactly that cosine (away from
-them in every direction, towards other vectors, and towards vectors of their own list, so that data that vary in few
-directions are measured as they are), so that PROBED of these are reached. Because only later lists are visited, a pair is met
+its own list and with later ones among its nearest centroids, unless the plane between the two centroids is further away
+than a partner can be. How many nearest ones are sufficient is measured, on sampled vectors and on partners made for
+them at exactly the wanted cosine, so that PROBED of these are reached from either side: partners away from them in any
+direction, in directions that the data vary in, and towards vectors of their own list, so that data of few directions or
+of clusters are measured as they are. Because only later lists are visited, a pair is met
 at most once. In a list, the asymmetric distance (exact vector to coded vector, summed from
 per-subspace tables) less the coding error bounds the true distance from below, so pairs that it rules out are no links;
 all others are settled by their cosine in double precision.
@@ -42,6 +42,10 @@ LIST, LISTS = 256, 2_048
 SUBSPACES, CODES = 8, 256
 #: Share of sampled partners at the least cosine whose list the probes must reach.
 PROBED = 0.9995
+#: Per cent of the measured probes that are made.
+SPARE = 130
+#: Vectors whose random mixture is a direction that the data vary in.
+MIXED = 16
 TILE, BLOCK = 2_048, 8_192
 
 
@@ -81,10 +85,11 @@ def units(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Coarse centroids, codebooks (subspace, code, part) and how far off the border of a list to visit may lie."""
+    """Coarse centroids, codebooks (subspace, code, part), how many nearest lists to probe, and how far off a partner can be."""
 
     centres: np.ndarray
     books: list[np.ndarray]
+    probes: int
     reach: float
 
     def borders(self, unit: np.ndarray, home: np.ndarray) -> np.ndarray:
@@ -97,10 +102,20 @@ class Index:
         out[np.arange(len(unit)), home] = 0
         return out
 
+    def ranks(self, unit: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """How many lists are nearer to each vector than the one named for it."""
+        out = np.empty(len(unit), np.int64)
+        squares = (self.centres * self.centres).sum(1)
+        for k in range(0, len(unit), 1_024):
+            far = squares[None, :] - 2 * unit[k : k + 1_024] @ self.centres.T
+            out[k : k + 1_024] = (far < np.take_along_axis(far, lists[k : k + 1_024, None], 1)).sum(1)
+        return out
+
     def visited(self, unit: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
-        """For each vector the later lists within reach."""
-        later = np.arange(len(self.centres))[None, :] > home[:, None]
-        return [np.flatnonzero(row) for row in (self.borders(unit, home) <= self.reach) & later]
+        """For each vector the later lists that it is compared with."""
+        near = _nearest(unit, self.centres, min(self.probes, len(self.centres)))
+        good = (near > home[:, None]) & (np.take_along_axis(self.borders(unit, home), near, 1) <= self.reach)
+        return [n[g] for n, g in zip(near, good, strict=True)]
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return np.array_split(x, len(self.books), axis=1)
@@ -131,32 +146,30 @@ def fit(sample: np.ndarray, total: int, cosine: float) -> Index:
     own = _nearest(unit, centres)[:, 0]
     residual = unit - centres[own]
     books = [_kmeans(p, CODES, 6, 2 + j) for j, p in enumerate(np.array_split(residual, min(SUBSPACES, unit.shape[1]), axis=1))]
-    index = Index(centres, books, 0.0)
-    if len(centres) > 1:
-        index.reach = min(float(np.sqrt(2 - 2 * cosine)) + 1e-9, _sufficient(index, unit, own, cosine))
+    index = Index(centres, books, 1, float(np.sqrt(2 - 2 * cosine)) + 1e-9)
+    index.probes = _sufficient(index, unit, own, cosine)
     return index
 
 
-def _sufficient(index: Index, unit: np.ndarray, own: np.ndarray, cosine: float) -> float:
-    """The reach with which PROBED of partners at exactly the least cosine are met, whichever of the two visits."""
+def _sufficient(index: Index, unit: np.ndarray, own: np.ndarray, cosine: float) -> int:
+    """How many nearest lists to probe so that PROBED of partners at exactly the least cosine are met, whichever of the two visits."""
     rng = np.random.default_rng(9)
     tried = rng.choice(len(unit), min(4_096, len(unit)), replace=False)
     by_list = np.argsort(own, kind="stable")
     first, size = np.searchsorted(own[by_list], own[tried]), np.bincount(own, minlength=len(index.centres))[own[tried]]
     local = by_list[first + (rng.random(len(tried)) * size).astype(np.int64)]
-    quantiles = []
-    for away in (rng.standard_normal(unit[tried].shape), unit[rng.integers(0, len(unit), len(tried))], unit[local]):
+    mixed = sum(unit[rng.integers(0, len(unit), len(tried))] * rng.standard_normal((len(tried), 1)) for _ in range(MIXED))
+    probes = 1
+    for away in (rng.standard_normal(unit[tried].shape), mixed, unit[local]):
         away = away - (away * unit[tried]).sum(1)[:, None] * unit[tried]
         norms = np.linalg.norm(away, axis=1)
         some = norms > 1e-9
-        if not some.any():
-            continue
-        u, home = unit[tried][some], own[tried][some]
-        partner = cosine * u + np.sqrt(1 - cosine * cosine) * away[some] / norms[some, None]
-        other = _nearest(partner, index.centres)[:, 0]
-        at = np.arange(len(u))
-        quantiles.append(float(np.quantile(np.maximum(index.borders(u, home)[at, other], index.borders(partner, other)[at, home]), PROBED, method="higher")))
-    return max(quantiles, default=float("inf"))
+        if some.any():
+            partner = cosine * unit[tried][some] + np.sqrt(1 - cosine * cosine) * away[some] / norms[some, None]
+            other = _nearest(partner, index.centres)[:, 0]
+            ranks = np.maximum(index.ranks(unit[tried][some], other), index.ranks(partner, own[tried][some]))
+            probes = max(probes, int(np.quantile(ranks, PROBED, method="higher")) + 1)
+    return -(-probes * SPARE // 100)  # centroids are nearer to the vectors that they were fitted on than to others
 
 
 def _bytes(rows: np.ndarray) -> pa.Array:
