@@ -43,6 +43,29 @@ def test_policies(spark, tmp_path, policy, kept):
     assert {r["seq"] for r in ing.captures(spark).collect()} == kept or policy == "skip" and ing.captures(spark).count() == 3
 
 
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    """Seven batches against a model; what one of them opens is bounded by its keys and by the batches since the last merge."""
+    import random
+
+    r = random.Random(3)
+    ing = Ingest(str(tmp_path / "out"), buckets=16, merged_every=3)
+    seen, want = {}, {}
+    for k in range(8):
+        part = [row(20, f"d{r.randrange(60)}", f"http://e/{k}-{n}")[:6] + (k * 100 + n,) for n in range(12)]
+        for x in sorted(part, key=lambda x: x[6]):
+            want[x[6]] = seen.setdefault(x[4], x[2]) if x[4] in seen else None
+            seen.setdefault(x[4], x[2])
+        ing.write(spark.createDataFrame(part, ROWS), k)
+        if k in (3, 5):  # an attempt that is made again
+            ing.write(spark.createDataFrame(part, ROWS), k)
+    got = {x["seq"]: x["refers_url"] for x in ing.captures(spark).collect()}
+    assert got == want and sum(v is not None for v in got.values()) > 20
+    opened = ing._seen(spark, 8, [5]).inputFiles()
+    assert opened and all("bucket=5/" in f for f in opened) and len(opened) <= 3
+    assert len(ing._seen(spark, 8).inputFiles()) > len(opened)
+    assert sorted(p.name for p in (tmp_path / "out" / "merged").iterdir()) == ["batch=3", "batch=6"]
+
+
 def test_unknown_policy():
     with pytest.raises(ValueError, match="policy"):
         Ingest("x", "maybe")

@@ -109,3 +109,22 @@ class Draft:
     def close(self) -> None:
         self.out.close()
         self.files.move(self.name, self.path)
+
+
+def folders(path: str, name: str) -> set[int]:
+    """The numbers k of the folders ``name=k`` in a folder; of one that is not there, none."""
+    files, inner = located(path)
+    found = files.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return {int(f.base_name.split("=", 1)[1]) for f in found if f.type == fs.FileType.Directory and f.base_name.startswith(f"{name}=")}
+
+
+def moved(path: str, to: str) -> None:
+    files, inner = located(path)
+    files.move(inner, located(to)[1])
+
+
+def removed(path: str) -> None:
+    """A folder that goes; one that is gone is no error."""
+    files, inner = located(path)
+    if files.get_file_info(inner).type == fs.FileType.Directory:
+        files.delete_dir(inner)

@@ -2,12 +2,14 @@
 
 A micro-batch is deduplicated by the batch operators against a table of what came before, not by per-key state: a digest
 that a third of all rows share is then a skewed join, which adaptive execution splits, instead of one overloaded state.
+The table is kept in buckets by a hash of the key, merged now and then to one file each, and a batch opens the buckets of
+its own keys alone, so what a small batch reads does not grow with the number of batches before it.
 Every batch writes one folder, replacing what an attempt cut short has left there, so repeats change nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.captures import is_revisit
+from tidemark.operators.ordering import materialize
 from tidemark.sources.archives import captures_of, records_from
+from tidemark.sources.store import folders, moved, removed
 
+SEEN = "key string, first struct<timestamp: string, seq: string, url: string>, bucket int"
 POLICIES = ("revisit", "skip", "keep")
 
 
@@ -60,6 +65,9 @@ class Ingest:
 
     folder: str
     policy: str = "revisit"
+    #: Parts of the table of keys seen, by a hash of the key, and batches after which what they added is merged into one file a part.
+    buckets: int = 1024
+    merged_every: int = 32
 
     def __post_init__(self) -> None:
         if self.policy not in POLICIES:
@@ -69,12 +77,38 @@ class Ingest:
     def _key(self) -> str:
         return "digest" if self.policy == "revisit" else "url"
 
-    def _seen(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        """First capture (url, timestamp) of each key of earlier batches."""
-        if batch_id == 0:
-            return None
-        kept = spark.read.option("basePath", f"{self.folder}/seen").parquet(f"{self.folder}/seen").where(F.col("batch") < batch_id)
-        return kept.groupBy("key").agg(F.min_by("first", "batch").alias("was"))
+    def _seen(self, spark: SparkSession, batch_id: int, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """First capture (url, timestamp) of each key of earlier batches, of some buckets or all; the folders of other buckets are not opened."""
+        bases, added = (sorted(k for k in folders(f"{self.folder}/{n}", "batch") if k <= batch_id) for n in ("merged", "seen"))
+        since = bases[-1] if bases else 0
+        paths = [(f"{self.folder}/merged/batch={since}", since - 1)] if bases else []
+        paths += [(f"{self.folder}/seen/batch={k}", k) for k in added if since <= k < batch_id]
+        out = None
+        for path, k in paths:
+            there = folders(path, "bucket")
+            own = [f"{path}/bucket={b}" for b in (there if buckets is None else there & set(buckets))]
+            if own:
+                rows = spark.read.schema(SEEN).option("basePath", path).parquet(*own).select("key", "first", F.lit(k).alias("batch"), "bucket")
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _merge(self, spark: SparkSession, batch_id: int) -> None:
+        """Writes all keys of batches before this one as one file a bucket; what is merged twice over goes."""
+        if not batch_id or batch_id % self.merged_every:
+            return
+        if batch_id not in folders(f"{self.folder}/merged", "batch"):
+            seen = self._seen(spark, batch_id)
+            if seen is None:
+                return
+            whole = seen.groupBy("bucket", "key").agg(F.min_by("first", "batch").alias("first"))
+            draft = f"{self.folder}/merged/draft-{batch_id}"
+            whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(draft)
+            moved(draft, f"{self.folder}/merged/batch={batch_id}")
+        old = sorted(k for k in folders(f"{self.folder}/merged", "batch") if k < batch_id)[:-1]
+        for k in old:
+            removed(f"{self.folder}/merged/batch={k}")
+        for k in (x for x in folders(f"{self.folder}/seen", "batch") if old and x < old[-1]):
+            removed(f"{self.folder}/seen/batch={k}")
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch, for foreachBatch; the same id again writes the same."""
@@ -85,18 +119,24 @@ class Ingest:
         usable = F.col(self._key).isNotNull() & (F.col(self._key) != "")
         if self.policy == "revisit":
             usable &= ~F.coalesce(is_revisit(batch), F.lit(False))
-        mine = batch.where(usable).groupBy(F.col(self._key).alias("key")).agg(F.min(F.struct("timestamp", "seq", "url")).alias("first"))
-        was = self._seen(batch.sparkSession, batch_id)
-        firsts = mine.withColumn("was", F.lit(None).cast(mine.schema["first"].dataType)) if was is None else mine.join(was, "key", "left")
-        firsts.where("was is null").select("key", "first").write.mode("overwrite").parquet(place("seen"))
+        spark = batch.sparkSession
+        self._merge(spark, batch_id)
+        first = F.min(F.struct("timestamp", "seq", "url")).alias("first")
+        mine = batch.where(usable).groupBy(F.col(self._key).alias("key")).agg(first).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+        mine = materialize(mine)
+        was = self._seen(spark, batch_id, [r[0] for r in mine.select("bucket").distinct().collect()])
+        firsts = mine.withColumn("was", F.lit(None).cast("struct<timestamp:string,seq:string,url:string>")) if was is None else mine.join(was.groupBy("key").agg(F.min_by("first", "batch").alias("was")), "key", "left")
+        # keys of one task are those of one range of buckets, so that a batch adds few files
+        kept = F.struct(F.col("first.timestamp").alias("timestamp"), F.col("first.seq").cast("string").alias("seq"), F.col("first.url").alias("url"))
+        new = firsts.where("was is null").select("key", kept.alias("first"), "bucket").repartitionByRange("bucket").sortWithinPartitions("bucket", "key")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(place("seen"))
         rows = batch.join(firsts, usable & (F.col(self._key) == F.col("key")), "left")
-        first = F.coalesce("was", "first")
-        again = F.coalesce((first != F.struct("timestamp", "seq", "url")) & F.col("key").isNotNull(), F.lit(False))
+        again = F.coalesce((F.col("was").isNotNull() | (F.col("first") != F.struct("timestamp", "seq", "url"))) & F.col("key").isNotNull(), F.lit(False))
         if self.policy == "skip":
             rows = rows.where(~again).select(*batch.columns)
         else:
-            told = {"mime": F.when(again, "warc/revisit").otherwise(F.col("mime")), "refers_url": F.when(again, first["url"]), "refers_timestamp": F.when(again, first["timestamp"])}
-            rows = rows.withColumns(told).drop("key", "first", "was")
+            told = {"mime": F.when(again, "warc/revisit").otherwise(F.col("mime")), "refers_url": F.when(again, F.coalesce("was.url", "first.url")), "refers_timestamp": F.when(again, F.coalesce("was.timestamp", "first.timestamp"))}
+            rows = rows.withColumns(told).drop("key", "first", "was", "bucket")
         rows.write.mode("overwrite").parquet(place("captures"))
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
