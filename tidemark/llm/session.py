@@ -41,6 +41,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Steps:
+    """Tables of a run that takes several steps, in a folder of its own below the shared one: written compressed, read back with
+    their true size, removed once they are of no more use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written under a name; a name that comes again is another table."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables and lets go of the shuffle files of the steps that made them."""
+        for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            remove(self.spark, folder)
+        release(self.spark)
+
+    def end(self) -> None:
+        """Removes all of them."""
+        remove(self.spark, self.folder)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of finished steps. It does so for what the driver's garbage collector
     finds out of use; a step that moves much more data than the driver holds cannot wait for that to happen by chance.
