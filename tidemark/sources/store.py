@@ -13,9 +13,11 @@ FETCH = 4 << 20
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
+    """The file system of a path or URI, and the path in it. Local URIs are Hadoop's: a percent sign in them stands for itself."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     path = f"s3{path[3:]}" if path.startswith(("s3a:", "s3n:")) else path
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def listed(paths: str | Sequence[str]) -> list[tuple[str, int]]:

@@ -1,6 +1,6 @@
 """Writing archive files: records as bytes by column expressions, files by size, revisits in place of repeated payloads.
 
-Record bytes are made in the JVM. ``rollover`` numbers a collection's files by running size, over slices of the global
+Record bytes are made in the JVM. ``numbered`` numbers a collection's files by running size, over slices of the global
 order, so that a large collection is no single task's work; a file is written by one task, under a name of its own first
 and moved into place when it is whole, so that a task that is run again leaves no half a file.
 """
@@ -8,18 +8,18 @@ and moved into place when it is whole, so that a task that is run again leaves n
 from __future__ import annotations
 
 import gzip
-import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import let
-from tidemark.operators.ingest import dedup_revisits, rollover
-from tidemark.operators.ordering import materialize
+from tidemark.operators.ingest import dedup_revisits
+from tidemark.operators.ordering import materialize, with_running
 from tidemark.sources.archives import base32_sha1
+from tidemark.sources.store import Draft
 
 #: Bytes after which a file closes.
 MAX_BYTES = 1_000_000_000
@@ -68,39 +68,67 @@ def record_bytes(records: DataFrame) -> DataFrame:
     return made.withColumn("length", F.octet_length("record").cast("long"))
 
 
-def write_archives(records: DataFrame, path: str, max_bytes: int = MAX_BYTES, revisits: bool = True) -> DataFrame:
-    """Writes records of collections (collection, seq, ...) as compressed archive files; (path, records, bytes) of each file.
+def numbered(sized: DataFrame, max_bytes: int, carried: DataFrame | None = None, fresh: int = 0) -> DataFrame:
+    """sized (collection, seq, length, ...) with ``file_no``: a file of a collection closes once its records pass max_bytes.
 
-    A file closes once its records (before compression) pass ``max_bytes``; with 1 each record has its own.
+    Numbers begin at ``fresh``, or for collections that are ``carried`` (collection, base, total) at their base, ``total`` bytes
+    after it. Only (collection, seq, length) goes through the running
+    sum and its global order; records take their file from it by (collection, seq), of which equal ones share a file.
     """
-    sized = record_bytes(with_revisits(records) if revisits else records).select("collection", "seq", "record", "length")
-    placed = rollover(sized, max_bytes).select("collection", "file_no", "seq", "record")
+    narrow = with_running(sized.select("collection", "seq", "length"), F.col("length"), ["collection"], F.col("seq"))
+    total = base = F.lit(None).cast("long")
+    if carried is not None:
+        narrow = narrow.join(carried.select(F.col("collection").alias("_c"), "base", "total"), F.col("collection").eqNullSafe(F.col("_c")), "left").drop("_c")
+        total, base = F.col("total"), F.col("base")
+    number = F.floor((F.col("_running") + F.coalesce(total, F.lit(0))) / max_bytes) + F.coalesce(base, F.lit(fresh))
+    number = F.min(number.cast("long")).alias("file_no")
+    of = narrow.groupBy(F.col("collection").alias("_c"), F.col("seq").alias("_s")).agg(number)
+    return sized.join(of, F.col("collection").eqNullSafe(F.col("_c")) & F.col("seq").eqNullSafe(F.col("_s"))).drop("_c", "_s")
+
+
+def file_name(collection: str | None, number: int) -> str:
+    """The name of a file of a collection: what a path cannot hold, or what hides a file, is percent-encoded; none is ``%00``."""
+    name = quote(collection, safe="") if collection else "%00"
+    return f"{f'%{ord(name[0]):02X}{name[1:]}' if name[0] in '_.' else name}-{number:05d}"
+
+
+def write_files(placed: DataFrame, folder: str, ending: str = ".warc.gz", tasks: int | None = None) -> DataFrame:
+    """Writes records (collection, file_no, seq, record), compressed one by one, to a file for each (collection, file_no).
+
+    (collection, file_no, path, records, bytes) of each, which is computed once. A file is there whole or not at all, and a
+    repeated task replaces it.
+    """
+    tasks = tasks or int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        files.create_dir(folder, recursive=True)
-        open_: tuple | None = None
-        done: list[tuple[str, int, int]] = []
+        key, out, n, done = None, None, 0, []
 
         def close() -> None:
-            key, draft, out, n = open_
             out.close()
-            final = f"{folder}/{key[0]}-{key[1]:05d}.warc.gz"
-            done.append((final, n, files.get_file_info(draft).size))
-            files.move(draft, final)
+            done.append((*key, f"{folder.rstrip('/')}/{file_name(*key)}{ending}", n, out.size))
 
         for b in batches:
             for name, number, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
-                if open_ is None or open_[0] != (name, number):
-                    if open_:
+                if key != (name, number):
+                    if out:
                         close()
-                    draft = f"{folder}/{name}-{number:05d}.{uuid.uuid4().hex}.open"
-                    open_ = ((name, number), draft, files.open_output_stream(draft, compression=None), 0)
-                open_[2].write(gzip.compress(record.as_py()))
-                open_ = (*open_[:3], open_[3] + 1)
-        if open_:
+                    key, n = (name, number), 0
+                    out = Draft(f"{folder.rstrip('/')}/{file_name(*key)}{ending}")
+                out.write(gzip.compress(record.as_py()))
+                n += 1
+        if out:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 3, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "records", "bytes"])
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 5, kinds, strict=True)], names=["collection", "file_no", "path", "records", "bytes"])
+
+    dealt = placed.select("collection", "file_no", "seq", "record").repartition(tasks, "collection", "file_no").sortWithinPartitions("collection", "file_no", "seq")
+    return materialize(dealt.mapInArrow(write, "collection string, file_no long, path string, records long, bytes long"))
+
 
-    dealt = placed.repartition("collection", "file_no").sortWithinPartitions("collection", "file_no", "seq")
-    return materialize(dealt.mapInArrow(write, "path string, records long, bytes long"))
+def write_archives(records: DataFrame, path: str, max_bytes: int = MAX_BYTES, revisits: bool = True) -> DataFrame:
+    """Writes records of collections (collection, seq, ...) as compressed archive files; (path, records, bytes) of each file.
+
+    A file closes once its records (before compression) pass ``max_bytes``; with 1 each record has its own.
+    """
+    sized = record_bytes(with_revisits(records) if revisits else records).select("collection", "seq", "record", "length")
+    return write_files(numbered(sized, max_bytes), path).select("path", "records", "bytes")
