@@ -16,6 +16,7 @@ from tidemark.plans import views
 from tidemark.plans.query import CaptureQuery
 from tidemark.sources import archives, blocks, resources, writing
 from tidemark.sources import text as lines
+from tidemark.streaming import archives as stream_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -474,6 +475,14 @@ def fuzzy_jquery(spark, d):
     return q.run(_noisy(spark, d, "back=jquery{n}_1")).select("timestamp", "seq")
 
 
+@contract(_OF_USER + "SELECT timestamp, seq FROM e WHERE timestamp BETWEEN '20240105000000' AND '20240120235959'")
+def fuzzy_no_groups(spark, d):
+    """A rule whose expression has no groups says only that it applies: captures of the page with any arguments may stand in."""
+    rule = fuzzy.FuzzyRule.of({"url_prefix": "com,example,shop)/", "fuzzy_lookup": "[?&]id=7"})
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&z=0", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    return q.run(_noisy(spark, d, "z={n}"), fuzzy_rules=(rule,)).select("timestamp", "seq")
+
+
 @contract(_OF_USER + _NOISY)
 def fuzzy_findall(spark, d):
     """A rule of its own takes all matching arguments as filters, and drops others."""
@@ -590,6 +599,21 @@ def jsonp_swap(spark, d):
     return views.table(spark, d, "pages").select("page_id", payload.swap_jsonp(F.concat(F.lit('jQ_1({"a":'), k, F.lit("});")), asked).alias("body"))
 
 
+@contract("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN '[::1]:8080)/p' || page_id WHEN 1 THEN 'com,example,h' || page_id || ')/' WHEN 2 THEN 'com,example,h' || page_id || ':abc)/x' WHEN 3 THEN 'com,example)/a/c/' || page_id
+ WHEN 4 THEN 'com,example)/~a/' || page_id || '?a=%c3%a9&b=1' WHEN 5 THEN 'com,example)/p' || page_id || '?a=' || page_id WHEN 6 THEN 'com,example)/100%25/' || page_id ELSE 'com,example,m)/q' || page_id || '.aspx?x=1' END AS urlkey FROM pages""")
+def surt_forms(spark, d):
+    """Addresses, ports, dot segments, escapes and session ids in keys."""
+    k = F.col("page_id").cast("string")
+    forms = (
+        ("http://[::1]:8080/P", ""), ("\tH", ".example.com:80\n"), ("http://h", ".example.com:abc/x/"), ("http://www.example.com/a/./b/../c//", "#top"), ("http://u:p@example.com/%7Ea/", "?b=1&a=%C3%A9"),
+        ("https://example.com:443/p", "?phpsessid=" + "0a" * 16 + "&a="), ("http://example.com/100%/", "/"), ("http://m.example.com/(S(4hqa0555fwsecu455xqckv45))/Q", ".aspx?x=1&"),
+    )
+    url = F.lit("")
+    for n, (head, tail) in enumerate(forms):
+        url = F.when(F.col("page_id") % 8 == n, F.concat(F.lit(head), k, F.lit(tail), k if n == 5 else F.lit(""))).otherwise(url)
+    return views.table(spark, d, "pages").select("page_id", urls.surt(url).alias("urlkey"))
+
+
 @contract("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'cb_' || page_id || '({"a": 1})' WHEN 1 THEN '/* c */n({"a": 1})' WHEN 2 THEN 'jq({"a": 1})' WHEN 3 THEN 'jq([1])' WHEN 4 THEN 'jq({"a": 1})' ELSE chr(47) || '/ c' || chr(10) || 'z({"a": 1})' END AS body FROM pages""")
 def jsonp_forms(spark, d):
     """Which arguments name a callback, and which bodies have one: comments go before it, an object must follow."""
@@ -620,6 +644,22 @@ def script_rewrite(spark, d):
     return views.table(spark, d, "pages").select("page_id", scanning.scan(script, scripts.PROXIED, scripts.archive_link("/web/", F.lit("2024"))).alias("script"))
 
 
+@contract("SELECT '<' || event_id || '>' AS record_id, 'http://e/' || user_id AS url, sha256(props) AS payload_sha256 FROM events")
+def stream_archives(spark, d):
+    """All events as records of a stream that is written to archive files, which close by size, by silence, or at its end."""
+    path = f"{ordering.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    e = spark.readStream.schema(views.table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")  # a pattern: a stream takes a path without one for a folder
+    rows = e.select(
+        F.col("event_type").alias("collection"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.lit("resource").alias("record_type"), F.concat(F.lit("<"), F.col("event_id").cast("string"), F.lit(">")).alias("record_id"),
+        F.concat(F.lit("http://e/"), F.col("user_id").cast("string")).alias("target_uri"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), F.lit(None).cast("string").alias("status_line"),
+        F.lit(None).cast("array<struct<name:string,value:string>>").alias("headers"), F.col("props").cast("binary").alias("payload"),
+    )
+    writer = stream_files.ArchiveWriter(path, max_bytes=200_000, lanes=2)
+    writer.start(rows, f"{path}/checkpoint").awaitTermination()
+    writer.finish(spark, 1 << 20)
+    return archives.read_records(spark, f"{path}/files").select("record_id", F.col("target_uri").alias("url"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 #: Names of response headers in the order of their rules, upper-case ones too, and one that has no rule.
 _HEADERS = [*payload.HEADER_RULES, "X-Own", "ETag", "Content-Type"]
 _KEPT = ("keep", "url-rewrite", "cookie")
