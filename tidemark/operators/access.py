@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +96,7 @@ def _row(rule: Rule) -> tuple:
 
 def _row_access(rule: Column, timestamp: Column, default: str, as_of: datetime | None) -> Column:
     """Access that a rule's row gives a capture time; before, after, newer and older are strict."""
-    ts, now = moment(timestamp), F.lit(as_of or datetime.now()).cast("timestamp")
+    ts, now = moment(timestamp), F.lit(as_of or datetime.now(UTC)).cast("timestamp")
     bound = F.coalesce(F.to_timestamp(rule["stamp"], "yyyyMMddHHmmss"), now - F.make_interval(rule["years"], rule["months"], rule["weeks"], rule["days"]))
     met = F.when(rule["condition"].isin("before", "older"), ts < bound).otherwise(ts > bound)
     return F.when(rule.isNull(), default).when(rule["condition"].isNull() | met, rule["access"]).otherwise(default)
@@ -115,7 +115,7 @@ def embargo_access(embargo: Rule | None, as_of: datetime | None = None) -> Colum
     """Access that an embargo gives a capture; null where it says nothing."""
     if embargo is None:
         return F.lit(None).cast("string")
-    met = _met(moment(F.col("timestamp")), embargo, as_of or datetime.now())
+    met = _met(moment(F.col("timestamp")), embargo, as_of or datetime.now(UTC))
     return F.when(met, embargo.access) if met is not None else F.lit(None).cast("string")
 
 

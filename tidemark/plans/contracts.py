@@ -369,15 +369,16 @@ def acl_best_rule(spark, d):
     return _access(access.control(views.events(spark, d), _RULES, as_of=_AS_OF))
 
 
-@contract(E.rstrip() + _RULES_SQL.format(user="staff") + f"SELECT {KEYS}, access FROM g WHERE access <> 'exclude' AND starts_with(urlkey, 'com,example,u3')")
+@contract(E.rstrip() + _RULES_SQL.format(user="staff") + f"SELECT {KEYS}, access FROM g WHERE access <> 'exclude'")
 def acl_user_rule(spark, d):
-    rows = views.events(spark, d).where(F.col("urlkey").startswith("com,example,u3"))
-    return _access(access.control(rows, _RULES, user="staff", as_of=_AS_OF))
+    return _access(access.control(views.events(spark, d), _RULES, user="staff", as_of=_AS_OF))
 
 
-@contract(E.rstrip() + _RULES_SQL.format(user="nobody") + f"SELECT {KEYS}, access FROM g WHERE access <> 'exclude' AND regexp_matches(urlkey, '^com,example,u[456]\\)/')")
+@contract(E + f"SELECT {KEYS}, CASE WHEN starts_with(urlkey, 'com,example,u4') AND timestamp < '20240110000000' THEN 'block' WHEN starts_with(urlkey, 'com,example,u7') AND timestamp > '20240105000000' THEN 'block' ELSE 'allow' END AS access FROM e")
 def acl_date_rule(spark, d):
-    return _access(access.control(views.events(spark, d).where(F.col("urlkey").rlike(r"^com,example,u[456]\)/")), _RULES, as_of=_AS_OF))
+    """Rules that hold before or after a date."""
+    rules = (Rule("com,example,u4", "block", before="20240110"), Rule("com,example,u7", "block", after="20240105"))
+    return _access(access.control(views.events(spark, d), rules, as_of=_AS_OF))
 
 
 @contract(E + f"SELECT {KEYS}, CASE WHEN timestamp < '20240107000000' THEN 'block' ELSE 'allow' END AS access FROM e")
@@ -660,14 +661,25 @@ def stream_archives(spark, d):
     return archives.read_records(spark, f"{path}/files").select("record_id", F.col("target_uri").alias("url"), F.sha2("payload", 256).alias("payload_sha256"))
 
 
-#: Names of response headers in the order of their rules, upper-case ones too, and one that has no rule.
-_HEADERS = [*payload.HEADER_RULES, "X-Own", "ETag", "Content-Type"]
-_KEPT = ("keep", "url-rewrite", "cookie")
+#: Fixed values, stated here again: headers that keep their name, headers that hold a link, and headers that are put aside.
+_PLAIN_HEADERS = (
+    "accept-patch", "accept-ranges", "allow", "content-disposition", "content-language", "content-range", "content-type", "link", "proxy-authenticate",
+    "www-authenticate", "set-cookie",
+)
+_LINK_HEADERS = ("content-base", "content-location", "location",)
+_ASIDE_HEADERS = (
+    "access-control-allow-origin", "access-control-allow-credentials", "access-control-expose-headers", "access-control-max-age", "access-control-allow-
+    methods", "access-control-allow-headers", "age", "alt-svc", "cache-control", "connection", "content-encoding", "content-length", "content-md5",
+    "content-security-policy", "content-security-policy-report-only", "date", "etag", "expires", "last-modified", "p3p", "pragma", "public-key-pins",
+    "retry-after", "server", "status", "strict-transport-security", "trailer", "transfer-encoding", "tk", "upgrade", "upgrade-insecure-requests", "vary",
+    "via", "warning", "x-frame-options", "x-xss-protection",
+)
+_HEADERS = (*_PLAIN_HEADERS, *_LINK_HEADERS, *_ASIDE_HEADERS, "X-Own", "ETag", "Content-Type")
 
 
 @contract(
-    "SELECT page_id, CASE WHEN kept THEN name ELSE 'X-Archive-Orig-' || name END AS name, CASE WHEN linked THEN 'http://archive.example/' || value ELSE value END AS value FROM (SELECT page_id, 'http://h' || page_id || '.example.com/' AS value FROM pages), (VALUES "
-    + ", ".join(f"('{n}', {payload.HEADER_RULES.get(n.lower(), 'keep') in _KEPT}, {payload.HEADER_RULES.get(n.lower()) == 'url-rewrite'})" for n in _HEADERS) + ") f(name, kept, linked)"
+    "SELECT page_id, CASE WHEN kept THEN name ELSE 'X-Archive-Orig-' || name END AS name, CASE WHEN linked THEN 'http://archive.example/' || value ELSE value END AS value FROM (SELECT page_id, 'http://h' || page_id || '.example.com/' AS value FROM pages) CROSS JOIN (VALUES "
+    + ", ".join(f"('{n}', {n.lower() not in _ASIDE_HEADERS}, {n in _LINK_HEADERS})" for n in _HEADERS) + ") f(name, kept, linked)"
 )
 def header_rules(spark, d):
     """Every header that has a rule, and some that do not."""
