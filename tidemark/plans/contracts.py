@@ -668,8 +668,7 @@ _PLAIN_HEADERS = (
 )
 _LINK_HEADERS = ("content-base", "content-location", "location",)
 _ASIDE_HEADERS = (
-    "access-control-allow-origin", "access-control-allow-credentials", "access-control-expose-headers", "access-control-max-age", "access-control-allow-
-    methods", "access-control-allow-headers", "age", "alt-svc", "cache-control", "connection", "content-encoding", "content-length", "content-md5",
+    "access-control-allow-origin", "access-control-allow-credentials", "access-control-expose-headers", "access-control-max-age", "access-control-allow-methods", "access-control-allow-headers", "age", "alt-svc", "cache-control", "connection", "content-encoding", "content-length", "content-md5",
     "content-security-policy", "content-security-policy-report-only", "date", "etag", "expires", "last-modified", "p3p", "pragma", "public-key-pins",
     "retry-after", "server", "status", "strict-transport-security", "trailer", "transfer-encoding", "tk", "upgrade", "upgrade-insecure-requests", "vary",
     "via", "warning", "x-frame-options", "x-xss-protection",
