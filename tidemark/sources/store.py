@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -39,17 +40,27 @@ def listed(paths: str | Sequence[str]) -> list[tuple[str, int]]:
     return sorted(out.items())
 
 
+#: A range of a file as a path: what is stored there is read as a file of the name that ends the path.
+_RANGE = re.compile(r"^(.*)!(\d+)\+(\d+)/([^/]+)$")
+
+
+def inside(path: str, offset: int, size: int, name: str) -> str:
+    """The path of a range of a file."""
+    return f"{path}!{offset}+{size}/{name}"
+
+
 class Opened:
-    """A file that is read by byte ranges. ``taken`` counts the bytes that were asked of the store."""
+    """A file, or a range of one (``inside``), that is read by byte ranges. ``taken`` counts the bytes that were asked of the store."""
 
     def __init__(self, path: str):
-        files, inner = located(path)
+        m = _RANGE.match(path)
+        files, inner = located(m[1] if m else path)
         self.file = files.open_input_file(inner)
-        self.size = self.file.size()
+        self.base, self.size = (int(m[2]), int(m[3])) if m else (0, self.file.size())
         self.taken = 0
 
     def read(self, offset: int, length: int) -> bytes:
-        out = self.file.read_at(max(0, min(length, self.size - offset)), offset) if offset < self.size else b""
+        out = self.file.read_at(max(0, min(length, self.size - offset)), self.base + offset) if offset < self.size else b""
         self.taken += len(out)
         return out
 
