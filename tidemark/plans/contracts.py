@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import payload, rewrite, scanning, scripts, times, urls
+from tidemark.functions import payload, rewrite, scanning, scripts, sniffing, times, urls
 from tidemark.operators import access, building, captures, fuzzy, ingest, ordering, timeline
 from tidemark.operators.access import Rule
 from tidemark.plans import views
@@ -645,6 +645,18 @@ def script_rewrite(spark, d):
     return views.table(spark, d, "pages").select("page_id", scanning.scan(script, scripts.PROXIED, scripts.archive_link("/web/", F.lit("2024"))).alias("script"))
 
 
+@contract("""SELECT page_id, CASE WHEN page_id % 4 = 3 AND page_id % 3 <> 2 THEN NULL WHEN page_id % 3 = 1 AND page_id % 4 = 1 THEN CASE WHEN contains(url, '.json') THEN 'json' ELSE 'script' END
+ WHEN page_id % 3 = 1 AND page_id % 4 = 2 THEN 'css' WHEN page_id % 3 = 1 THEN NULL ELSE 'html' END AS kind FROM pages""")
+def sniffed_types(spark, d):
+    """Pages and scripts whose declared types say little, by what they are asked for as."""
+    k = F.col("page_id")
+    declared = F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "text/plain").otherwise("application/xhtml+xml")
+    modifier = F.when(k % 4 == 0, "mp_").when(k % 4 == 1, "js_").when(k % 4 == 2, "cs_").otherwise("im_")
+    body = F.when(k % 3 == 1, F.concat(F.lit("body { } /* "), "html")).otherwise(F.col("html"))
+    kind = sniffing.kind_of_text(declared, modifier, body, F.col("url"))
+    return views.table(spark, d, "pages").select("page_id", kind.alias("kind"))
+
+
 @contract("SELECT '<' || event_id || '>' AS record_id, 'http://e/' || user_id AS url, sha256(props) AS payload_sha256 FROM events")
 def stream_archives(spark, d):
     """All events as records of a stream that is written to archive files, which close by size, by silence, or at its end."""
