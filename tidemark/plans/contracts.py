@@ -734,7 +734,7 @@ def text_index_range(spark, d):
 
 
 def _block_index(spark, d) -> blocks.BlockIndex:
-    return blocks.write_block_index(views.events(spark, d), f"{ordering.shared_folder(spark)}/blocks-{uuid.uuid4().hex}", lines=300)
+    return blocks.write_block_index(views.events(spark, d), f"{ordering.shared_folder(spark)}/blocks-{uuid.uuid4().hex}", lines=30)
 
 
 @contract(E + "SELECT urlkey, timestamp, url, digest, \"offset\" FROM e WHERE starts_with(urlkey, 'com,example,u12)/') OR starts_with(urlkey, 'com,example,u3')")
@@ -745,14 +745,14 @@ def block_index_range(spark, d):
     return found.select("urlkey", "timestamp", "url", "digest", "offset")
 
 
-@contract(E + """, n AS (SELECT *, (row_number() OVER (ORDER BY urlkey, timestamp, seq) - 1) // 300 AS block FROM e)
+@contract(E + """, n AS (SELECT *, (row_number() OVER (ORDER BY urlkey, timestamp, seq) - 1) // 30 AS block FROM e)
 SELECT urlkey, timestamp, "offset" FROM n WHERE block >= 8 AND block < 12""")
 def query_page(spark, d):
     """The third page, of four blocks, of all captures."""
     return CaptureQuery.parse({"url": "*.example.com", "page": "2", "pageSize": "4", "limit": "0"}).run(_block_index(spark, d)).select("urlkey", "timestamp", "offset")
 
 
-@contract(E + """, n AS (SELECT *, (row_number() OVER (ORDER BY urlkey, timestamp, seq) - 1) // 300 AS block FROM e), s AS (SELECT block, min(urlkey) AS first FROM n GROUP BY block),
+@contract(E + """, n AS (SELECT *, (row_number() OVER (ORDER BY urlkey, timestamp, seq) - 1) // 30 AS block FROM e), s AS (SELECT block, min(urlkey) AS first FROM n GROUP BY block),
  b AS (SELECT count(*) AS n FROM s WHERE first < 'com,example,u12*' AND block >= coalesce((SELECT max(block) FROM s WHERE first < 'com,example,u12)/'), 0))
 SELECT CAST(ceil(n / 2.0) AS BIGINT) AS pages, CAST(2 AS BIGINT) AS "pageSize", n AS blocks FROM b""")
 def query_num_pages(spark, d):
