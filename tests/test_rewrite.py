@@ -46,6 +46,12 @@ def test_cookies_and_xml():
     assert rw.rewrite_xml_text('<a xmlns="http://n/" href="http://a/">http://b/</a>', PAGE) == '<a xmlns="http://n/" href="http://archive/coll/2014mp_/http://a/">http://archive/coll/2014mp_/http://b/</a>'
 
 
+@pytest.mark.parametrize("text", ["<title>x &a</title>", "a &amp b &amp; c", "\r\n&#65<b>&#x41 &#65;</b>\n&a\n&b;", "x &a", "x &#65", "<p>&", "&&lt&#;x;"])
+def test_references_stay_as_they_are(text):
+    """With and without their semicolons, at the end of a page too."""
+    assert rw.rewrite_html_text(text, PAGE) == text
+
+
 FORM = b"foo=bar&dir=%2Fbaz&do=true"
 
 
