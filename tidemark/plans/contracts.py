@@ -374,10 +374,10 @@ def acl_user_rule(spark, d):
     return _access(access.control(views.events(spark, d), _RULES, user="staff", as_of=_AS_OF))
 
 
-@contract(E + f"SELECT {KEYS}, CASE WHEN starts_with(urlkey, 'com,example,u4') AND timestamp < '20240110000000' THEN 'block' WHEN starts_with(urlkey, 'com,example,u7') AND timestamp > '20240105000000' THEN 'block' ELSE 'allow' END AS access FROM e")
+@contract(E.rstrip() + _RULES_SQL.format(user="nobody").replace("('', 'allow', NULL, FALSE),", "('', 'allow', NULL, FALSE), ('com,example,u4', 'D4', NULL, FALSE), ('com,example,u7', 'D7', NULL, FALSE),").replace("ELSE a END", "WHEN 'D7' THEN CASE WHEN timestamp > '20240105000000' THEN 'block' ELSE 'allow' END ELSE a END") + f"SELECT {KEYS}, access FROM g WHERE access <> 'exclude'")
 def acl_date_rule(spark, d):
-    """Rules that hold before or after a date."""
-    rules = (Rule("com,example,u4", "block", before="20240110"), Rule("com,example,u7", "block", after="20240105"))
+    """All rules over all captures, with two more that hold before or after a date."""
+    rules = (*_RULES, Rule("com,example,u4", "block", before="20240110"), Rule("com,example,u7", "block", after="20240105"))
     return _access(access.control(views.events(spark, d), rules, as_of=_AS_OF))
 
 
