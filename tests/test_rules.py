@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import captures, cookies, rules, timeline
+from tidemark.plans import contracts
 from tidemark.sources.text import read_rules
 
 RULES = "urlkey string, access string, user string, url string"
@@ -47,3 +48,12 @@ def test_domain_cookies(spark):
     got = {tuple(r) for r in cookies.cookies_for(asked, known).collect()}
     assert got == {(1, "example.com", "n", "new"), (1, "b.example.com", "m", "v"), (4, "example.com", "late", "v")}
     assert spark.range(1).select(cookies.parent_domains(F.lit("a.b.co.uk"), 2)).first()[0] == ["b.co.uk"]
+
+
+@pytest.mark.parametrize("name", ["fuzzy_keeps_clamp", "fuzzy_jquery", "fuzzy_no_groups", "fuzzy_findall"])
+def test_fuzzy_queries_find_more_than_a_million(spark, tmp_path, name):
+    """No limit cuts what stands in."""
+    n = 1_000_001
+    events = spark.range(10, n + 10, numPartitions=4).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_705_000_000) + F.col("id") % 1000).alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("view").alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert contracts.QUERIES[name](spark, str(tmp_path)).count() == n

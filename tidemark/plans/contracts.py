@@ -465,14 +465,14 @@ _OF_USER = "WITH e AS (SELECT *, regexp_extract(url, '//u([0-9]+)', 1) AS user_i
 @contract(_OF_USER + _NOISY)
 def fuzzy_keeps_clamp(spark, d):
     """The search for a stand-in keeps from and to."""
-    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&utm_source=me", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&utm_source=me", "from": "20240105", "to": "20240120", "limit": "0"})
     return q.run(_noisy(spark, d, "utm_source={n}")).select("timestamp", "seq")
 
 
 @contract(_OF_USER + _NOISY)
 def fuzzy_jquery(spark, d):
     """Callbacks that a script library numbers are noise."""
-    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&back=jquery1_1", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&back=jquery1_1", "from": "20240105", "to": "20240120", "limit": "0"})
     return q.run(_noisy(spark, d, "back=jquery{n}_1")).select("timestamp", "seq")
 
 
@@ -480,7 +480,7 @@ def fuzzy_jquery(spark, d):
 def fuzzy_no_groups(spark, d):
     """A rule whose expression has no groups says only that it applies: captures of the page with any arguments may stand in."""
     rule = fuzzy.FuzzyRule.of({"url_prefix": "com,example,shop)/", "fuzzy_lookup": "[?&]id=7"})
-    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&z=0", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&z=0", "from": "20240105", "to": "20240120", "limit": "0"})
     return q.run(_noisy(spark, d, "z={n}"), fuzzy_rules=(rule,)).select("timestamp", "seq")
 
 
@@ -488,7 +488,7 @@ def fuzzy_no_groups(spark, d):
 def fuzzy_findall(spark, d):
     """A rule of its own takes all matching arguments as filters, and drops others."""
     rule = fuzzy.FuzzyRule.of({"url_prefix": "com,example,shop)/", "fuzzy_lookup": {"match": "[?&](id=[^&]+)", "filter": ["~urlkey:.*[?&]{0}(&|$)"], "re_type": "findall"}})
-    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&z=0", "from": "20240105", "to": "20240120", "limit": "1000000"})
+    q = CaptureQuery.parse({"url": "http://shop.example.com/item?id=7&z=0", "from": "20240105", "to": "20240120", "limit": "0"})
     return q.run(_noisy(spark, d, "z={n}"), fuzzy_rules=(rule, *fuzzy.DEFAULT_RULES)).select("timestamp", "seq")
 
 
