@@ -245,3 +245,16 @@ def test_a_long_text_and_its_runs(spark):
     """A text of two million words that repeats itself, whole."""
     one = periodic.find_runs(spark.sql("select 1 doc_id, repeat('a b c ', 600000) || 'd' text")).first()
     assert (one["n_words"], one["n_runs"], one["start"], one["length"], one["period"], one["collapsed"]) == (1_800_001, 1, 0, 1_800_000, 3, "a b c d")
+
+
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    """Every pair is compared, however few go in one round."""
+    from tidemark.llm import session, shingles
+
+    monkeypatch.setattr(shingles, "ROUND", 4)
+    sets = spark.createDataFrame([(k, bytearray(np.arange(k % 2, 20, dtype=np.uint32).tobytes())) for k in range(6)] + [(9, bytearray(np.arange(90, 99, dtype=np.uint32).tobytes()))], "cls long, grams binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in (*range(a + 1, 6), 9)], "a long, b long")
+    steps = session.Steps(spark)
+    found = {tuple(r) for r in shingles.compared(steps, pairs, sets, "x").collect()}
+    assert found == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+    steps.end()

@@ -43,6 +43,8 @@ SIGNATURE, FAR = 4, 73
 BLOCK = 1_024
 #: Classes of a key up to which its pairs are listed; those of larger keys meet in their blocks.
 PAIRED = 64
+#: Pairs whose sets are fetched at once: 2 GB on the way, for texts of 250 words.
+ROUND = 1 << 20
 #: Stands for a null doc_id where ids are ordered.
 NULL_ID = (1 << 63) - 1
 
@@ -151,8 +153,8 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return marked.groupBy("cls").agg(F.min("_key").alias("least"), *(F.first(c).alias(c) for c in ("size", "sig", "keys")))
 
 
-def shingle_rows(docs: DataFrame) -> DataFrame:
-    """(cls, grams) of each distinct shingle set: its sorted 32-bit hashes."""
+def placed_sets(docs: DataFrame, homes: DataFrame) -> DataFrame:
+    """(cls, home, block, grams) of each placed class: its sorted 32-bit hashes. Sets of other classes are never shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +164,8 @@ def shingle_rows(docs: DataFrame) -> DataFrame:
                 sets += [np.unique((grams[s:e] >> np.uint64(32)).astype(np.uint32)).tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([_join(names, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "grams"])
 
-    return _named(docs).mapInArrow(run, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
+    rows = _named(docs).mapInArrow(run, "cls long, grams binary").join(homes.select("cls"), "cls", "left_semi")
+    return rows.groupBy("cls").agg(F.first("grams").alias("grams")).join(homes, "cls").select("cls", "home", "block", "grams")
 
 
 def alike(both: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | bool:
@@ -217,7 +220,7 @@ def block_links(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets (cls, grams) are similar enough."""
+    """The (a, b) of ``pairs`` whose sets (cls, grams) are similar enough. Only sets of a pair leave their files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,8 +232,21 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     small_batches(pairs.sparkSession)
-    left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("_x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    side = lambda c, grams: sets.select(F.col("cls").alias(c), F.col("grams").alias(grams)).join(pairs.select(c).distinct(), c, "left_semi")
+    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+
+
+def compared(steps: Steps, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """``similar`` over a table of the pairs, in rounds of ROUND, so that sets on their way never fill the disk."""
+    listed = steps.table(pairs, f"{name}-pairs")
+    release(steps.spark)
+    rounds = -(-listed.count() // ROUND)
+    out = listed.limit(0)
+    for k in range(rounds):
+        part = listed if rounds == 1 else steps.table(listed.where(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k), f"{name}-round")
+        out = out.unionAll(steps.table(similar(part, sets), name))
+        release(steps.spark)
+    return out
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -253,19 +269,16 @@ def beyond_blocks(members: DataFrame, homes: DataFrame) -> DataFrame:
     return members.select("key", "cls").join(wide, "key", "left_semi")
 
 
-def settled(docs: DataFrame, homes: DataFrame, wide: DataFrame) -> DataFrame:
-    """(a, b, grams): the links found inside blocks, and the set (grams) of each class a that has keys beyond its block."""
+def settled(sets: DataFrame) -> DataFrame:
+    """(a, b): the links found inside blocks of the placed sets."""
 
     def settle(block: pa.Table) -> pa.Table:
         block = block.sort_by("cls")
         names = block["cls"].to_numpy()
         pairs = np.array(list(block_links([np.frombuffer(x.as_buffer(), np.uint32) for x in block["grams"]])), np.int64).reshape(-1, 2)
-        links = pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]], "grams": pa.nulls(len(pairs), pa.binary())})
-        on = block.filter(block["wide"])
-        return pa.concat_tables([links, pa.table({"a": on["cls"], "b": pa.nulls(len(on), pa.int64()), "grams": on["grams"]})])
+        return pa.table({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    known = homes.join(wide.select("cls").distinct().withColumn("wide", F.lit(True)), "cls", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    return known.join(shingle_rows(docs), "cls").groupBy("home", "block").applyInArrow(settle, "a long, b long, grams binary")
+    return sets.groupBy("home", "block").applyInArrow(settle, "a long, b long")
 
 
 def still_apart(wide: DataFrame, edges: DataFrame) -> DataFrame:
@@ -328,6 +341,7 @@ def visited(now: DataFrame, mains: DataFrame, homes: DataFrame, sets: DataFrame)
     large = now.join(mains.where(f"n > {PAIRED}"), "key").join(homes, "cls")
     blocks = large.select("key", F.col("home").alias("home2"), F.col("block").alias("block2")).distinct()
     calls = large.where("root <> main").join(blocks, "key").where("not (home = home2 and block = block2)").select("cls", "root", F.col("home2").alias("home"), F.col("block2").alias("block")).distinct()
+    sets = sets.join(large.select("cls").distinct(), "cls", "left_semi")
     parties = calls.groupBy("home", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parties"))
     calls = calls.join(parties, ["home", "block"]).withColumn("party", F.pmod(F.xxhash64("cls"), "parties")).drop("parties")
     hosts = large.select("cls", "root", "home", "block").distinct().join(parties, ["home", "block"]).withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parties") - 1))).drop("parties")
@@ -362,20 +376,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
     homes = steps.table(block_places(members), "homes")
     wide = steps.table(beyond_blocks(members, homes), "wide")
     steps.drop(members)
-    found = steps.table(settled(docs, homes, wide), "found")
+    placed = steps.table(placed_sets(docs, homes), "sets")
+    release(docs.sparkSession)
+    edges, sets = steps.table(settled(placed), "found"), placed.select("cls", "grams")
     release(docs.sparkSession)
-    edges, sets = found.where("b is not null").select("a", "b"), found.where("grams is not null").select(F.col("a").alias("cls"), "grams")
     now = steps.table(still_apart(wide, edges), "now")
     if not now.isEmpty():
         facts = homes.join(classes.select("cls", "size", "sig"), "cls")
-        more = steps.table(similar(head_pairs(now, facts), sets), "heads")
-        edges = edges.unionAll(more)
+        edges = edges.unionAll(compared(steps, head_pairs(now, facts), sets, "heads"))
         steps.drop(now)
         now = steps.table(still_apart(wide, edges), "now")
         steps.drop(wide)
         mains = key_mains(now)
-        edges = edges.unionAll(steps.table(similar(rest_pairs(now, mains, facts), sets), "rest"))
-        release(docs.sparkSession)
+        edges = edges.unionAll(compared(steps, rest_pairs(now, mains, facts), sets, "rest"))
         edges = edges.unionAll(steps.table(visited(now, mains, homes, sets), "visits"))
         steps.drop(now)
     roots = connected_components(edges)
