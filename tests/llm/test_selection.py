@@ -258,3 +258,20 @@ def test_pairs_are_compared_in_rounds(spark, monkeypatch):
     found = {tuple(r) for r in shingles.compared(steps, pairs, sets, "x").collect()}
     assert found == {(a, b) for a in range(6) for b in range(a + 1, 6)}
     steps.end()
+
+
+def test_trees_bring_near_copies_together(spark, monkeypatch):
+    """Near copies meet through the trees of the SimHash operator alone, and only those similar enough stay linked."""
+    from tidemark.llm import shingles, simhash
+
+    r = np.random.default_rng(4)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    texts = []
+    for changed in (1,) * 20 + (130,) * 20:  # words of 400 at the end: similarity over 0.99, and about 0.5
+        base = [word() for _ in range(400)]
+        texts += [" ".join(base), " ".join(base[: 400 - changed] + [word() for _ in range(changed)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(shingles, "settled", lambda sets: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(shingles, "still_apart", lambda wide, edges: wide.withColumn("root", wide["cls"]).limit(0))
+    kept = {x["doc_id"] for x in simhash.deduplicate(docs).collect()}
+    assert kept == {k for k in range(80) if k >= 40 or k % 2 == 0}

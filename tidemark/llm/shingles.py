@@ -1,15 +1,18 @@
 """Near-copies by shared shingles: texts whose sets of five-word shingles have Jaccard similarity SIMILARITY or more.
 
-SimHash cannot reach that similarity at a bearable cost (see README), so this is how its operator links above a similarity:
-all pairs, none missed but by chance of hashes (see FAR). Shingles have one global order, those known to be common last. Two sets that
+The SimHash operator searches first: every text class (equal sets) has a signature of SIGNATURE words, each a SimHash of its set,
+and all classes go through the vantage-point trees of each word. What they bring together is checked against the sets.
+Trees of a bearable radius do not reach all pairs of that similarity (see README), so the rest is found by keys: all
+pairs, none missed but by chance of hashes (see FAR). Shingles have one global order, those known to be common last. Two sets that
 are similar enough share one of the first n - ceil(0.8 n) + 1 shingles of either (its keys), and those are rare ones, so that
 a passage that a third of all texts share brings nobody together.
 
-1. Every text class (equal sets) goes once, with its set, to the most shared of its keys, in blocks of BLOCK. Inside a block
+1. Trees: classes that a word's trees bring together are compared, set with set (``tree_pairs``).
+2. Every class goes once, with its set, to the most shared of its keys, in blocks of BLOCK. Inside a block
    components are found outright: a pivot is compared with all that are unassigned, those that it links are pivots in turn,
    and distances to the first pivot rule pairs out by the triangle inequality (Jaccard distance is a metric).
-2. Keys whose classes still lie apart link one class of each component with the key's head.
-3. What then still shares a key from different components, and did not meet in a block, is compared: pair by pair where the
+3. Keys whose classes still lie apart link one class of each component with the key's head.
+4. What then still shares a key from different components, and did not meet in a block, is compared: pair by pair where the
    key has few classes, else by sending what lies beside the key's main component to the blocks of the others.
 Listed pairs whose sizes or SimHash signatures (256 bits) rule the similarity out are dropped before sets are fetched.
 
@@ -21,7 +24,7 @@ empty result. Sets hold 32-bit hashes, so a similarity is off by the share of sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -297,20 +300,44 @@ def _other(c: str) -> str:
     return f"{c}2"
 
 
-def plausible(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows with two classes that did not meet in a block and whose sizes and signatures allow the similarity."""
+def feasible(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows with two classes whose sizes and signatures allow the similarity."""
     apart = " + ".join(f"bit_count(sig[{k}] ^ sig2[{k}])" for k in range(SIGNATURE))
     sizes = f"{DOWN} * least(size, size2) >= {UP} * greatest(size, size2)"
-    kept = rows.where(f"cls <> cls2 and not (home = home2 and block = block2) and {sizes} and {apart} <= {FAR}")
+    kept = rows.where(f"cls <> cls2 and {sizes} and {apart} <= {FAR}")
     return kept.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
+def plausible(rows: DataFrame) -> DataFrame:
+    """``feasible`` pairs that did not meet in a block."""
+    return feasible(rows.where("not (home = home2 and block = block2)"))
+
+
 def with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """(a, b) with what is known of both classes, as ``plausible`` asks for it; facts: home, block, size and sig of each cls."""
-    other = facts.select(*(F.col(c).alias(_other(c)) for c in _SIDE))
+    other = facts.select(*(F.col(c).alias(_other(c)) for c in _SIDE if c in facts.columns))
     return pairs.join(facts, pairs["a"] == facts["cls"]).join(other, pairs["b"] == other["cls2"])
 
 
+def tree_pairs(steps: Steps, classes: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): classes that the SimHash operator brings together by any word of their signatures, if sizes and signatures allow it.
+
+    search: edges (a, b) over distinct fingerprints (fp), whose components are those of all links within the operator's radius.
+    classes: cls, size and sig of every class.
+    """
+    pairs = []
+    for k in range(SIGNATURE):
+        prints = classes.select("cls", F.col("sig")[k].alias("fp"))
+        heads = steps.table(prints.groupBy("fp").agg(F.min("cls").alias("head")), "prints")
+        side = lambda c, heads=heads: heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}"))
+        pairs.append(search(heads.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        pairs.append(prints.join(heads, "fp").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")))
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.unionAll(more)
+    return feasible(with_facts(found.distinct(), classes))
+
+
 def head_pairs(now: DataFrame, facts: DataFrame) -> DataFrame:
     """(a, b): for each key, one class of each component with one class of the key."""
     chosen = now.groupBy("key", "root").agg(F.min(F.struct(F.xxhash64("cls", "key").alias("h"), "cls")).alias("m"))
@@ -366,11 +393,13 @@ def visited(now: DataFrame, mains: DataFrame, homes: DataFrame, sets: DataFrame)
     return hosts.join(sets, "cls").groupBy(*by).cogroup(guests.groupBy(*(f"g_{c}" for c in by))).applyInArrow(meet, "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(cls, least, root): each set's hash, its least doc_id, and the component of its links."""
+def near_classes(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(cls, least, root): each set's hash, its least doc_id, and the component of its links. search: see ``tree_pairs``."""
     steps = Steps(docs.sparkSession)
     whole = steps.table(text_classes(docs), "classes")
     classes = steps.table(whole.select("cls", "least", "size", "sig"), "facts")
+    near = steps.table(tree_pairs(steps, classes.select("cls", "size", "sig"), search), "trees")
+    release(docs.sparkSession)
     members = steps.table(shared_keys(whole), "members")
     steps.drop(whole)
     homes = steps.table(block_places(members), "homes")
@@ -378,7 +407,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     steps.drop(members)
     placed = steps.table(placed_sets(docs, homes), "sets")
     release(docs.sparkSession)
-    edges, sets = steps.table(settled(placed), "found"), placed.select("cls", "grams")
+    sets = placed.select("cls", "grams")
+    # a class that shares no key is similar to none: its pairs find no set
+    edges = compared(steps, near, sets, "trees").unionAll(steps.table(settled(placed), "found"))
     release(docs.sparkSession)
     now = steps.table(still_apart(wide, edges), "now")
     if not now.isEmpty():
@@ -398,9 +429,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return out
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
-    """(_row, _key, _cls) of the rows of docs, whole, that stay: the least doc_id of each component."""
-    found = near_classes(docs)
+def kept_rows(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_row, _key, _cls) of the rows of docs, whole, that stay: the least doc_id of each component. search: see ``tree_pairs``."""
+    found = near_classes(docs, search)
     release(docs.sparkSession)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("least").alias("_key"), F.col("cls").alias("_cls"))).alias("k")).select("k._key", "k._cls")
     # the row goes as one column, so that no column of docs can clash with ours

@@ -236,9 +236,10 @@ def one_row(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of texts whose five-word shingles are alike to 0.8 or more (see ``shingles``), whole: the
-    one of least doc_id (null last), of several the one of least hash."""
-    return one_row(shingles.kept_rows(docs), "_key", "_cls")
+    """One row of docs for each group of texts whose five-word shingles are alike to 0.8 or more, whole: the one of least doc_id
+    (null last), of several the one of least hash. The trees bring texts together, their sets are compared, and what lies beyond
+    the trees' radius is found by shared shingles (see ``shingles``)."""
+    return one_row(shingles.kept_rows(docs, near_edges), "_key", "_cls")
 
 
 def deduplicate_within(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
