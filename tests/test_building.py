@@ -93,3 +93,22 @@ def test_private_headers(spark):
     pair = "transform(split('Set-Cookie=a=b; HttpOnly|Cookie=x|set-cookie=c=d|ETag=e', '[|]'), x -> struct(split(x, '=')[0] as name, substring(x, instr(x, '=') + 1) as value))"
     row = spark.range(1).select(building.without_private_cookies(F.expr(pair)).alias("a"), building.without_headers(F.expr(pair), ["etag", "COOKIE"]).alias("b")).first()
     assert [x["value"] for x in row["a"]] == ["c=d", "e"] and [x["value"] for x in row["b"]] == ["a=b; HttpOnly", "c=d"]
+
+
+def test_resources_without_an_origin_are_spread(spark):
+    """Captures that ask for no record of an original, or for one without a number, fill no single task, and load the same."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false"), spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).selectExpr(
+            "concat('com,example)/', id) urlkey", "'2024' timestamp", "'f' filename", "if(id % 10 = 1, '-', cast(id as string)) offset", "if(id % 10 = 0, 'warc/revisit', 'text/html') mime",
+            "if(id % 10 = 0 and id > 0, 'f', '-') orig_filename", "if(id % 10 = 0 and id > 0, cast(id - 8 as string), '-') orig_offset", "if(id % 10 = 3, 'block', 'allow') access", "id",
+        )
+        records = spark.range(-5, 2000).selectExpr("'f' filename", "id offset", "'HTTP/1.1 200 OK' status_line", "array(struct('A' name, 'b' value)) headers", "cast(cast(id as string) as binary) payload")
+        got = building.load_resources(rows, records).selectExpr("id", "answer", "cast(payload as string) body", "spark_partition_id() part").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = {k: (451, None) if k % 10 == 3 else (404, None) if k % 10 == 1 or k == 0 else (200, str(k - 8 if k % 10 == 0 else k)) for k in range(2000)}
+    assert {r["id"]: (r["answer"], r["body"]) for r in got} == want and len(got) == 2000
+    assert max(sum(r["part"] == p for r in got) for p in {r["part"] for r in got}) < 800

@@ -114,17 +114,27 @@ def load_resources(captures: DataFrame, records: DataFrame) -> DataFrame:
     has = lambda c: c in captures.columns
     blocked = F.coalesce(F.col("access") == "block", F.lit(False)) if has("access") else F.lit(False)
     revisit = (F.col("mime") == "warc/revisit") | F.coalesce(F.col("orig_filename") != "-", F.lit(False)) if has("orig_filename") else F.col("mime") == "warc/revisit"
-    number = lambda c: F.col(c).try_cast("long")
-    own = records.select(F.col("filename").alias("_file"), F.col("offset").alias("_at"), F.struct("status_line", "headers", "payload").alias("_own"))
     given = captures.withColumns({"_blocked": blocked, "_again": F.coalesce(revisit, F.lit(False))})
-    rows = given.join(own, ~F.col("_blocked") & (F.col("filename") == F.col("_file")) & (number("offset") == F.col("_at")), "left").drop("_file", "_at")
+    loaded = ("status_line", "headers", "payload")
+
+    def meet(rows: DataFrame, side: str, asked: Column, file: str, offset: str) -> DataFrame:
+        """rows with what a record holds, and whether there is one, under names of a side. Rows that ask for none, or for no number,
+        get a place by their own hash, which ``asked`` keeps from meeting any: with a null key all would go to one task."""
+        number = F.col(offset).try_cast("long")
+        asked = asked & F.col(file).isNotNull() & number.isNotNull()
+        rows = rows.withColumns({"_asked": asked, "_place": F.when(asked, number).otherwise(F.xxhash64("urlkey", "timestamp", "filename", "offset"))})
+        held = records.select(F.col("filename").alias("_file"), F.col("offset").alias("_at"), *(F.col(c).alias(f"{side}_{c}") for c in loaded))
+        found = rows.join(held, F.col("_asked") & (F.col(file) == F.col("_file")) & (F.col("_place") == F.col("_at")), "left")
+        return found.withColumn(f"{side}_found", F.col("_file").isNotNull()).drop("_file", "_at", "_asked", "_place")
+
+    rows = meet(given, "_own", ~F.col("_blocked"), "filename", "offset")
     if has("orig_filename"):
-        origin = own.withColumnRenamed("_own", "_first")
-        rows = rows.join(origin, ~F.col("_blocked") & F.col("_again") & (F.col("orig_filename") == F.col("_file")) & (number("orig_offset") == F.col("_at")), "left").drop("_file", "_at")
+        rows = meet(rows, "_first", ~F.col("_blocked") & F.col("_again"), "orig_filename", "orig_offset")
     else:
-        rows = rows.withColumn("_first", F.lit(None).cast(own.schema["_own"].dataType))
-    body = F.when(F.col("_again"), F.col("_first.payload")).otherwise(F.col("_own.payload"))
-    headed = F.size(F.coalesce("_own.headers", F.array())) > 0
-    pick = lambda c: F.when(F.col("_again") & ~headed, F.col(f"_first.{c}")).otherwise(F.col(f"_own.{c}"))
-    answer = F.when(F.col("_blocked"), 451).when(F.col("_own").isNull() | (F.col("_again") & F.col("_first").isNull()), 404).otherwise(200)
-    return rows.withColumns({"answer": answer, "status_line": pick("status_line"), "headers": pick("headers"), "payload": body}).drop("_own", "_first", "_blocked", "_again")
+        kinds = records.select(*loaded).schema
+        rows = rows.withColumns({f"_first_{c}": F.lit(None).cast(kinds[c].dataType) for c in loaded} | {"_first_found": F.lit(False)})
+    body = F.when(F.col("_again"), F.col("_first_payload")).otherwise(F.col("_own_payload"))
+    headed = F.size(F.coalesce("_own_headers", F.array())) > 0
+    pick = lambda c: F.when(F.col("_again") & ~headed, F.col(f"_first_{c}")).otherwise(F.col(f"_own_{c}"))
+    answer = F.when(F.col("_blocked"), 451).when(~F.col("_own_found") | (F.col("_again") & ~F.col("_first_found")), 404).otherwise(200)
+    return rows.withColumns({"answer": answer, "status_line": pick("status_line"), "headers": pick("headers"), "payload": body}).drop("_blocked", "_again", *(f"{side}_{c}" for side in ("_own", "_first") for c in (*loaded, "found")))
