@@ -112,3 +112,19 @@ def test_resources_without_an_origin_are_spread(spark):
     want = {k: (451, None) if k % 10 == 3 else (404, None) if k % 10 == 1 or k == 0 else (200, str(k - 8 if k % 10 == 0 else k)) for k in range(2000)}
     assert {r["id"]: (r["answer"], r["body"]) for r in got} == want and len(got) == 2000
     assert max(sum(r["part"] == p for r in got) for p in {r["part"] for r in got}) < 800
+
+
+def test_small_archive_files_share_tasks(spark, tmp_path):
+    """Files far below a task's bytes are read several to a task, whole; split files still get tasks by their bytes."""
+    from tidemark.sources import writing
+
+    path, few = str(tmp_path / "files"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = spark.range(60).selectExpr(
+        "'c' collection", "id seq", "'resource' record_type", "concat('<', id, '>') record_id", "concat('http://e/', id) target_uri", "'20240101000000' timestamp",
+        "cast(null as string) status_line", "cast(null as array<struct<name:string,value:string>>) headers", "cast(repeat(cast(id as string), 50) as binary) payload",
+    )
+    assert writing.write_archives(records, path, 1, False).count() == 60
+    for split, least in ((archives.SPLIT, 1), (64, 60)):
+        read = archives.read_records(spark, path, split)
+        assert least <= read.rdd.getNumPartitions() and (split == 64 or read.rdd.getNumPartitions() <= few)
+        assert sorted((r["record_id"], r["payload"].decode()) for r in read.collect()) == sorted((f"<{k}>", str(k) * 50) for k in range(60))

@@ -318,7 +318,9 @@ def read_records(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> Da
     """Records of archive files, plain or compressed record by record; a file that is compressed as a whole is one task's work."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     total = files.agg(F.sum("length"), F.count(F.lit(1))).first()
-    tasks = (total[0] or 0) // split_bytes + total[1] if split_bytes else total[1]
+    # small files share tasks: a stream leaves many, and a task of its own costs more than a small file's records
+    few = min(total[1], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = (total[0] or 0) // split_bytes + few if split_bytes else total[1]
     return records_from(files, split_bytes, int(max(1, min(tasks, MOST_TASKS))))
 
 
