@@ -89,6 +89,27 @@ def test_connected_components(spark, pairs):
     assert sorted(map(sorted, groups.values())) == [g for g in components(pairs) if len(g) > 1]
 
 
+@pytest.mark.parametrize("pairs", [[(k, k + 1) for k in range(60)], [(0, k) for k in range(1, 50)], [(k, (k * 7) % 90) for k in range(90)]])
+def test_connected_components_in_rounds_and_at_their_end(spark, pairs, monkeypatch):
+    """Rounds, and the task that ends what they leave, agree with the plain version."""
+    monkeypatch.setattr(session, "LAST", 5)
+    groups = defaultdict(set)
+    for r in session.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect():
+        groups[r["root"]].add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [g for g in components(pairs) if len(g) > 1]
+
+
+def test_few_edges_cost_few_jobs(spark):
+    """A few thousand edges do not cost the driver round after round."""
+    edges = spark.range(3000).selectExpr("id a", "id + 1 b").coalesce(2)
+    spark.sparkContext.setJobGroup("few-edges", "")
+    found = session.connected_components(edges)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 12
+    assert found.count() == 3001 and found.select("root").distinct().count() == 1
+
+
 # --- 1 secrets -----------------------------------------------------------------------------------------------------
 
 
@@ -214,6 +235,20 @@ def test_vantage_point_trees_lose_no_link(spark, blocks, leaf):
     assert components(edges) == components(want)
 
 
+def test_words_share_one_search(spark):
+    """Words are searched together, and no word's links reach into another's."""
+    r = np.random.default_rng(5)
+    prints = [r.integers(0, 2**63, 80, dtype=np.uint64) for _ in range(3)]
+    prints = [np.unique(np.concatenate((x, x[:30] ^ np.uint64(1 << k), x[:10] ^ np.uint64(3 << 40)))) for k, x in enumerate(prints)]
+    prints[1] = np.unique(np.concatenate((prints[1], prints[0][:20] ^ np.uint64(1))))
+    df = spark.createDataFrame([(k, int(x)) for k, part in enumerate(prints) for x in part.view(np.int64)], "word int, fp long")
+    found = simhash.word_edges(df, 3, sample=64, leaf=8).collect()
+    for k, part in enumerate(prints):
+        want = [(int(a), int(b)) for i, a in enumerate(part) for b in part[i + 1 :][np.bitwise_count(part[i + 1 :] ^ a) <= 3]]
+        assert want and components([(x["a"] % 2**64, x["b"] % 2**64) for x in found if x["word"] == k]) == components(want)
+    assert simhash.word_edges(df.limit(0), 3).count() == 0
+
+
 # --- 3 substrings --------------------------------------------------------------------------------------------------
 
 

@@ -6,12 +6,18 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds after which contraction gives up; each round at least halves the expected number of labels.
 MAX_ROUNDS = 64
+#: Edges left at which one task ends the contraction: a bound that no input moves (256 KB). A round costs the driver two queries
+#: with all their tasks, and the last rounds would do that for a handful of edges each.
+LAST = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -86,13 +92,38 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Least index of each of n nodes' components, pairs taken in as they come."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while True:
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            if (low == high).all():
+                break
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+    return root
+
+
+def _end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(old, new) of the few edges left: new is the least label of old's component."""
+    edges = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if edges:
+        a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+        names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = forest(len(names), iter([(at[: len(a)], at[len(a) :])]))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["old", "new"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); equal roots mark one component.
 
     Each round every label moves to the neighbour (or itself) of least hash, under a fresh hash each round, edges are
     rewritten to labels, and loops and repeats go. Labels shrink by a constant factor a round, whatever the shape of
     the component, so paths and stars both take O(log n) rounds. All steps are grouped or joined on labels; the minima
-    combine before the shuffle, so a hub costs no task its whole neighbourhood.
+    combine before the shuffle, so a hub costs no task its whole neighbourhood. What is left at LAST edges or fewer is
+    ended by one task.
     """
     spark = edges.sparkSession
     folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
@@ -106,7 +137,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     live = table(edges.where("a <> b").distinct())
     steps: list[DataFrame] = []
-    while not live.isEmpty():
+    while (left := live.count()) > LAST:
         if len(steps) == MAX_ROUNDS:
             raise RuntimeError("connected components did not settle")
         both = live.select("a", "b").unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -115,9 +146,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         own = F.struct(F.xxhash64("a", salt).alias("h"), F.col("a").alias("n"))
         step = table(best.select(F.col("a").alias("old"), F.least("m", own)["n"].alias("new")))
         steps.append(step)
-        left, right = step.select(F.col("old").alias("a"), F.col("new").alias("na")), step.select(F.col("old").alias("b"), F.col("new").alias("nb"))
-        moved = live.join(left, "a").join(right, "b").where("na <> nb")
+        mine, other = step.select(F.col("old").alias("a"), F.col("new").alias("na")), step.select(F.col("old").alias("b"), F.col("new").alias("nb"))
+        moved = live.join(mine, "a").join(other, "b").where("na <> nb")
         live = table(moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
+    if left:
+        steps.append(table(live.coalesce(1).mapInArrow(_end, "old long, new long")))
     labels = live.select(F.col("a").alias("node"), F.col("a").alias("root"))
     if steps:
         labels = steps[0].select(F.col("old").alias("node"), F.col("new").alias("root"))

@@ -51,6 +51,10 @@ ROUND = 1 << 20
 #: Stands for a null doc_id where ids are ordered.
 NULL_ID = (1 << 63) - 1
 
+#: Edges (word, a, b) over distinct fingerprints (word, fp) of so many words: within a word, the components are those of all links
+#: within the operator's radius.
+Search = Callable[[DataFrame, int], DataFrame]
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -319,23 +323,18 @@ def with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(facts, pairs["a"] == facts["cls"]).join(other, pairs["b"] == other["cls2"])
 
 
-def tree_pairs(steps: Steps, classes: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def tree_pairs(steps: Steps, classes: DataFrame, search: Search) -> DataFrame:
     """(a, b): classes that the SimHash operator brings together by any word of their signatures, if sizes and signatures allow it.
 
-    search: edges (a, b) over distinct fingerprints (fp), whose components are those of all links within the operator's radius.
+    All words go through one search, so that the plan does not grow with their number.
     classes: cls, size and sig of every class.
     """
-    pairs = []
-    for k in range(SIGNATURE):
-        prints = classes.select("cls", F.col("sig")[k].alias("fp"))
-        heads = steps.table(prints.groupBy("fp").agg(F.min("cls").alias("head")), "prints")
-        side = lambda c, heads=heads: heads.select(F.col("fp").alias(c), F.col("head").alias(f"_{c}"))
-        pairs.append(search(heads.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-        pairs.append(prints.join(heads, "fp").where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")))
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.unionAll(more)
-    return feasible(with_facts(found.distinct(), classes))
+    prints = classes.select("cls", F.posexplode("sig").alias("word", "fp"))
+    heads = steps.table(prints.groupBy("word", "fp").agg(F.min("cls").alias("head")), "prints")
+    side = lambda c: heads.select("word", F.col("fp").alias(c), F.col("head").alias(f"_{c}"))
+    near = search(heads.select("word", "fp"), SIGNATURE).join(side("a"), ["word", "a"]).join(side("b"), ["word", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = prints.join(heads, ["word", "fp"]).where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    return feasible(with_facts(near.unionAll(same).distinct(), classes))
 
 
 def head_pairs(now: DataFrame, facts: DataFrame) -> DataFrame:
@@ -393,8 +392,8 @@ def visited(now: DataFrame, mains: DataFrame, homes: DataFrame, sets: DataFrame)
     return hosts.join(sets, "cls").groupBy(*by).cogroup(guests.groupBy(*(f"g_{c}" for c in by))).applyInArrow(meet, "a long, b long")
 
 
-def near_classes(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(cls, least, root): each set's hash, its least doc_id, and the component of its links. search: see ``tree_pairs``."""
+def near_classes(docs: DataFrame, search: Search) -> DataFrame:
+    """(cls, least, root): each set's hash, its least doc_id, and the component of its links. search: see ``Search``."""
     steps = Steps(docs.sparkSession)
     whole = steps.table(text_classes(docs), "classes")
     classes = steps.table(whole.select("cls", "least", "size", "sig"), "facts")
@@ -429,8 +428,8 @@ def near_classes(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> D
     return out
 
 
-def kept_rows(docs: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(_row, _key, _cls) of the rows of docs, whole, that stay: the least doc_id of each component. search: see ``tree_pairs``."""
+def kept_rows(docs: DataFrame, search: Search) -> DataFrame:
+    """(_row, _key, _cls) of the rows of docs, whole, that stay: the least doc_id of each component. search: see ``Search``."""
     found = near_classes(docs, search)
     release(docs.sparkSession)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("least").alias("_key"), F.col("cls").alias("_cls"))).alias("k")).select("k._key", "k._cls")

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm import shingles, words
-from tidemark.llm.session import connected_components, materialize, small_batches
+from tidemark.llm.session import connected_components, forest, materialize, small_batches
 from tidemark.llm.shingles import NULL_ID
 
 SEED = 42
 #: Fingerprints that the trees are shaped on: SAMPLE at least, and one in SHARE of more than SAMPLE * SHARE, so that shards
-#: stay as large as they are (12 million fingerprints, 100 MB, reach the driver of 10**11 distinct ones).
+#: stay as large as they are (12 million fingerprints, 100 MB, reach the driver of 10**11 distinct ones; so for each word).
 SAMPLE, SHARE = 32_768, 8_192
 #: Wanted fingerprints per shard.
 LEAF = 512
@@ -94,6 +94,8 @@ class Tree:
         self.mask, self.radius = _U(mask), radius
         self.point, self.split, self.left, self.right, self.leaves = [], [], [], [], 0
         self.root = self._grow(sample & self.mask, leaf_sample)
+        # arrays, since the trees go to the tasks and Python pickles each numpy scalar of a list with its type
+        self.point, (self.split, self.left, self.right) = np.array(self.point, _U), (np.array(x, np.int64) for x in (self.split, self.left, self.right))
 
     def _leaf(self) -> int:
         self.leaves += 1
@@ -170,42 +172,35 @@ def links(stored: np.ndarray, asked: np.ndarray, mask: np.uint64, ball: int, rad
         todo += [(s[ds <= m], a[da - r <= m]), (s[ds > m], a[da + r > m])]
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Least index of each of n nodes' components, pairs taken in as they come."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while True:
-            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-            if (low == high).all():
-                break
-            np.minimum.at(root, high, low)
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
-def near_edges(distinct: DataFrame, radius: int = 3, blocks: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (column fp) whose components are those of all links within ``radius`` bits."""
-    total = distinct.count()
+def word_edges(prints: DataFrame, words: int, radius: int = 3, blocks: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """Edges (word, a, b) over distinct (word int, fp long), word from 0 to words - 1: within a word, the components are those of
+    all links within ``radius`` bits. All words' trees are searched by one plan."""
+    totals = dict(prints.groupBy("word").count().collect())
+    total = max(totals.values(), default=0)
     sample = max(sample, total // SHARE)
     share = min(1.0, sample / max(total, 1))
-    picked = distinct.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("fp").toArrow()
-    order = np.sort(picked["fp"].to_numpy().astype(np.int64)).view(_U)
-    trees = grow_trees(np.random.default_rng(7).permutation(order), total, radius, blocks, leaf)
+    picked = prints.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("word", "fp").toArrow()
+    of, found = (picked[c].to_numpy().astype(np.int64) for c in ("word", "fp"))
+    trees = []
+    for k in range(words):
+        order = np.sort(found[of == k]).view(_U)
+        trees += grow_trees(np.random.default_rng(7).permutation(order), totals.get(k, 0), radius, blocks, leaf)
     bases = np.cumsum([0, *(t.leaves for t in trees)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            of, every = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for k, tree in enumerate(trees):
+                prints = every[of == k // blocks]
                 rows, leaves, homes = tree.route(prints.view(_U))
                 yield pa.RecordBatch.from_arrays([pa.array(leaves + bases[k]), pa.array(prints[rows]), pa.array(homes)], names=["shard", "fp", "home"])
 
     def search(shard: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        none = pa.table({"word": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if shard.num_rows < 2:
             return none
-        tree = trees[int(np.searchsorted(bases, shard["shard"][0].as_py(), side="right")) - 1]
+        k = int(np.searchsorted(bases, shard["shard"][0].as_py(), side="right")) - 1
+        tree = trees[k]
         prints = shard["fp"].to_numpy()
         order = np.argsort(prints, kind="stable")
         prints = prints[order]
@@ -213,10 +208,15 @@ def near_edges(distinct: DataFrame, radius: int = 3, blocks: int = 2, sample: in
         bits = prints.view(_U)
         root = forest(len(bits), ((at[i], j) for i, j in links(bits[at], bits, tree.mask, tree.radius, radius)))
         linked = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": prints[root[linked]], "b": prints[linked]}) if len(linked) else none
+        return pa.table({"word": np.full(len(linked), k // blocks, np.int32), "a": prints[root[linked]], "b": prints[linked]}) if len(linked) else none
 
-    routed = distinct.select("fp").mapInArrow(route, "shard long, fp long, home boolean")
-    return routed.groupBy("shard").applyInArrow(search, "a long, b long")
+    routed = prints.select("word", "fp").mapInArrow(route, "shard long, fp long, home boolean")
+    return routed.groupBy("shard").applyInArrow(search, "word int, a long, b long")
+
+
+def near_edges(distinct: DataFrame, radius: int = 3, blocks: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints (column fp) whose components are those of all links within ``radius`` bits."""
+    return word_edges(distinct.select(F.lit(0).alias("word"), "fp"), 1, radius, blocks, sample, leaf).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 2, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
@@ -239,7 +239,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of texts whose five-word shingles are alike to 0.8 or more, whole: the one of least doc_id
     (null last), of several the one of least hash. The trees bring texts together, their sets are compared, and what lies beyond
     the trees' radius is found by shared shingles (see ``shingles``)."""
-    return one_row(shingles.kept_rows(docs, near_edges), "_key", "_cls")
+    return one_row(shingles.kept_rows(docs, word_edges), "_key", "_cls")
 
 
 def deduplicate_within(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
