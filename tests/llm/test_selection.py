@@ -275,3 +275,50 @@ def test_trees_bring_near_copies_together(spark, monkeypatch):
     monkeypatch.setattr(shingles, "still_apart", lambda wide, edges: wide.withColumn("root", wide["cls"]).limit(0))
     kept = {x["doc_id"] for x in simhash.deduplicate(docs).collect()}
     assert kept == {k for k in range(80) if k >= 40 or k % 2 == 0}
+
+
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_only_what_could_be_similar_calls_on_a_block(spark, monkeypatch, cell):
+    """Classes of a large key, in cells of any size: those with a partner in another block and component are found, nobody else moves."""
+    from tidemark.llm import shingles
+
+    monkeypatch.setattr(shingles, "PAIRED", 4)
+    monkeypatch.setattr(shingles, "CELL", cell)
+    monkeypatch.setattr(shingles, "TILE", 2)
+    r = np.random.default_rng(6)
+    sets = []
+    for k in range(30):
+        base = r.integers(1, 1 << 63, 50).astype(np.uint64) if k % 3 == 0 else sets[k // 3 * 3]
+        sets.append(np.sort(np.concatenate((base[3:], r.integers(1, 1 << 63, 3).astype(np.uint64))) if k % 3 else base))
+    sets += [np.sort(r.integers(1, 1 << 63, 50).astype(np.uint64)) for _ in range(20)]
+    root, block = [0 if k < 4 else k for k in range(50)], [k % 2 for k in range(50)]
+    sig = shingles.signatures(np.concatenate(sets), np.arange(0, 50 * 51, 50))
+    now = spark.createDataFrame([(key, k, root[k]) for key in (1, 2) for k in range(50)], "key long, cls long, root long")
+    facts = spark.createDataFrame([(k, 1, block[k], 50, sig[k].tolist()) for k in range(50)], "cls long, home long, block long, size long, sig array<long>")
+    grams = spark.createDataFrame([(k, bytearray(np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes())) for k, x in enumerate(sets)], "cls long, grams binary")
+    alike = [(a, b) for a in range(50) for b in range(a) if root[a] != root[b] and block[a] != block[b] and shingles.alike(len(np.intersect1d(sets[a], sets[b])), 50, 50)]
+    calls = shingles.callers(now, shingles.key_mains(now), facts)
+    assert len(alike) > 10 and {x["cls"] for x in calls.collect()} == {k for pair in alike for k in pair}
+    found = {frozenset((root[a], root[b])) for a, b in shingles.visited(calls, grams).collect()}
+    assert found == {frozenset((root[a], root[b])) for a, b in alike}
+
+
+def test_texts_that_share_passages_stay_where_they_are(spark, monkeypatch):
+    """Texts that share passages and are not alike: their sets are not sent to each block of each passage."""
+    from tidemark.llm import shingles, simhash
+
+    for name, value in (("PAIRED", 4), ("BLOCK", 8), ("COMMON", 0)):
+        monkeypatch.setattr(shingles, name, value)
+    r = np.random.default_rng(9)
+    words = lambda n: ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    passages = [words(60) for _ in range(8)]
+    texts = [" ".join(sum((passages[k] for k in r.permutation(8)[:3]), words(180))) for _ in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    assert simhash.deduplicate(docs).count() == 240
+    assert shuffled() - before < 10 * sum(map(len, texts))

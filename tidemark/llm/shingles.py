@@ -13,7 +13,8 @@ a passage that a third of all texts share brings nobody together.
    and distances to the first pivot rule pairs out by the triangle inequality (Jaccard distance is a metric).
 3. Keys whose classes still lie apart link one class of each component with the key's head.
 4. What then still shares a key from different components, and did not meet in a block, is compared: pair by pair where the
-   key has few classes, else by sending what lies beside the key's main component to the blocks of the others.
+   key has few classes, else by sending what lies beside the key's main component to those blocks of the others that hold a
+   class which sizes and signatures allow.
 Listed pairs whose sizes or SimHash signatures (256 bits) rule the similarity out are dropped before sets are fetched.
 
 Defined results: letters A-Z are lower-cased; a text of fewer than five words is one shingle; wordless texts are copies of
@@ -46,6 +47,8 @@ SIGNATURE, FAR = 4, 73
 BLOCK = 1_024
 #: Classes of a key up to which its pairs are listed; those of larger keys meet in their blocks.
 PAIRED = 64
+#: Classes of a larger key on either side of a cell, compared by their signatures; and guests of a cell that are compared at once.
+CELL, TILE = 4_096, 256
 #: Pairs whose sets are fetched at once: 2 GB on the way, for texts of 250 words.
 ROUND = 1 << 20
 #: Stands for a null doc_id where ids are ordered.
@@ -346,8 +349,9 @@ def head_pairs(now: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def key_mains(now: DataFrame) -> DataFrame:
-    """(key, main, n): the component that most classes of a key are in, and the number of its classes."""
-    return now.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("n"))
+    """(key, main, n, beside): the component that most classes of a key are in, the number of its classes, and how many lie beside it."""
+    found = now.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("n"))
+    return found.select("key", F.col("m.root").alias("main"), "n", (F.col("n") - F.col("m.count")).alias("beside"))
 
 
 def rest_pairs(now: DataFrame, mains: DataFrame, facts: DataFrame) -> DataFrame:
@@ -358,19 +362,61 @@ def rest_pairs(now: DataFrame, mains: DataFrame, facts: DataFrame) -> DataFrame:
     return plausible(beside.where("root <> root2 and (root2 = main or cls < cls2)"))
 
 
-def visited(now: DataFrame, mains: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links of classes with those of other blocks, by keys of more than PAIRED classes.
+def callers(now: DataFrame, mains: DataFrame, facts: DataFrame) -> DataFrame:
+    """(home, block, cls, root, guest): who meets in which block, by keys of more than PAIRED classes: the guests, and the classes placed there.
 
-    What lies beside the key's main component visits each block that holds classes of the key, set and all, so that pairs are
-    compared where they are and never listed; a block's visitors come in parties of BLOCK. One link a visitor and component.
+    What lies beside a key's main component is compared with all classes of the key, in cells of CELL by CELL, by sizes and
+    signatures alone: a class costs a cell some 100 bytes, its set stays where it is. Only what could be similar, lies in another
+    component and has not met in a block calls on the other's block.
     """
-    large = now.join(mains.where(f"n > {PAIRED}"), "key").join(homes, "cls")
-    blocks = large.select("key", F.col("home").alias("home2"), F.col("block").alias("block2")).distinct()
-    calls = large.where("root <> main").join(blocks, "key").where("not (home = home2 and block = block2)").select("cls", "root", F.col("home2").alias("home"), F.col("block2").alias("block")).distinct()
-    sets = sets.join(large.select("cls").distinct(), "cls", "left_semi")
-    parties = calls.groupBy("home", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parties"))
-    calls = calls.join(parties, ["home", "block"]).withColumn("party", F.pmod(F.xxhash64("cls"), "parties")).drop("parties")
-    hosts = large.select("cls", "root", "home", "block").distinct().join(parties, ["home", "block"]).withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parties") - 1))).drop("parties")
+    large = now.join(mains.where(f"n > {PAIRED}"), "key").join(facts, "cls")
+    many = lambda c: F.ceil(F.col(c) / CELL)
+    part = lambda c: F.pmod(F.xxhash64("cls", F.lit(c)), many(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), many(c) - 1))
+    own = ("key", *_SIDE, "root")
+    # side: 0 and 1 are hosts in and beside the key's main component, 2 a guest
+    beside = F.col("root") != F.col("main")
+    hosts = large.where("beside > 0").select(*own, beside.cast("int").alias("side"), part("n").alias("row"), each("beside").alias("column"))
+    guests = large.where(beside).select(*own, F.lit(2).alias("side"), each("n").alias("row"), part("beside").alias("column"))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        cls, root, home, block, size, side = (cell[c].to_numpy() for c in ("cls", "root", "home", "block", "size", "side"))
+        sig = cell["sig"].combine_chunks().flatten().to_numpy().reshape(-1, SIGNATURE)
+        _, first, place = np.unique(np.stack((home, block)), axis=1, return_index=True, return_inverse=True)
+        place = place.reshape(-1)
+        host, guest = np.flatnonzero(side < 2), np.flatnonzero(side == 2)
+        called, at, to = np.zeros(len(host), bool), [], []
+        for x in range(0, len(guest), TILE):
+            g = guest[x : x + TILE, None]
+            apart = np.zeros((len(g), len(host)), np.int16)
+            for k in range(SIGNATURE):
+                apart += np.bitwise_count((sig[host, k] ^ sig[g, k]).view(np.uint64))
+            good = (apart <= FAR) & (root[host] != root[g]) & (place[host] != place[g]) & ((side[host] == 0) | (cls[host] < cls[g]))
+            i, j = np.nonzero(good & (DOWN * np.minimum(size[host], size[g]) >= UP * np.maximum(size[host], size[g])))
+            called[j] = True
+            visits = np.zeros((len(g), len(first)), bool)
+            visits[i, place[host[j]]] = True
+            i, j = np.nonzero(visits)
+            at.append(g[i, 0]), to.append(first[j])
+        host = host[called]
+        who, to = np.concatenate((host, *at)), np.concatenate((host, *to))
+        return pa.table({"home": home[to], "block": block[to], "cls": cls[who], "root": root[who], "guest": np.arange(len(who)) >= len(host)})
+
+    met = hosts.unionByName(guests).groupBy("key", "row", "column")
+    return met.applyInArrow(meet, "home long, block long, cls long, root long, guest boolean").distinct()
+
+
+def visited(calls: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of guests with classes of the blocks that they call on (see ``callers``).
+
+    A guest visits a block set and all, so that pairs are compared where they are and never listed; a block's guests come in
+    parties of BLOCK. One link a guest and component.
+    """
+    sets = sets.join(calls.select("cls").distinct(), "cls", "left_semi")
+    guests, hosts = (calls.where(c).drop("guest") for c in ("guest", "not guest"))
+    parties = guests.groupBy("home", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parties"))
+    guests = guests.join(parties, ["home", "block"]).withColumn("party", F.pmod(F.xxhash64("cls"), "parties")).drop("parties")
+    hosts = hosts.join(parties, ["home", "block"]).withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parties") - 1))).drop("parties")
 
     def meet(host: pa.Table, guest: pa.Table) -> pa.Table:
         a, b = [], []
@@ -388,7 +434,7 @@ def visited(now: DataFrame, mains: DataFrame, homes: DataFrame, sets: DataFrame)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     by = ("home", "block", "party")
-    guests = calls.join(sets, "cls").select(*(F.col(c).alias(f"g_{c}") for c in (*by, "cls", "root", "grams")))
+    guests = guests.join(sets, "cls").select(*(F.col(c).alias(f"g_{c}") for c in (*by, "cls", "root", "grams")))
     return hosts.join(sets, "cls").groupBy(*by).cogroup(guests.groupBy(*(f"g_{c}" for c in by))).applyInArrow(meet, "a long, b long")
 
 
@@ -419,8 +465,10 @@ def near_classes(docs: DataFrame, search: Search) -> DataFrame:
         steps.drop(wide)
         mains = key_mains(now)
         edges = edges.unionAll(compared(steps, rest_pairs(now, mains, facts), sets, "rest"))
-        edges = edges.unionAll(steps.table(visited(now, mains, homes, sets), "visits"))
+        calls = steps.table(callers(now, mains, facts), "calls")
         steps.drop(now)
+        if not calls.isEmpty():
+            edges = edges.unionAll(steps.table(visited(calls, sets), "visits"))
     roots = connected_components(edges)
     out = materialize(classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
     steps.end()
